@@ -47,8 +47,10 @@ class Powers:
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up), 1 << 16)
-            inverse = pow(_BASE, -1, 2**64)
-            self.up, self.down = (np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64), dtype=np.uint64) for b in (_BASE, inverse))
+            self.up, self.down = (np.full(size, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64)))
+            for powers in (self.up, self.down):
+                powers[0] = 1
+                np.cumprod(powers, out=powers)
         return self.up[:n], self.down[:n]
 
 
