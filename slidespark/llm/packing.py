@@ -5,7 +5,7 @@ level makes the sum over levels h of N(h)^2 smallest, N(h) being the number of w
 counters is all the state, however many documents pass.  Placing a piece of r tokens on level h changes the sum by
 2 N(h+r) + 1 (nothing if the window becomes full) and 1 - 2 N(h) (nothing for a new window); of equal levels the fullest wins.
 Each input partition packs on its own and, at its end, cuts the pieces of its emptiest open windows to fill the others, so
-that at most one window of a partition is not full.
+that at most one window of a partition is not full; that one becomes sequences of lengths that are powers of two.
 
 Tokenisation looks up a cache of word pieces: text is cut only where every tokenizer of this kind cuts too (white space, and
 between an ASCII letter or digit and an ASCII sign other than the apostrophe), so the ids are those of the whole text.
@@ -162,6 +162,21 @@ class Packer:
             self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, w.seq, at, ids))
             at += len(ids)
 
+    def _close_last(self, w: Window) -> None:
+        """Cut what is left into sequences whose lengths are powers of two, the largest first: these need no padding."""
+        parts, left = w.parts[::-1], w.fill
+        while left:
+            part = self._new()
+            room = 1 << (left.bit_length() - 1)
+            left -= room
+            while room:
+                doc, start, ids = parts.pop()
+                part.add(doc, start, ids[:room])
+                if len(ids) > room:
+                    parts.append((doc, start + room, ids[room:]))
+                room -= min(room, len(ids))
+            self._close(part)
+
     def level(self, r: int) -> int:
         """The level on which a piece of r tokens keeps the sum of squares smallest; 0 opens a window."""
         n = self.levels
@@ -211,7 +226,7 @@ class Packer:
             if not w.fill:
                 low += 1
         for w in left[low : high + 1]:
-            self._close(w)
+            self._close_last(w)
         self.open, self.levels = [[] for _ in self.open], np.zeros_like(self.levels)
 
 
