@@ -40,6 +40,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import fit, in_training, score
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, fit(docs.where(in_training())))
+    return out.select("doc_id", (~in_training()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -67,7 +75,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_packing, op6_quality_rules, op8_decontaminate, op9_warc, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_packing, op6_quality_rules, op7_hmm, op8_decontaminate, op9_warc, op10_secret_scan)}
 
 _BLANK = r"[\x20\x09-\x0D]"
 
