@@ -225,11 +225,19 @@ def _probe_here(held, shards: int, min_chars: int):
                 dead[number[rows]] = True
                 dropped[i] = len(rows)
                 kept[i] = _drop(texts[i], dead)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_lines", "n_dropped", "kept"])
+            yield _out(b, counts, dropped, kept)
 
     return run
 
 
+def _out(b: pa.RecordBatch, counts: list, dropped: list, kept: list) -> pa.RecordBatch:
+    cols, names = [b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_lines", "n_dropped", "kept"]
+    if (at := b.schema.get_field_index("row")) >= 0:
+        cols.append(b.column(at))
+        names.append("row")
+    return pa.RecordBatch.from_arrays(cols, names)
+
+
 def _probe_rows(shards: int, salts: int, min_chars: int):
     """One row per document and shard: the document, its lines' numbers and hashes there."""
 
@@ -270,7 +278,7 @@ def _probe_shard(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 
 def _drop_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
-        ids, texts, dead = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
+        texts, dead = b.column(1).to_pylist(), b.column(2).to_pylist()
         counts, dropped, kept = [], [], []
         for text, parts in zip(texts, dead, strict=True):
             gone = np.zeros(text.count(b"\n") + 1, bool)
@@ -279,11 +287,11 @@ def _drop_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(len(gone))
             dropped.append(int(gone.sum()))
             kept.append(_drop(text, gone))
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_lines", "n_dropped", "kept"])
+        yield _out(b, counts, dropped, kept)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 32 << 20, salts: int = 16) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_text for every row of docs (module docstring).
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 32 << 20, salts: int = 16, carry: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_text for every row of docs (module docstring); with carry also row, a struct of all its columns.
 
     broadcast_bytes bounds the index that is sent to every executor; beyond it the probes travel to the shards, each shard
     being copied to `salts` groups so that a shard with a very common line is spread too.
@@ -294,15 +302,18 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcas
     shards = max(SHARDS, -(-n // SHARD_KEYS))
     index = staged(build_index(frequent, shards), "line-index")
     size = index.agg(F.sum(F.length("blob"))).first()[0] or 0
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select("doc_id", text.alias("text"), *[F.struct("*").alias("row")] * carry)
+    out = OUT + f", row {rows.schema['row'].dataType.simpleString()}" * carry if carry else OUT
     if size <= broadcast_bytes:
         held = spark.sparkContext.broadcast([(r["shard"], bytes(r["blob"])) for r in index.select("shard", "blob").toLocalIterator()])
-        out = arrow_map(id_text(docs), _probe_here(held, shards, min_chars), OUT)
+        done = arrow_map(rows, _probe_here(held, shards, min_chars), out)
     else:
         # equal rows have equal verdicts, so id and content name a row
-        keyed = id_text(docs).withColumn("key", F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.sha2("text", 256)), 256)))
-        probes = arrow_map(keyed, _probe_rows(shards, salts, min_chars), "shard long, salt long, doc_id long, key binary, numbers binary, hashes binary").dropDuplicates(["key", "shard"])
+        keyed = rows.withColumn("key", F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.sha2("text", 256)), 256)))
+        probes = arrow_map(keyed.select("doc_id", "text", "key"), _probe_rows(shards, salts, min_chars), "shard long, salt long, doc_id long, key binary, numbers binary, hashes binary").dropDuplicates(["key", "shard"])
         copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("shard", F.col("salt").cast("long").alias("salt"), "blob")
         dead = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(_probe_shard, "key binary, dead binary")
         dead = dead.groupBy("key").agg(F.collect_list("dead").alias("dead"))
-        out = arrow_map(keyed.join(dead, "key", "left").select("doc_id", "text", "dead"), _drop_rows, OUT)
-    return out.select("doc_id", "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept_text"))
+        done = arrow_map(keyed.join(dead, "key", "left").select("doc_id", "text", "dead", *["row"] * carry), _drop_rows, out)
+    return done.select("doc_id", "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept_text"), *["row"] * carry)

@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, whose text scores below the limit; no row travels."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_filter_all(held, docs.columns.index("text"), limit), docs.schema)
+    return arrow_map(docs, _filter_all(held, docs.columns.index("text"), limit), docs.schema)
 
 
 def held_out(mod: int = 3, remainder: int = 1) -> Column:
