@@ -1,14 +1,13 @@
-"""Queries by name and SQL that gives the same rows."""
+"""All queries by name, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from slidespark.plans.queries import ORACLE_SQL, QUERIES, crop_rescale_level
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id % 25 AS x", "vec_id div 25 AS y")
+    return crop_rescale_level(spark, sf_dir)
