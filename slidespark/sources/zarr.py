@@ -64,7 +64,14 @@ def _chunks(meta: dict, axes: list[str], root: str):
 
 
 def _text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    """A small metadata file; its name begins with a dot, so Spark's readers would skip it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def read(spark: SparkSession, path: str, level: int = 0) -> tuple[DataFrame, list[str], float]:
