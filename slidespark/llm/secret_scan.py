@@ -112,8 +112,8 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, version: str, id_col: str
     if ledger is not None:
         picked = picked.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
     mine = own.withColumn("pick", F.coalesce(F.col("_id").cast("string"), F.lit(""))).select("blob", "pick", "text")
-    # rows that repeat an id and a text are one blob still
-    return mine.join(picked, ["blob", "pick"], "left_semi")
+    # rows that repeat an id and a text are one blob still; the join leaves them side by side
+    return mine.join(picked, ["blob", "pick"], "left_semi").dropDuplicates(["blob", "pick"]).select("blob", "text")
 
 
 def secret_scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,8 +133,8 @@ def secret_scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Ru
                 raise
     scan_blobs(unseen(docs, old, version, id_col, text_col), rules, version).write.mode("append").parquet(ledger_path)
     ledger = spark.read.schema(empty_ledger(spark).schema).parquet(ledger_path)
-    # only blobs with findings travel; distinct, for copies that repeat an id too are scanned per row
-    found = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
+    # only blobs with findings travel
+    found = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
     own = docs.select(F.col(id_col).alias("doc_id"), blob_id(F.col(text_col)).alias("blob"))
     return own.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans"))
 
