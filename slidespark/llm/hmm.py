@@ -7,7 +7,8 @@ second factor needs no state: with c the word's count, N and V the class's token
 recursion over its classes plus a sum over its words.
 
 Counts cover all training documents.  Words are counted in each task, then by hash.  Each Baum-Welch pass runs over all
-training documents; tasks return sums of expected counts, which Spark adds by cell; only the state tables (their size is fixed)
+training documents, in sequences of at most STRETCH tokens (scoring knows no such limit); tasks return sums of expected counts,
+which Spark adds by cell; only the state tables (their size is fixed)
 reach the driver.  The first passes run on a bounded sample, to have a start.  For the sums over words, counts of the `head`
 most frequent words are sent to the executors (a bounded table); the other words of each document are joined with the counts
 by hash, so frequent words never meet in one task and a vocabulary of any size will do.
@@ -21,55 +22,63 @@ as started; repeated rows are scored each for itself; null ids are training docu
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_text, pieces, staged
+from .common import BLANKS, arrow_map, id_text, most_frequent, pieces, staged
+from .suffix_dedup import PrefixHash
 
-STATES, OWN, ENDINGS, HEAD = 10, 2000, 512, 1 << 17
+STATES, OWN, ENDINGS, HEAD = 8, 2000, 512, 1 << 17
 SAMPLE_DOCS, SAMPLE_PASSES, PASSES = 2000, 8, 2
-#: A word cannot hold a blank.
-END = b" end"
-FLUSH = 1 << 21
+STRETCH = 512
+#: Stands for a text's end among word hashes.
+END = 0
+FLUSH = 4 << 20
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+#: White space as the contract has it.
+_WHITE = np.isin(np.arange(256), list(BLANKS))
 
 
-def word_hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % ENDINGS
-
-
-class Classes(dict):
-    """Class by word: a cache over the hashes of the words with classes of their own, and endings for the rest."""
-
-    def __init__(self, own: dict[int, int], cap: int = 400_000) -> None:
-        super().__init__()
-        self.own, self.cap = own, cap
+@dataclass
+class Words:
+    """The tokens of some texts one after the other, each text's end included: hashes, endings, and where texts begin."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.cap:
-            self.clear()
-        out = self[word] = self.own.get(word_hash(word), OWN + ending(word))
-        return out
+    keys: np.ndarray
+    endings: np.ndarray
+    edges: np.ndarray
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Words:
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        ph = PrefixHash((b"\n".join(texts) + b"\n").lower())
+        white = _WHITE[ph.bytes]
+        solid = ~white
+        starts = np.flatnonzero(solid & np.concatenate([[True], white[:-1]]))
+        ends = np.flatnonzero(solid & np.concatenate([white[1:], [True]])) + 1
+        code = np.zeros(len(starts), np.int64)
+        for k in (1, 2, 3):
+            at = ends - k
+            code = code * 269 + np.where(at >= starts, ph.bytes[np.maximum(at, 0)].astype(np.int64) + 1, 0)
+        bounds = np.searchsorted(starts, np.cumsum(sizes))
+        keys = np.insert(ph.of(starts, ends).view(np.int64), bounds, END)
+        return cls(keys, np.insert(code * 40503 % 65521 % ENDINGS, bounds, 0).astype(np.int32), np.concatenate([[0], bounds + np.arange(1, len(texts) + 1)]))
+
+    def classes(self, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Class of each token: its own, or that of its ending; own is sorted."""
+        if not len(own):
+            return OWN + self.endings
+        at = np.minimum(np.searchsorted(own, self.keys), len(own) - 1)
+        return np.where(own[at] == self.keys, ids[at], OWN + self.endings)
+
+    def split(self, values: np.ndarray) -> list[np.ndarray]:
+        return [values[a:b] for a, b in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True)]
 
 
 @dataclass
@@ -106,10 +115,10 @@ def _steps(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, flat, live
 
 
-def forward(seqs: list[np.ndarray], model: States) -> np.ndarray:
-    """Exact natural-log likelihood of each sequence of classes (none is empty)."""
+def _heads(seqs: list[np.ndarray], model: States) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihood and last state vector (it sums to 1) of each sequence, position by position over all of them."""
     order, flat, live = _steps(seqs)
-    out = np.zeros(len(seqs))
+    out, last = np.zeros(len(seqs)), np.empty((len(seqs), len(model.start)))
     at, alpha = 0, None
     for a in live.tolist():
         e = model.emit[flat[at : at + a]]
@@ -117,10 +126,50 @@ def forward(seqs: list[np.ndarray], model: States) -> np.ndarray:
         scale = alpha.sum(1)
         alpha /= scale[:, None]
         out[:a] += np.log(scale)
+        last[:a] = alpha
         at += a
-    back = np.empty(len(seqs))
-    back[order] = out
-    return back
+    back, ends = np.empty(len(seqs)), np.empty_like(last)
+    back[order], ends[order] = out, last
+    return back, ends
+
+
+def _transfers(seqs: list[np.ndarray], model: States) -> tuple[np.ndarray, np.ndarray]:
+    """What each stretch does to a state vector: a matrix that sums to 1, and the log of what it was divided by."""
+    order, flat, live = _steps(seqs)
+    k = len(model.start)
+    m, logs = np.tile(np.eye(k), (len(seqs), 1, 1)), np.zeros(len(seqs))
+    at = 0
+    for a in live.tolist():
+        new = (m[:a].reshape(-1, k) @ model.step).reshape(a, k, k) * model.emit[flat[at : at + a], None, :]
+        scale = new.sum((1, 2))
+        m[:a] = new / scale[:, None, None]
+        logs[:a] += np.log(scale)
+        at += a
+    back, out = np.empty(len(seqs)), np.empty_like(m)
+    back[order], out[order] = logs, m
+    return out, back
+
+
+def forward(seqs: list[np.ndarray], model: States, stretch: int = STRETCH) -> np.ndarray:
+    """Exact natural-log likelihood of each sequence of classes (none is empty).
+
+    The recursion runs over all sequences at once; what lies beyond `stretch` in a longer one is cut into stretches whose
+    transfer matrices are found side by side and then applied in turn, so that one long text does not make many short steps.
+    """
+    out, vector = _heads([s[:stretch] for s in seqs], model)
+    rest = [(i, s[a : a + stretch]) for i, s in enumerate(seqs) for a in range(stretch, len(s), stretch)]
+    if rest:
+        matrices, logs = _transfers([part for _, part in rest], model)
+        for (i, _), m, log in zip(rest, matrices, logs.tolist(), strict=True):
+            v = vector[i] @ m
+            total = v.sum()
+            out[i] += log + math.log(total)
+            vector[i] = v / total
+    return out
+
+
+def cut(seqs: list[np.ndarray], stretch: int) -> list[np.ndarray]:
+    return [s[a : a + stretch] for s in seqs for a in range(0, len(s), stretch)]
 
 
 def expected(seqs: list[np.ndarray], model: States, out: np.ndarray) -> float:
@@ -157,52 +206,35 @@ def expected(seqs: list[np.ndarray], model: States, out: np.ndarray) -> float:
     return float(np.log(scales).sum())
 
 
-def _groups(batches: Iterator[pa.RecordBatch], tokens: int = 60_000) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Batches cut so that each has about so many tokens."""
-    for b in pieces(batches, 6 * tokens):
-        yield b, [words_of(t) for t in b.column(1).to_pylist()]
+def _groups(batches: Iterator[pa.RecordBatch], size: int = 3 << 19) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Batches cut to about so many bytes, and their tokens."""
+    for b in pieces(batches, size):
+        yield b, Words.of(b.column(1).to_pylist())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def emit(counts: Counter) -> pa.RecordBatch:
-        words = list(counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(map(word_hash, words)), pa.int64()), pa.array(list(counts.values()), pa.int64()), pa.array(list(map(ending, words)), pa.int32())], ["h", "n", "ending"]
-        )
-
-    counts, seen = Counter(), 0
-    for b in pieces(batches):
-        for text in b.column(1).to_pylist():
-            words = words_of(text)
-            counts.update(words)
-            counts[END] += 1
-            seen += len(words) + 1
-        if len(counts) > 400_000 or seen > 4 * FLUSH:
-            yield emit(counts)
-            counts, seen = Counter(), 0
-    if counts:
-        yield emit(counts)
-
-
-_CACHE: dict[int, Classes] = {}
-
-
-def _classes(own: dict[int, int]) -> Classes:
-    """The cache of this worker for these words, kept from task to task."""
-    name = hash(frozenset(own.items()))
-    if name not in _CACHE:
-        _CACHE.clear()
-        _CACHE[name] = Classes(own)
-    return _CACHE[name]
+    def emit(held: list[Words]) -> pa.RecordBatch:
+        keys, at, n = np.unique(np.concatenate([w.keys for w in held]), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(np.concatenate([w.endings for w in held])[at])], ["h", "n", "ending"])
+
+    held, seen = [], 0
+    for _, words in _groups(batches):
+        held.append(words)
+        seen += len(words.keys)
+        if seen > FLUSH:
+            yield emit(held)
+            held, seen = [], 0
+    if held:
+        yield emit(held)
 
 
 def _expect(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model = held.value
-        classes, k = _classes(own), len(model.start)
+        own, ids, model = held.value
+        k = len(model.start)
         out, likely = np.zeros(k + k * k + model.emit.size), 0.0
-        for _, texts in _groups(batches):
-            likely += expected([classes.of([*w, END]) for w in texts], model, out)
+        for _, words in _groups(batches):
+            likely += expected(cut(words.split(words.classes(own, ids)), STRETCH), model, out)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([likely, *out[at].tolist()], pa.float64())], ["cell", "value"])
 
@@ -214,29 +246,28 @@ DOC = "key long, doc_id long, n_tokens long, known long, logs double, outer doub
 
 def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model, head, head_n, outer = held.value
-        classes = _classes(own)
+        own, ids, model, head, head_n, outer = held.value
         head_log = np.log10(head_n + 1.0)
         key = TaskContext.get().partitionId() << 33
-        for b, texts in _groups(batches):
-            every = [[*w, END] for w in texts]
-            seqs = [classes.of(w) for w in every]
-            hmm = forward(seqs, model) / math.log(10)
-            rows = {c: [] for c in ("known", "logs", "outer", "tail", "times")}
-            for words, seq in zip(every, seqs, strict=True):
-                h, times = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64), return_counts=True)
-                at = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
-                there = head[at] == h if len(head) else np.zeros(len(h), bool)
-                rows["known"].append(int(times[there].sum()))
-                rows["logs"].append(float(head_log[at[there]] @ times[there]))
-                rows["outer"].append(float(outer[seq].sum()))
-                rows["tail"].append(h[~there])
-                rows["times"].append(times[~there].astype(np.int32))
-            n = len(texts)
+        for b, words in _groups(batches):
+            n = len(words.edges) - 1
+            classes = words.classes(own, ids)
+            hmm = forward(words.split(classes), model) / math.log(10)
+            doc = np.repeat(np.arange(n), np.diff(words.edges))
+            at = np.minimum(np.searchsorted(head, words.keys), max(len(head) - 1, 0))
+            there = head[at] == words.keys if len(head) else np.zeros(len(doc), bool)
+            known = np.bincount(doc[there], minlength=n)
+            logs = np.bincount(doc[there], head_log[at[there]] if len(head) else None, minlength=n)
+            rare, owner = words.keys[~there], doc[~there]
+            order = np.lexsort((rare, owner))
+            rare, owner = rare[order], owner[order]
+            new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])])) if len(rare) else np.empty(0, np.int64)
+            times = np.diff(np.concatenate([new, [len(rare)]])).astype(np.int32)
+            lists = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=n))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(key, key + n)), b.column(0).cast(pa.int64()), pa.array([len(w) for w in every], pa.int64()), pa.array(rows["known"], pa.int64()), pa.array(rows["logs"], pa.float64()),
-                    pa.array(rows["outer"], pa.float64()), pa.array(hmm), pa.array(rows["tail"], pa.list_(pa.int64())), pa.array(rows["times"], pa.list_(pa.int32())),
+                    pa.array(np.arange(key, key + n)), b.column(0).cast(pa.int64()), pa.array(np.diff(words.edges)), pa.array(known.astype(np.int64)), pa.array(logs.astype(np.float64)),
+                    pa.array(np.bincount(doc, outer[classes], minlength=n)), pa.array(hmm), pa.ListArray.from_arrays(pa.array(lists), pa.array(rare[new])), pa.ListArray.from_arrays(pa.array(lists), pa.array(times)),
                 ],
                 [c.split()[0] for c in DOC.split(", ")],
             )
@@ -247,10 +278,12 @@ def _score(held):
 
 @dataclass
 class Model:
-    """own: class by word hash; head, head_n: hashes (sorted) and counts of frequent words; outer[class]: what a token of the
-    class takes off its word's log10(c + 1); passes: log likelihood of the training documents before each pass."""
+    """own, ids: hashes (sorted) of words with classes of their own, and these; head, head_n: hashes (sorted) and counts of
+    frequent words; outer[class]: what a token of the class takes off its word's log10(c + 1); passes: log likelihood of the
+    training documents before each pass."""
 
-    own: dict[int, int]
+    own: np.ndarray
+    ids: np.ndarray
     states: States
     head: np.ndarray
     head_n: np.ndarray
@@ -266,8 +299,10 @@ def fit(docs: DataFrame, states: int = STATES, head: int = HEAD, passes: int = P
     texts = id_text(docs)
     counts = staged(arrow_map(texts, _count, "h long, n long, ending int").groupBy("h").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(head).toPandas()
-    own = {int(h): k for k, h in enumerate(top["h"].head(OWN))}
+    top = most_frequent(counts, "n", head).toPandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
+    mine = top["h"].head(OWN).to_numpy(np.int64)
+    order = np.argsort(mine)
+    own, ids = mine[order], order.astype(np.int32)
     by_end = {r["ending"]: (r["n"], r["v"]) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     n, v = (np.array([by_end.get(e, (0, 0))[k] for e in range(ENDINGS)], float) for k in (0, 1))
     for e, c in zip(top["ending"].head(OWN), top["n"].head(OWN), strict=True):
@@ -283,17 +318,17 @@ def fit(docs: DataFrame, states: int = STATES, head: int = HEAD, passes: int = P
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_DOCS / max(rows, 1))))
     for part, times in ((staged(id_text(few), "hmm-sample"), sample_passes), (texts, passes)):
         for _ in range(times if rows else 0):
-            sums = arrow_map(part, _expect(spark.sparkContext.broadcast((own, model))), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+            sums = arrow_map(part, _expect(spark.sparkContext.broadcast((own, ids, model))), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
             cells = {r["cell"]: r["value"] for r in sums.collect()}
             likely.append(cells.pop(-1, 0.0))
             model = model.updated(cells, shares)
     order = np.argsort(top["h"].to_numpy(np.int64))
-    return Model(own, model, top["h"].to_numpy(np.int64)[order], top["n"].to_numpy(float)[order], outer, counts, int(total["n"]), int(total["v"]), likely)
+    return Model(own, ids, model, top["h"].to_numpy(np.int64)[order], top["n"].to_numpy(float)[order], outer, counts, int(total["n"]), int(total["v"]), likely)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast((model.own, model.states, model.head, model.head_n, model.outer))
+    held = docs.sparkSession.sparkContext.broadcast((model.own, model.ids, model.states, model.head, model.head_n, model.outer))
     rows = staged(arrow_map(id_text(docs), _score(held), DOC), "hmm-scores")
     tail = rows.select("key", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("key", F.col("t.tail").alias("h"), F.col("t.times").alias("times"))
     found = tail.join(model.counts.select("h", "n"), "h")
