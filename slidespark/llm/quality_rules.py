@@ -106,38 +106,40 @@ def rules() -> dict[str, Column]:
         "repeats": _vote((c("n_repeat_words") == 0) & (c("n_words") >= 30), 100 * c("n_repeat_words") > 20 * c("n_words")),
         "variety": _vote((10 * c("n_distinct") >= 3 * c("n_words")) & (c("n_words") >= 30), (100 * c("n_distinct") < 15 * c("n_words")) & (c("n_words") >= 50)),
         "capitals": _vote((100 * c("n_upper") < 15 * c("n_alpha")), 100 * c("n_upper") > 40 * c("n_alpha")),
-        "letters": _vote(100 * c("n_alpha") > 75 * c("word_chars"), 100 * c("n_alpha") < 50 * c("word_chars")),
+        "letters": _vote(100 * c("n_alpha") > 92 * c("word_chars"), 100 * c("n_alpha") < 88 * c("word_chars")),
         "line_ends": _vote(100 * c("n_end") >= 60 * c("n_lines"), (100 * c("n_end") < 10 * c("n_lines")) & (c("n_lines") >= 3)),
         "short_lines": _vote(100 * c("n_short_lines") <= 40 * c("n_lines"), (100 * c("n_short_lines") > 90 * c("n_lines")) & (c("n_lines") >= 5)),
     }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 60, prior: float = 0.85) -> tuple[float, np.ndarray]:
-    """The share of good documents and the table p[class, rule, vote + 1] of a naive Bayes mixture, by expectation-maximisation.
+def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 80, prior: float = 0.85) -> tuple[float, np.ndarray]:
+    """The share of good documents and p[class, rule], how often a rule that votes says drop, by expectation-maximisation.
 
-    Starts from rules that are right four times in five, which also fixes which class is the good one; counts are smoothed
-    with 10 votes for that start, so a rule that nearly never votes keeps it.
+    Abstaining says nothing about a document.  The start, rules that rarely drop good documents and drop two in five bad ones,
+    fixes which class is the good one; it counts as 10 votes of each rule, so a rule that nearly never votes keeps it.
     """
-    n_rules = patterns.shape[1]
-    start = np.empty((2, n_rules, 3))
-    start[1], start[0] = (0.05, 0.35, 0.60), (0.45, 0.45, 0.10)
+    start = np.stack([np.full(patterns.shape[1], 0.4), np.full(patterns.shape[1], 0.02)])
     table, share = start.copy(), prior
+    drop, voted = (patterns == -1).astype(float), (patterns != 0).astype(float)
+    if (total := counts.sum()) <= 0:
+        return share, table
     for _ in range(steps):
         good = posterior(patterns, share, table) * counts
-        if (total := counts.sum()) <= 0:
-            break
         share = float(np.clip((good.sum() + 10 * prior) / (total + 10), 0.02, 0.98))
         for cls, weight in ((1, good), (0, counts - good)):
-            for vote in range(3):
-                table[cls, :, vote] = ((patterns == vote - 1) * weight[:, None]).sum(0)
-            table[cls] = (table[cls] + 10 * start[cls]) / (table[cls].sum(1, keepdims=True) + 10)
+            table[cls] = (weight @ drop + 10 * start[cls]) / (weight @ voted + 10)
     return share, table
 
 
+def gains(table: np.ndarray) -> np.ndarray:
+    """What a vote to drop, an abstention and a vote to keep add to the log odds of being good, by rule."""
+    keep = np.log(1 - table[1]) - np.log(1 - table[0])
+    return np.stack([np.log(table[1]) - np.log(table[0]), np.zeros_like(keep), keep], 1)
+
+
 def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
-    at = np.arange(patterns.shape[1])
-    log = [np.log(p) + np.log(table[c, at, patterns + 1]).sum(1) for c, p in ((0, 1 - share), (1, share))]
-    return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+    odds = np.log(share) - np.log(1 - share) + gains(table)[np.arange(patterns.shape[1]), patterns + 1].sum(1)
+    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -145,13 +147,12 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     votes = rules()
     figures = staged(signals(docs), "signals").select("*", *(v.alias(f"v_{k}") for k, v in votes.items()))
     names = [f"v_{k}" for k in votes]
-    # what the base fails has no say in what good documents look like, but bad ones are learned from all rows
-    seen = figures.groupBy(*names).count().collect()
+    # the base has its own verdict: what it fails would only teach the model to see the same again
+    seen = figures.where(~base_failed()).groupBy(*names).count().collect()
     patterns = np.array([[r[n] for n in names] for r in seen], np.int64).reshape(-1, len(names))
     share, table = fit(patterns, np.array([r["count"] for r in seen], float))
     odds = F.lit(float(np.log(share) - np.log(1 - share)))
-    for k, n in enumerate(names):
-        gain = np.log(table[1, k]) - np.log(table[0, k])
+    for n, gain in zip(names, gains(table), strict=True):
         odds = odds + F.when(F.col(n) == -1, float(gain[0])).when(F.col(n) == 0, float(gain[1])).otherwise(float(gain[2]))
     out = figures.withColumn("base_failed", base_failed()).withColumn("quality", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
