@@ -91,16 +91,72 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_packing, op4_suffix_dedup, op5_jaccard_join, op6_quality_rules, op7_hmm, op8_decontaminate, op9_warc, op10_secret_scan)}
 
 _BLANK = r"[\x20\x09-\x0D]"
+_ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _words(separator: str) -> str:
+    return f"list_filter(string_split_regex(translate(coalesce(text, ''), {_ABC}), '{separator}+'), lambda x: x <> '')"
+
+
+def _spans_sql() -> str:
+    """Spans of every rule: where the text between matches and the matches themselves end."""
+    from .secret_scan import BASE, RULES
+
+    # the two patterns that RE2 spells otherwise: runs of hexadecimal digits are maximal anyway
+    same = {"hex": "[0-9a-f]{16,}"}
+    parts = []
+    for k, r in enumerate(RULES):
+        pattern = same.get(r.kind, r.pattern).replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {k} AS kind, '{r.kind}' AS name, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS h, regexp_extract_all(t, '{pattern}', {r.group}) AS g, {r.min_chars} AS least FROM d"
+        )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{b}" for k, b in enumerate(BASE))
+    text = "name || ':' || a || ':' || z"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m WHERE len(h) > 0),
+s AS (SELECT doc_id, kind, name, z - length(h[i]) AS a, z FROM (SELECT *, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(h[1:i], lambda x: length(x))) AS BIGINT) AS z FROM e) WHERE length(g[i]) >= least),
+f AS (SELECT doc_id, {counts}, string_agg({text}, ',' ORDER BY a, kind) FILTER (WHERE kind < {len(BASE)}) AS b, string_agg({text}, ',' ORDER BY a, kind) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{b}, 0) AS n_{b}" for b in BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f ON d.doc_id = f.doc_id"""
+
 
 ORACLE_SQL = {
     "op2_line_dedup": rf"""
 WITH lines AS (
-  SELECT d.doc_id, u.n, u.line, lower(regexp_replace(regexp_replace(u.line, '^{_BLANK}+', ''), '{_BLANK}+$', '')) AS low,
-         translate(regexp_replace(regexp_replace(u.line, '^{_BLANK}+', ''), '{_BLANK}+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  SELECT d.doc_id, u.n, u.line, translate(regexp_replace(regexp_replace(u.line, '^{_BLANK}+', ''), '{_BLANK}+$', ''), {_ABC}) AS k
   FROM documents d, LATERAL (SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(d.text, ''), chr(10)), 1) AS n) u),
 bad AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
 marked AS (SELECT l.doc_id, l.n, l.line, b.k IS NOT NULL AND l.doc_id <> b.keeper AS gone FROM lines l LEFT JOIN bad b ON l.k = b.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op5_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_words(_BLANK)} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[k:k + 2], ' ') END AS g
+       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS k FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 90 * (nx.n + ny.n - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.d, e.y FROM r JOIN e ON r.c = e.x)
+SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = d GROUP BY d""",
+    "op8_decontaminate": rf"""
+WITH w AS (SELECT doc_id, {_words(chr(91) + r"\x00-\x2F\x3A-\x60\x7B-\x7F" + chr(93))} AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words(chr(91) + r"\x00-\x2F\x3A-\x60\x7B-\x7F" + chr(93))} AS ws FROM benchmark),
+v AS (SELECT item, m, array_to_string(ws[k:k + m - 1], ' ') AS g FROM (SELECT item, ws, least(13, len(ws)) AS m, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS k FROM b WHERE len(ws) > 0)),
+d AS (SELECT doc_id, m, k, array_to_string(ws[k:k + m - 1], ' ') AS g FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM w, (SELECT DISTINCT m FROM v) WHERE len(ws) >= m)),
+h AS (SELECT DISTINCT doc_id, k, d.m, item FROM d JOIN v ON d.m = v.m AND d.g = v.g),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS q FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN i ON i.doc_id = w.doc_id""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+d AS (SELECT page_id, t, p.h, first, list_transform([1, 11, 21, 31], lambda k: CAST('0x' || substr(p.h, k, 10) AS UBIGINT)) AS v FROM p JOIN f ON p.h = f.h)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(v, lambda x: array_to_string(list_transform([35, 30, 25, 20, 15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d""",
+    "op10_secret_scan": _spans_sql(),
 }
