@@ -101,7 +101,7 @@ def test_jaccard_join(docs, rows, empty, nulls):
 
 def test_jaccard_frames_and_far_lists(spark):
     """Chains of near copies, so that links run outside the pivot, and sets that share rare words only."""
-    from conftest import make, words
+    from fixture_docs import make, words
     from slidespark.llm.jaccard_join import jaccard_join
 
     import random
