@@ -1,9 +1,10 @@
 """Exact n-gram Jaccard join with set relations: index lists, skipping, and answers derived from similar sets.
 
 A document is the set of its distinct word shingles (64-bit hashes).  Documents with equal sets are one class and only its
-representative takes part.  Sets of similarity t or more share one of their first |x| - ceil(t |x|) + 1 shingles in any common
+representative takes part.  Sets of similarity t or more share l of their first |x| - ceil(t |x|) + l shingles in any common
 order; the order here puts shingles that many documents hold last (counts are gathered in the tasks, the `hot` most frequent
-are sent to all), so the index lists of these prefixes are short.
+are sent to all), so the index lists of these prefixes are short.  With l = shared(|x|), a set in fewer lists than that has no
+partner: it is skipped before its lists are looked at, which leaves little but near copies.
 
 No list is expanded into pairs.  The smallest set of a list is its pivot, and every other set of the list is compared with it
 once: the overlap, which of the pivot's shingles are missing (a bit map) and which shingles are added.  From these relations
@@ -29,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_text, is_empty, pieces, staged
+from .common import arrow_map, id_text, is_empty, most_frequent, pieces, staged
 from .components import components
 
-HOT, HOT_LEAST = 1 << 18, 4
+HOT, HOT_LEAST = 1 << 18, 2
 BLOCK = 256
 #: Similarity to the pivot below which a set stays in its lists, in hundredths.
 FAR = 50
@@ -58,8 +59,14 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def shared(n: int, num: int, den: int) -> int:
+    """How many shingles of their prefixes a set of n and a partner no smaller share at least; grows with n."""
+    overlap = -(-num * n // den)
+    return min(overlap, max(8, (n - overlap) // 2 + 1))
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
+    return n - -(-num * n // den) + shared(n, num, den)
 
 
 def linked(both, nx, ny, num: int, den: int):
@@ -90,18 +97,19 @@ def _common(n: int):
     return run
 
 
-SETS = "doc_id long, n int, set_hash binary, prefix array<long>"
+SETS = "doc_id long, n int, set_hash binary, least int, prefix array<long>"
 
 
 def _prefixes(n: int, num: int, den: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = held.value
         for b in pieces(batches):
-            sizes, names, prefixes = [], [], []
+            sizes, names, least, prefixes = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, n)
                 sizes.append(len(s))
                 names.append(xxhash.xxh3_128_digest(s.tobytes()))
+                least.append(shared(-(-num * len(s) // den), num, den))
                 # sets of fewer than 1 / (1 - t) - 1 shingles link with nothing but their equals
                 if (len(s) + 1) * (den - num) < den:
                     prefixes.append([])
@@ -109,7 +117,7 @@ def _prefixes(n: int, num: int, den: int, held):
                 at = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
                 often = np.where(hot[at] == s, rank[at], 0) if len(hot) else np.zeros(len(s), np.int64)
                 prefixes.append(s[np.lexsort((s, often))[: prefix_size(len(s), num, den)]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "set_hash", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()), pa.array(least, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], [c.split()[0] for c in SETS.split(", ")])
 
     return run
 
@@ -126,7 +134,7 @@ RELATION = "pivot long, node long, both int, n_pivot int, n int, missing binary,
 
 
 def _relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlap of each set with its pivot; the pivot's shingles that it lacks as bits, its own that the pivot lacks."""
+    """Overlap of each set with its pivot; if it is near, the pivot's shingles that it lacks as bits and its own that the pivot lacks."""
     for b in pieces(batches, column="s"):
         out: dict[str, list] = {k: [] for k in ("both", "n_pivot", "n", "missing", "added")}
         for p, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -135,8 +143,10 @@ def _relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["both"].append(len(p) - int(lacks.sum()))
             out["n_pivot"].append(len(p))
             out["n"].append(len(s))
-            out["missing"].append(np.packbits(lacks).tobytes())
-            out["added"].append(s[~np.isin(s, p, assume_unique=True)].tobytes())
+            both = out["both"][-1]
+            near = 100 * both >= FAR * (len(p) + len(s) - both)
+            out["missing"].append(np.packbits(lacks).tobytes() if near else b"")
+            out["added"].append(s[~np.isin(s, p, assume_unique=True)].tobytes() if near else b"")
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], ["pivot", "node", *out])
 
@@ -260,7 +270,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     num / den or more), for every row of docs."""
     spark = docs.sparkSession
     texts = id_text(docs)
-    often = arrow_map(texts, _common(words), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tok").limit(hot).toPandas()
+    seen = staged(arrow_map(texts, _common(words), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")), "common")
+    often = most_frequent(seen, "n", hot).toPandas()
     toks = often["tok"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(toks)
     held = spark.sparkContext.broadcast((toks[order], often["n"].to_numpy(np.int64)[order]))
@@ -268,11 +279,17 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
 
     filled = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = staged(filled.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size")).where("size > 1").select("set_hash", "class_id"), "classes")
-    member = filled.select("doc_id", "set_hash", "n", "prefix").join(classes, "set_hash", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    tokens = member.where((F.col("doc_id") == F.col("class_id")) & (F.size("prefix") > 0)).select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "tok"))
+    member = filled.join(classes, "set_hash", "left").where(F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id")))
+    tokens = member.select(F.col("doc_id").alias("node"), "n", "least", F.posexplode("prefix").alias("pos", "tok"))
+    for step in ("entries", "kept-entries"):
+        lists = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        entries = staged(tokens.join(staged(lists, "lists"), "tok").drop("size"), step)
+        # a set with partners is in enough lists; what is left makes new, shorter lists
+        enough = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n_lists"), F.max("least").alias("least")).where("n_lists >= least").select("node")
+        tokens = entries.join(staged(enough, "enough"), "node", "left_semi")
+    tokens = staged(tokens.select("tok", "node", "n", "pos"), "tokens")
     lists = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "node")).alias("p")).where("size > 1")
-    lists = staged(lists.select("tok", "size", F.col("p.node").alias("pivot")), "lists")
-    entries = staged(tokens.join(lists, "tok"), "entries")
+    entries = staged(tokens.join(staged(lists.select("tok", F.col("p.node").alias("pivot")), "lists"), "tok"), "entries")
 
     pairs = staged(entries.where(F.col("node") != F.col("pivot")).select("pivot", "node").distinct(), "pairs")
     wanted = staged(pairs.select("node").union(pairs.select("pivot")).distinct(), "wanted")
