@@ -3,7 +3,7 @@
 Writing.  Payload digests find the copies (one aggregation with partial sums; only digests of two or more records go on), each
 record gets its bytes and an archive number, and the index (archive, offset, length, url, digest, page id) is written before
 the archives: within an archive records are ordered, so offsets are running sums of lengths.  The archives are then written in
-that order, one file each, as lines that end in the blank lines which end a WARC record; no executor opens a file itself.
+that order, one file each, the records being made anew (no copy of them is kept), as lines that end in the blank lines which end a WARC record; no executor opens a file itself.
 Copies of a payload become revisits of the record with the smallest page id; they keep the HTTP head of the original.
 
 Reading.  The selected index rows are dealt out by archive and stretch of the file, sorted by offset, and ranges with small gaps
@@ -67,8 +67,8 @@ def records(pages: DataFrame, min_revisit: int = 0, date: str = "2000-01-01T00:0
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = 64 << 20, least: int = 64, min_revisit: int = 0) -> DataFrame:
     """Write {path}/index (Parquet), then {path}/warc/archive=N/*.txt; returns the index.  Archives hold about archive_bytes."""
     spark = pages.sparkSession
-    rows = staged(records(pages, min_revisit), "records")
-    total = rows.agg(F.sum("length")).first()[0] or 0
+    rows = records(pages, min_revisit)
+    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     n = max(least, -(-total // archive_bytes))
     keys = ["page_id", "url", "digest", "length"]
     dealt = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(n)).cast("int"))
