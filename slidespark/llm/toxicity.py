@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_bucket, id_text, pieces, staged
+from .common import arrow_map, crc_bucket, id_text, most_frequent, pieces, staged
 
 MAX_ROWS, LEXICON, FOLDS = 20_000, 4000, 3
 #: Fixed list: second-person words of the languages at hand.
@@ -256,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_row
     # entries of fewer than two toxic documents are in no lexicon, and there are at most lexicon * 8 of the others
     rank = sum((F.col(f"c1{f}") for f in range(FOLDS)), F.lit(0))
     common = counted.agg(*aggs).where((rank >= 2) & (sum((F.col(f"c0{f}") for f in range(FOLDS)), F.lit(0)) < 5 * rank))
-    rows = common.orderBy(rank.desc(), "entry").limit(8 * lexicon).collect()
+    rows = most_frequent(staged(common.withColumn("rank", rank), "entries"), "rank", 8 * lexicon).collect()
     full = _lexicon({r["entry"]: (sum(r[f"c1{f}"] for f in range(FOLDS)), sum(r[f"c0{f}"] for f in range(FOLDS))) for r in rows}, sum(pos), sum(neg), lexicon)
     others = []
     for f in range(FOLDS):
