@@ -104,13 +104,16 @@ def _anchors(length: int):
     return run
 
 
-SEGMENT = "doc long, name long, h long, g long, first int, last int, pos int"
+SEGMENT = "doc long, name long, h long, g long, first int, last int, pos int, times int"
 
 
 def _segments(length: int):
+    """One row per document and content, with how often the document holds it.  What a document repeats itself is settled at
+    once: it comes as stretches of windows without an anchor, so that periodic texts make few rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(8)]
             for doc, name, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if len(text) < length:
                     continue
@@ -118,7 +121,20 @@ def _segments(length: int):
                 h, first, last, pos = segments(text, length, ph)
                 with np.errstate(over="ignore"):
                     g = ph.of(first, last + length) + (pos - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - first).astype(np.uint64)
-                for k, v in enumerate((np.full(len(h), doc, np.int64), np.full(len(h), name, np.int64), h.view(np.int64), g.view(np.int64), first, last, pos)):
+                own, at, index, times = np.unique(np.stack([h, g]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+                again = times[index] > 1
+                if again.any():
+                    start, stop = first[again], last[again]
+                    new = np.concatenate([[True], start[1:] > stop[:-1] + length])
+                    runs = np.flatnonzero(new)
+                    ends = stop[np.concatenate([runs[1:] - 1, [len(stop) - 1]])]
+                    at = np.concatenate([at, np.zeros(len(runs), np.int64)])
+                    own = np.concatenate([own, np.zeros((2, len(runs)), np.uint64)], 1)
+                    first, last = np.concatenate([first[at[: len(times)]], start[runs]]), np.concatenate([last[at[: len(times)]], ends])
+                    times = np.concatenate([times, np.zeros(len(runs), np.int64)])
+                else:
+                    first, last = first[at], last[at]
+                for k, v in enumerate((np.full(len(at), doc, np.int64), np.full(len(at), name, np.int64), own[0].view(np.int64), own[1].view(np.int64), first, last, pos[at], times)):
                     cols[k].append(v)
             flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in cols]
             yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64 if k < 4 else np.int32)) for k, v in enumerate(flat)], [c.split()[0] for c in SEGMENT.split(", ")])
@@ -329,12 +345,15 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = CROWD) -> Data
     # rows that agree in id and text have one verdict, so both name a row
     named = texts.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc"), F.xxhash64("text").alias("name"), "text")
     twice = staged(arrow_map(named, _anchors(length), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors")
-    found = staged(arrow_map(named, _segments(length), SEGMENT).join(twice, "h", "left_semi"), "segments")
+    both = arrow_map(named, _segments(length), SEGMENT)
+    # times 0: stretches that their document repeats itself; they have no anchor and pass by the join
+    found = staged(both.join(twice.withColumn("known", F.lit(True)), "h", "left").where("known OR times = 0").drop("known"), "segments")
+    alone, found = found.where("times = 0"), found.where("times > 0")
 
-    contents = staged(found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc")), "contents")
+    contents = staged(found.groupBy("h", "g").agg(F.sum("times").alias("n"), F.min("doc").alias("doc")), "contents")
     kinds = staged(contents.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("single")).where("single > 0 and kinds > 1"), "kinds")
     whole = found.join(contents.where("n > 1").select("h", "g"), ["h", "g"], "left_semi")
-    cover = whole.select("doc", "name", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    cover = whole.unionByName(alone).select("doc", "name", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
     # segments that meet other contents, and one copy of each content that repeats as a whole
     some = contents.join(kinds, "h").select("h", "g", "kinds", (F.col("n") == 1).alias("open"), "doc")
