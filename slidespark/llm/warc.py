@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_path, staged
+from .common import arrow_map, pieces, shared_path, staged
 
 GAP, SPAN = 64 << 10, 8 << 20
 PARSED = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean, payload binary"
@@ -64,6 +65,14 @@ def records(pages: DataFrame, min_revisit: int = 0, date: str = "2000-01-01T00:0
     return both.select("page_id", "url", "digest", "record_type", "refers_to", F.concat(head, block).alias("record")).withColumn("length", F.octet_length("record").cast("long") + len(_END))
 
 
+def _recode(change):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, column="record"):
+            yield b.set_column(5, "record", pa.array([change(x) for x in b.column(5).to_pylist()], pa.binary()))
+
+    return run
+
+
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = 64 << 20, least: int = 64, min_revisit: int = 0) -> DataFrame:
     """Write {path}/index (Parquet), then {path}/warc/archive=N/*.txt; returns the index.  Archives hold about archive_bytes."""
     spark = pages.sparkSession
@@ -75,7 +84,11 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 64 << 20, l
     before = Window.partitionBy("archive").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     index = dealt.drop("record").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     index.write.parquet(f"{path}/index")
-    ordered = dealt.repartition(n, "archive").sortWithinPartitions("archive", *keys).select("archive", "record")
+    # records travel deflated; they are sorted once they are whole again, so the writer takes them in the index's order
+    kept = "archive int, page_id long, url string, digest string, length long, record binary"
+    deflated = arrow_map(dealt.select("archive", F.col("page_id").cast("long"), "url", "digest", "length", F.col("record").cast("binary").alias("record")), _recode(lambda x: zlib.compress(x, 1)), kept)
+    whole = arrow_map(deflated.repartition(n, "archive"), _recode(zlib.decompress), kept)
+    ordered = whole.sortWithinPartitions("archive", *keys).select("archive", F.col("record").cast("string").alias("record"))
     ordered.write.option("lineSep", _END).partitionBy("archive").text(f"{path}/warc")
     return spark.read.schema(index.schema).parquet(f"{path}/index")
 
