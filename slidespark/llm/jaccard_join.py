@@ -4,7 +4,8 @@ A document is the set of its distinct word shingles (64-bit hashes).  Documents
 representative takes part.  Sets of similarity t or more share l of their first |x| - ceil(t |x|) + l shingles in any common
 order; the order here puts shingles that many documents hold last (counts are gathered in the tasks, the `hot` most frequent
 are sent to all), so the index lists of these prefixes are short.  With l = shared(|x|), a set in fewer lists than that has no
-partner: it is skipped before its lists are looked at, which leaves little but near copies.
+partner: it is skipped before its lists are looked at, which leaves little but near copies.  Short shingles meet by chance the
+more often the larger the corpus is, so prefixes go deeper for them.
 
 No list is expanded into pairs.  The smallest set of a list is its pivot, and every other set of the list is compared with it
 once: the overlap, which of the pivot's shingles are missing (a bit map) and which shingles are added.  From these relations
@@ -59,14 +60,14 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def shared(n: int, num: int, den: int) -> int:
-    """How many shingles of their prefixes a set of n and a partner no smaller share at least; grows with n."""
+def shared(n: int, num: int, den: int, depth: int) -> int:
+    """How many shingles of their prefixes a set of n and a partner no smaller share at least; grows with n and with depth."""
     overlap = -(-num * n // den)
-    return min(overlap, max(8, (n - overlap) // 2 + 1))
+    return min(overlap, max(8, (n - overlap) * depth // 2 + 1))
 
 
-def prefix_size(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + shared(n, num, den)
+def prefix_size(n: int, num: int, den: int, depth: int) -> int:
+    return n - -(-num * n // den) + shared(n, num, den, depth)
 
 
 def linked(both, nx, ny, num: int, den: int):
@@ -100,7 +101,7 @@ def _common(n: int):
 SETS = "doc_id long, n int, set_hash binary, least int, prefix array<long>"
 
 
-def _prefixes(n: int, num: int, den: int, held):
+def _prefixes(n: int, num: int, den: int, depth: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = held.value
         for b in pieces(batches):
@@ -109,14 +110,14 @@ def _prefixes(n: int, num: int, den: int, held):
                 s = shingles(text, n)
                 sizes.append(len(s))
                 names.append(xxhash.xxh3_128_digest(s.tobytes()))
-                least.append(shared(-(-num * len(s) // den), num, den))
+                least.append(shared(-(-num * len(s) // den), num, den, depth))
                 # sets of fewer than 1 / (1 - t) - 1 shingles link with nothing but their equals
                 if (len(s) + 1) * (den - num) < den:
                     prefixes.append([])
                     continue
                 at = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
                 often = np.where(hot[at] == s, rank[at], 0) if len(hot) else np.zeros(len(s), np.int64)
-                prefixes.append(s[np.lexsort((s, often))[: prefix_size(len(s), num, den)]].view(np.int64))
+                prefixes.append(s[np.lexsort((s, often))[: prefix_size(len(s), num, den, depth)]].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()), pa.array(least, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], [c.split()[0] for c in SETS.split(", ")])
 
     return run
@@ -275,11 +276,13 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     toks = often["tok"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(toks)
     held = spark.sparkContext.broadcast((toks[order], often["n"].to_numpy(np.int64)[order]))
-    sets = staged(arrow_map(texts, _prefixes(words, num, den, held), SETS), "sets")
+    sets = staged(arrow_map(texts, _prefixes(words, num, den, 4 if words < 5 else 1, held), SETS), "sets")
 
     filled = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = staged(filled.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size")).where("size > 1").select("set_hash", "class_id"), "classes")
-    member = filled.join(classes, "set_hash", "left").where(F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id")))
+    # which documents repeat another's set is found without their prefixes
+    again = filled.select("doc_id", "set_hash").join(classes, "set_hash").where(F.col("doc_id") != F.col("class_id")).select("doc_id")
+    member = filled.join(staged(again, "again"), "doc_id", "left_anti")
     tokens = member.select(F.col("doc_id").alias("node"), "n", "least", F.posexplode("prefix").alias("pos", "tok"))
     for step in ("entries", "kept-entries"):
         lists = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -287,11 +290,13 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
         # a set with partners is in enough lists; what is left makes new, shorter lists
         enough = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n_lists"), F.max("least").alias("least")).where("n_lists >= least").select("node")
         tokens = entries.join(staged(enough, "enough"), "node", "left_semi")
-    tokens = staged(tokens.select("tok", "node", "n", "pos"), "tokens")
+    tokens = staged(tokens.select("tok", "node", "n", "pos", "least"), "tokens")
     lists = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "node")).alias("p")).where("size > 1")
-    entries = staged(tokens.join(staged(lists.select("tok", F.col("p.node").alias("pivot")), "lists"), "tok"), "entries")
+    entries = staged(tokens.join(staged(lists.select("tok", "size", F.col("p.node").alias("pivot")), "lists"), "tok"), "entries")
 
-    pairs = staged(entries.where(F.col("node") != F.col("pivot")).select("pivot", "node").distinct(), "pairs")
+    # a pair that meets in lists of two alone meets in as many as partners share; fewer are chance.  Larger lists see their own pairs
+    met = entries.where(F.col("node") != F.col("pivot")).groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("met"), F.max("size").alias("largest"), F.max("least").alias("least"))
+    pairs = staged(met.where("largest > 2 OR met >= least").select("pivot", "node"), "pairs")
     wanted = staged(pairs.select("node").union(pairs.select("pivot")).distinct(), "wanted")
     own = texts.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     full = staged(arrow_map(own, _sets(words), "node long, s binary").groupBy("node").agg(F.min("s").alias("s")), "full-sets")
