@@ -203,6 +203,13 @@ def test_hmm(docs, rows, empty, spark):
         before = after
 
 
+def test_hmm_states(docs):
+    from slidespark.llm.hmm import fit
+
+    states = fit(docs, passes=1, sample_passes=0).states
+    assert (states.start.shape, states.step.shape, states.emit.shape[1]) == ((10,), (10, 10), 10)
+
+
 def test_hmm_words_sum_to_one(docs):
     """Over all known words and one unknown word per class, P(word | class) sums to 1."""
     from slidespark.llm.hmm import ENDINGS, OWN, fit
