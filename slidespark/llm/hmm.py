@@ -6,10 +6,11 @@ second factor needs no state: with c the word's count, N and V the class's token
 (c + 1) / (N + V + 1), one unknown word being allowed for in each class.  So the exact log likelihood of a text is the forward
 recursion over its classes plus a sum over its words.
 
-Counts cover all training documents.  Words are counted in each task, then by hash.  Each Baum-Welch pass runs over all
+Counts cover all training documents.  Words are counted in each task, then by hash.  The classes of all tokens are staged once,
+and every Baum-Welch pass runs over those of all
 training documents, in sequences of at most STRETCH tokens (scoring knows no such limit); tasks return sums of expected counts,
 which Spark adds by cell; only the state tables (their size is fixed)
-reach the driver.  The first passes run on a bounded sample, to have a start.  For the sums over words, counts of the `head`
+reach the driver.  For the sums over words, counts of the `head`
 most frequent words are sent to the executors (a bounded table); the other words of each document are joined with the counts
 by hash, so frequent words never meet in one task and a vocabulary of any size will do.
 
@@ -35,7 +36,7 @@ from .common import BLANKS, arrow_map, id_text, most_frequent, pieces, staged
 from .suffix_dedup import PrefixHash
 
 STATES, OWN, ENDINGS, HEAD = 10, 2000, 512, 1 << 17
-SAMPLE_DOCS, SAMPLE_PASSES, PASSES = 2000, 8, 2
+PASSES = 10
 STRETCH = 512
 #: Stands for a text's end among word hashes.
 END = 0
@@ -228,13 +229,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(held)
 
 
+def _code(held):
+    """The classes of each text's tokens, as 16-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ids = held.value
+        for _, words in _groups(batches):
+            seqs = words.split(words.classes(own, ids).astype("<u2"))
+            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in seqs], pa.binary())], ["classes"])
+
+    return run
+
+
 def _expect(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids, model = held.value
+        model = held.value
         k = len(model.start)
         out, likely = np.zeros(k + k * k + model.emit.size), 0.0
-        for _, words in _groups(batches):
-            likely += expected(cut(words.split(words.classes(own, ids)), STRETCH), model, out)
+        for b in pieces(batches, 1 << 19, "classes"):
+            likely += expected(cut([np.frombuffer(c, "<u2") for c in b.column(0).to_pylist()], STRETCH), model, out)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([likely, *out[at].tolist()], pa.float64())], ["cell", "value"])
 
@@ -294,7 +307,8 @@ class Model:
     passes: list[float]
 
 
-def fit(docs: DataFrame, states: int = STATES, head: int = HEAD, passes: int = PASSES, sample_passes: int = SAMPLE_PASSES) -> Model:
+def fit(docs: DataFrame, states: int = STATES, head: int = HEAD, passes: int = PASSES, sample_passes: int = 0) -> Model:
+    """sample_passes are more passes; they too run over all documents."""
     spark = docs.sparkSession
     texts = id_text(docs)
     counts = staged(arrow_map(texts, _count, "h long, n long, ending int").groupBy("h").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")), "word-counts")
@@ -314,14 +328,12 @@ def fit(docs: DataFrame, states: int = STATES, head: int = HEAD, passes: int = P
     mass = np.concatenate([np.pad(top["n"].head(OWN).to_numpy(float), (0, OWN - len(own))), n + 1])
     shares = mass / mass.sum()
     model, likely = States.begin(shares, states), []
-    rows = docs.count()
-    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_DOCS / max(rows, 1))))
-    for part, times in ((staged(id_text(few), "hmm-sample"), sample_passes), (texts, passes)):
-        for _ in range(times if rows else 0):
-            sums = arrow_map(part, _expect(spark.sparkContext.broadcast((own, ids, model))), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
-            cells = {r["cell"]: r["value"] for r in sums.collect()}
-            likely.append(cells.pop(-1, 0.0))
-            model = model.updated(cells, shares)
+    coded = staged(arrow_map(texts, _code(spark.sparkContext.broadcast((own, ids))), "classes binary"), "hmm-classes")
+    for _ in range(passes + sample_passes if total["n"] else 0):
+        sums = arrow_map(coded, _expect(spark.sparkContext.broadcast(model)), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+        cells = {r["cell"]: r["value"] for r in sums.collect()}
+        likely.append(cells.pop(-1, 0.0))
+        model = model.updated(cells, shares)
     order = np.argsort(top["h"].to_numpy(np.int64))
     return Model(own, ids, model, top["h"].to_numpy(np.int64)[order], top["n"].to_numpy(float)[order], outer, counts, int(total["n"]), int(total["v"]), likely)
 

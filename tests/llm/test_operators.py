@@ -210,6 +210,18 @@ def test_hmm_states(docs):
     assert (states.start.shape, states.step.shape, states.emit.shape[1]) == ((10,), (10, 10), 10)
 
 
+def test_hmm_passes_are_whole(spark):
+    """Every pass sees every document, however many there are."""
+    from slidespark.llm.hmm import fit
+
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('w', id % 7, ' v', id % 5) AS text")
+    model = fit(docs, states=2, passes=1, sample_passes=2)
+    assert len(model.passes) == 3
+    # log likelihoods of the whole lie close together, that of a sample is a fraction
+    first, *more = model.passes
+    assert first < 0 and all(0.5 * first > p > 2 * first for p in more) and first < -5000 * 3
+
+
 def test_hmm_words_sum_to_one(docs):
     """Over all known words and one unknown word per class, P(word | class) sums to 1."""
     from slidespark.llm.hmm import ENDINGS, OWN, fit
