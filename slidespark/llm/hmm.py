@@ -7,10 +7,8 @@ second factor needs no state: with c the word's count, N and V the class's token
 recursion over its classes plus a sum over its words.
 
 Counts cover all training documents.  Words are counted in each task, then by hash.  The classes of all tokens are staged once,
-and every Baum-Welch pass runs over those of all
-training documents, in sequences of at most STRETCH tokens (scoring knows no such limit); tasks return sums of expected counts,
-which Spark adds by cell; only the state tables (their size is fixed)
-reach the driver.  For the sums over words, counts of the `head`
+and every Baum-Welch pass runs over those of all training documents; tasks return sums of expected counts, which Spark adds by
+cell; only the state tables (their size is fixed) reach the driver.  For the sums over words, counts of the `head`
 most frequent words are sent to the executors (a bounded table); the other words of each document are joined with the counts
 by hash, so frequent words never meet in one task and a vocabulary of any size will do.
 
@@ -169,37 +167,81 @@ def forward(seqs: list[np.ndarray], model: States, stretch: int = STRETCH) -> np
     return out
 
 
-def cut(seqs: list[np.ndarray], stretch: int) -> list[np.ndarray]:
-    return [s[a : a + stretch] for s in seqs for a in range(0, len(s), stretch)]
-
-
-def expected(seqs: list[np.ndarray], model: States, out: np.ndarray) -> float:
-    """Add expected counts (start, steps, emissions, flat) to out; returns the log likelihood."""
+def _tails(seqs: list[np.ndarray], model: States) -> np.ndarray:
+    """The backward vector (it sums to 1) before each sequence that ends its text."""
+    order, flat, live = _steps(seqs)
+    beta, at = np.ones((0, len(model.start))), len(flat)
+    for a in live[::-1].tolist():
+        beta = np.concatenate([beta, np.ones((a - len(beta), beta.shape[1]))])
+        beta = (model.emit[flat[at - a : at]] * beta) @ model.step.T
+        beta /= beta.sum(1)[:, None]
+        at -= a
+    back = np.empty_like(beta)
+    back[order] = beta
+    return back
+
+
+def _carried(seqs: list[np.ndarray], model: States, stretch: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of all sequences, whether each is its sequence's first, the state vector (it sums to 1) before each that is
+    not, and the backward vector after each, scaled to 1 against the state vector there."""
+    many = np.array([max(1, -(-len(s) // stretch)) for s in seqs])
+    parts = [s[a : a + stretch] for s in seqs for a in range(0, len(s), stretch)]
+    heads = np.concatenate([[0], np.cumsum(many)[:-1]])
+    first = np.zeros(len(parts), bool)
+    first[heads] = True
     k = len(model.start)
-    _, flat, live = _steps(seqs)
+    before, after = np.zeros((len(parts), k)), np.ones((len(parts), k))
+    rest = np.flatnonzero(~first)
+    if len(rest):
+        long = heads[many > 1]
+        _, ends = _heads([parts[i] for i in long], model)
+        before[long + 1] = ends
+        last = np.append(first[1:], True)
+        middle, tail = rest[~last[rest]], rest[last[rest]]
+        matrices = _transfers([parts[i] for i in middle], model)[0] if len(middle) else []
+        for i, m in zip(middle.tolist(), matrices, strict=True):
+            v = before[i] @ m
+            before[i + 1] = v / v.sum()
+        w = _tails([parts[i] for i in tail], model)
+        after[tail - 1] = w / (before[tail] * w).sum(1)[:, None]
+        for i, m in zip(middle[::-1].tolist(), matrices[::-1], strict=True):
+            w = m @ after[i]
+            after[i - 1] = w / (before[i] @ w)
+    return parts, first, before, after
+
+
+def expected(seqs: list[np.ndarray], model: States, out: np.ndarray, stretch: int = STRETCH) -> float:
+    """Add expected counts (start, steps, emissions, flat) to out; returns the log likelihood.
+
+    Sequences longer than `stretch` are run as stretches side by side, with the forward and backward vectors carried over the
+    cuts, so the counts are those of the whole sequences.
+    """
+    k = len(model.start)
+    parts, first, before, after = _carried(seqs, model, stretch)
+    order, flat, live = _steps(parts)
+    first, before, after = first[order], before[order], after[order]
     n, at = len(flat), np.concatenate([[0], np.cumsum(live)])
     emit, alphas, scales = model.emit[flat], np.empty((n, k)), np.empty(n)
     alpha = None
     for t, a in enumerate(live.tolist()):
         e = emit[at[t] : at[t + 1]]
-        alpha = e * model.start if alpha is None else (alpha[:a] @ model.step) * e
+        alpha = e * np.where(first[:, None], model.start, before @ model.step) if alpha is None else (alpha[:a] @ model.step) * e
         scale = alpha.sum(1)
         alpha = alpha / scale[:, None]
         alphas[at[t] : at[t + 1]], scales[at[t] : at[t + 1]] = alpha, scale
-    steps, beta = np.zeros((k, k)), np.ones((int(live[-1]), k))
+    steps, beta = np.zeros((k, k)), after[: live[-1]]
     gammas = alphas  # filled from behind, each position once it is done
     for t in range(len(live) - 1, -1, -1):
         here = slice(at[t], at[t + 1])
-        if t:
-            weighted = emit[here] * beta / scales[here, None]
-            steps += alphas[at[t - 1] : at[t - 1] + live[t]].T @ weighted
-            before = np.ones((int(live[t - 1]), k))
-            before[: live[t]] = weighted @ model.step.T
+        weighted = emit[here] * beta / scales[here, None]
+        # the vectors before first stretches are 0: no step leads to a text's start
+        steps += (alphas[at[t - 1] : at[t - 1] + live[t]] if t else before).T @ weighted
         gammas[here] = alphas[here] * beta
         if t:
-            beta = before
+            beta = after[: live[t - 1]].copy()
+            beta[: live[t]] = weighted @ model.step.T
     m = model.emit.shape[0]
-    out[:k] += gammas[: live[0]].sum(0)
+    out[:k] += gammas[: live[0]][first].sum(0)
     out[k : k + k * k] += (steps * model.step).ravel()
     table = out[k + k * k :].reshape(m, k)
     for z in range(k):
@@ -247,7 +289,7 @@ def _expect(held):
         k = len(model.start)
         out, likely = np.zeros(k + k * k + model.emit.size), 0.0
         for b in pieces(batches, 1 << 19, "classes"):
-            likely += expected(cut([np.frombuffer(c, "<u2") for c in b.column(0).to_pylist()], STRETCH), model, out)
+            likely += expected([np.frombuffer(c, "<u2") for c in b.column(0).to_pylist()], model, out)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([likely, *out[at].tolist()], pa.float64())], ["cell", "value"])
 

@@ -222,6 +222,20 @@ def test_hmm_passes_are_whole(spark):
     assert first < 0 and all(0.5 * first > p > 2 * first for p in more) and first < -5000 * 3
 
 
+def test_hmm_counts_do_not_see_cuts():
+    from slidespark.llm.hmm import STRETCH, States, expected
+
+    rng = np.random.default_rng(4)
+    k, m = 3, 5
+    states = States(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(m), k).T.copy())
+    seqs = [rng.integers(0, m, n).astype(np.int32) for n in (7, 1, 2, 12, 3, 6, 2 * STRETCH + 3)]
+    whole, parts, usual = (np.zeros(k + k * k + m * k) for _ in range(3))
+    likely = expected(seqs, states, whole, 10 * STRETCH)
+    assert abs(expected(seqs, states, parts, 3) - likely) < 1e-8 and np.allclose(parts, whole)
+    assert abs(expected(seqs, states, usual) - likely) < 1e-8 and np.allclose(usual, whole)
+    assert abs(whole[:k].sum() - len(seqs)) < 1e-9
+
+
 def test_hmm_words_sum_to_one(docs):
     """Over all known words and one unknown word per class, P(word | class) sums to 1."""
     from slidespark.llm.hmm import ENDINGS, OWN, fit
