@@ -169,9 +169,11 @@ def scatter(points: DataFrame, fill: float | None = None) -> DataFrame:
     """Sparse pixels (y, x, value) to their dense box, moved to 0, 0; of pixels that meet, the one with the largest `ord` stays."""
     if "ord" in points.columns:
         points = points.groupBy("y", "x").agg(F.max_by("value", "ord").alias("value"))
-    b = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    rows = b.select("x0", "y0", "x1", F.explode(F.sequence("y0", "y1")).alias("y")).select("x0", "y0", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    out = rows.join(points, ["y", "x"], "left").select((F.col("y") - F.col("y0")).cast("int").alias("y"), (F.col("x") - F.col("x0")).cast("int").alias("x"), "value")
+    x0, x1, y0, y1 = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    moved = points.select((F.col("y") - F.lit(y0)).cast("int").alias("y"), (F.col("x") - F.lit(x0)).cast("int").alias("x"), "value")
+    if x0 is None:
+        return moved.limit(0)
+    out = grid(points.sparkSession, y1 - y0 + 1, x1 - x0 + 1).join(moved, ["y", "x"], "left").select("y", "x", "value")
     return out if fill is None else out.na.fill(fill, ["value"])
 
 

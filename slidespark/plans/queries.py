@@ -290,6 +290,17 @@ def scatter_last_wins(spark, d):
     return pixels.last_wins(p, ["l_partkey", "l_suppkey", "l_shipdate", "value"])
 
 
+@query(
+    "WITH s AS (SELECT y, x, value FROM (SELECT l_orderkey AS y, CAST(l_linenumber AS BIGINT) AS x, l_quantity AS value, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_shipdate DESC, l_quantity DESC) AS rn FROM lineitem) WHERE rn = 1), "
+    "b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM s), r AS (SELECT x0, x1, y0, unnest(range(y0, y1 + 1)) AS gy FROM b), g AS (SELECT x0, y0, gy, unnest(range(x0, x1 + 1)) AS gx FROM r) "
+    "SELECT CAST(gy - y0 AS INTEGER) AS y, CAST(gx - x0 AS INTEGER) AS x, value FROM g LEFT JOIN s ON s.y = gy AND s.x = gx"
+)
+def scatter_table(spark, d):
+    """All of a table that is sparse by nature, on the box that its own bounds give."""
+    p = model.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("y"), F.col("l_linenumber").cast("long").alias("x"), F.col("l_quantity").alias("value"), F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_quantity").alias("ord"))
+    return pixels.scatter(p)
+
+
 @query("SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM range(0, 20) a(y), range(0, 25) b(x)")
 def yx_grid(spark, d):
     return pixels.grid(spark, 20, 25)

@@ -95,6 +95,17 @@ def test_flip_and_resize(px, image):
     assert np.allclose(array(pixels.resize(px, W, H, W, H), image.shape), image)
 
 
+def test_scatter_takes_the_whole_table(spark):
+    from slidespark.plans import model
+    from slidespark.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    sparse = model.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct().toPandas()
+    got = QUERIES["scatter_table"](spark, d).toPandas()
+    spans = [int(sparse[c].max() - sparse[c].min()) + 1 for c in sparse]
+    assert len(got) == spans[0] * spans[1] and got["value"].notna().sum() == len(sparse)
+
+
 def test_scatter_and_stitch(spark):
     p = spark.createDataFrame([(5, 7, 1.0, 1), (6, 9, 2.0, 2), (5, 7, 3.0, 3)], "y int, x int, value double, ord int")
     got = {(r["y"], r["x"]): r["value"] for r in pixels.scatter(p).collect()}
