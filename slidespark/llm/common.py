@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -20,12 +21,19 @@ from slidespark.session import ship
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
+#: Most rows of a table of one or two numbers that is sent to every executor.
+SMALL = 1 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  A temporary one is set only where none is (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where none is set, a temporary folder will do in
+    local mode, where driver and executors are one process; on a cluster that is an error."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="slidespark-"))
         held = jsc.getCheckpointDir().get()
     return held.rstrip("/")
@@ -48,7 +56,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name) + "/t"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path.removesuffix("/t")
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df, to be sent to every executor if it has at most so many rows (they are counted); else Spark joins it as any table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def partitions(spark: SparkSession) -> int:
+    """How many tasks a shuffle makes; given to repartition() where tasks are heavy but few bytes, so that they are not merged."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +130,8 @@ def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
         if total > limit:
             break
         least = r["b"]
+    if least is None and total:  # more than limit rows are among the most frequent: of these, those with the largest counts, then by hash
+        return df.where(F.col(count) > 0).orderBy(F.desc(count), F.xxhash64(*df.columns)).limit(limit)
     return df.where(step >= least if least is not None else F.lit(False))
 
 

@@ -15,9 +15,13 @@ with the others of its frame, in blocks of at most `block` by `block`, and a blo
 from the pivot for these relations (below FAR) stay in their lists; these are scanned in order of size, blocks of the list
 whose sizes and positions allow no link being skipped, and what is left is compared directly.  Links are lost nowhere.
 
+Before whole sets are compared, sketches are: counts of a set's shingles by range of hash.  Two sets differ in at least as many
+shingles as their counts do, so a pair whose sketches are too far apart is no link, and chance pairs cost some bytes each.
+
 Defined results: null and empty texts have no set, link with nothing and are components of their own; a text of fewer words
-than a shingle is one shingle; rows that share an id are one document (which of different texts is compared is not defined);
-rows without an id keep a null component and link nothing; an empty table gives no rows; only ids and texts are read.
+than a shingle is one shingle; rows that share an id are one document, with the set of the largest hash where texts differ (each
+row has its own n_shingles); rows without an id keep a null component and link nothing; an empty table gives no rows; only
+ids and texts are read.
 """
 
 from __future__ import annotations
@@ -28,14 +32,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import arrow_map, id_text, is_empty, most_frequent, pieces, staged
+from .common import arrow_map, id_text, is_empty, most_frequent, partitions, pieces, release, small, staged
 from .components import components
 
 HOT, HOT_LEAST = 1 << 18, 2
-BLOCK = 256
+BLOCK = 512
 #: Similarity to the pivot below which a set stays in its lists, in hundredths.
 FAR = 50
 
@@ -98,19 +103,39 @@ def _common(n: int):
     return run
 
 
-SETS = "doc_id long, n int, set_hash binary, least int, prefix array<long>"
+SETS = "doc_id long, n int, set_hash binary, sketch binary, brief binary, prefix array<long>"
+#: Buckets of a brief sketch.
+BRIEF = 64
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of about |s| / 8 buckets (a power of two, BRIEF at least), modulo 256."""
+    bits = max(BRIEF.bit_length() - 1, (len(s) - 1).bit_length() - 3) if len(s) else BRIEF.bit_length() - 1
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8)
+
+
+def folded(k: np.ndarray, size: int) -> np.ndarray:
+    """A sketch with fewer buckets."""
+    return k.reshape(size, -1).sum(1, dtype=np.uint8)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """No more than the number of shingles that only one of two sets has (rows of sketches with equally many buckets)."""
+    return np.abs((a - b).view(np.int8).astype(np.int32)).sum(-1)
 
 
 def _prefixes(n: int, num: int, den: int, depth: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = held.value
         for b in pieces(batches):
-            sizes, names, least, prefixes = [], [], [], []
+            sizes, names, sketches, briefs, prefixes = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, n)
                 sizes.append(len(s))
                 names.append(xxhash.xxh3_128_digest(s.tobytes()))
-                least.append(shared(-(-num * len(s) // den), num, den, depth))
+                k = sketch(s)
+                sketches.append(k.tobytes())
+                briefs.append(folded(k, BRIEF).tobytes())
                 # sets of fewer than 1 / (1 - t) - 1 shingles link with nothing but their equals
                 if (len(s) + 1) * (den - num) < den:
                     prefixes.append([])
@@ -118,15 +143,31 @@ def _prefixes(n: int, num: int, den: int, depth: int, held):
                 at = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
                 often = np.where(hot[at] == s, rank[at], 0) if len(hot) else np.zeros(len(s), np.int64)
                 prefixes.append(s[np.lexsort((s, often))[: prefix_size(len(s), num, den, depth)]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()), pa.array(least, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], [c.split()[0] for c in SETS.split(", ")])
+            columns = [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(v, pa.binary()) for v in (names, sketches, briefs)), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SETS.split(", ")])
 
     return run
 
 
+PAIR = "pivot long, node long, n_pivot int, n int, most int"
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The largest overlap that the sketches of two sets allow."""
+    for b in batches:
+        most = []
+        for x, y, nx, ny in zip(*(b.column(k).to_pylist() for k in (4, 5, 2, 3)), strict=True):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            size = min(len(x), len(y))
+            most.append((nx + ny - int(distance(folded(x, size), folded(y, size)))) // 2)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(most, pa.int32())], [c.split()[0] for c in PAIR.split(", ")])
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([shingles(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "s"])
+            sets = [shingles(t, n).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "set_hash", "s"])
 
     return run
 
@@ -174,6 +215,16 @@ def _bits(blobs, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in blobs), np.uint8).reshape(len(blobs), width).copy()
 
 
+def _added_bits(own: list[np.ndarray], toks: np.ndarray) -> np.ndarray:
+    """A bit map over toks (sorted) for each array of shingles."""
+    out = np.zeros((len(own), -(-max(len(toks), 1) // 64) * 64), bool)
+    row, flat = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
+    at = np.minimum(np.searchsorted(toks, flat), max(len(toks) - 1, 0))
+    there = toks[at] == flat if len(toks) else np.zeros(len(flat), bool)
+    out[row[there], at[there]] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
 def frame_links(loose: pd.DataFrame, every: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
     """A forest of the links between loose sets and every set of one pivot's frame (or blocks of both), by relations alone."""
     width = -(-max(map(len, [*loose["missing"], *every["missing"]])) // 8) * 8
@@ -184,20 +235,22 @@ def frame_links(loose: pd.DataFrame, every: pd.DataFrame, num: int, den: int) ->
     same = {}
     for node, comp in zip([*loose["node"], *every["node"]], [*loose["component"], *every["component"]], strict=True):
         forest.join(ids[node], same.setdefault(comp, ids[node]))
-    holders: dict[int, list[int]] = {}
-    for k, blob in enumerate(every["added"]):
-        for tok in np.frombuffer(blob, np.uint64).tolist():
-            holders.setdefault(tok, []).append(k)
-    for i in range(len(loose)):
-        added = np.zeros(len(every), np.int64)
-        for tok in np.frombuffer(loose["added"].iloc[i], np.uint64).tolist():
-            if tok in holders:
-                added[holders[tok]] += 1
-        both = n_pivot - np.bitwise_count(a[i] | b).sum(1).astype(np.int64) + added
-        for k in np.flatnonzero(linked(both, na[i], nb, num, den)).tolist():
-            x, y = int(loose["node"].iloc[i]), int(every["node"].iloc[k])
-            if forest.join(ids[x], ids[y]):
-                out.append((x, y))
+    own, others = ([np.frombuffer(x, np.uint64) for x in f["added"]] for f in (loose, every))
+    toks = np.intersect1d(np.concatenate(own), np.concatenate(others))
+    more, extra = _added_bits(own, toks), _added_bits(others, toks)
+    rows, columns = loose["node"].tolist(), every["node"].tolist()
+    home = np.array([forest.find(ids[y]) for y in columns])
+    for i, x in enumerate(rows):
+        apart = np.flatnonzero(home != forest.find(ids[x]))
+        if not len(apart):
+            continue
+        both = n_pivot - np.bitwise_count(a[i] | b[apart]).sum(1, dtype=np.int64) + np.bitwise_count(more[i] & extra[apart]).sum(1, dtype=np.int64)
+        found = apart[linked(both, na[i], nb[apart], num, den)]
+        for k in found.tolist():
+            if forest.join(ids[x], ids[columns[k]]):
+                out.append((x, columns[k]))
+        if len(found):
+            home = np.array([forest.find(h) for h in home.tolist()])
     return out
 
 
@@ -210,98 +263,184 @@ def _frame(num: int, den: int):
     return run
 
 
-def list_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, near: np.ndarray, num: int, den: int, block: int = 64) -> list[tuple[int, int]]:
-    """Pairs of one index list that sizes and positions allow, at least one of them far from the list's pivot.
+def _spread(counts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers, each counts[row] times, and the number of the time; about `most` of them at once."""
+    total = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        row = np.repeat(np.arange(at, end), counts[at:end])
+        yield row, np.arange(len(row)) - np.repeat(total[at:end] - counts[at:end] - (total[at - 1] if at else 0), counts[at:end])
+        at = end
 
-    The list is in order of size; of each block the smallest size and the smallest position are known, so a block without a
-    possible partner is skipped whole.
+
+def list_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, near: np.ndarray, brief: np.ndarray, num: int, den: int, block: int = 32, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs in index lists that sizes, positions and sketches allow, at least one of them far from its pivot.
+
+    Rows are sorted by list, size and position.  Of each block of a list the smallest size and the smallest position are known,
+    so a block without a possible partner is skipped whole; only the rows of other blocks are looked at one by one.
     """
-    order = np.lexsort((pos, n))
-    node, n, pos, near = node[order], n[order], pos[order], near[order]
-    least_pos = [int(pos[k : k + block].min()) for k in range(0, len(n), block)]
-    out = []
-    for i in range(len(n)):
-        for k in range(i // block, len(least_pos)):
-            lo, hi = max(i + 1, k * block), min(len(n), (k + 1) * block)
-            if lo >= hi:
-                continue
-            if den * n[i] < num * n[lo]:
-                break
-            need = -(-num * (n[i] + n[lo]) // (num + den))
-            if min(pos[i], n[hi - 1]) + 1 + min(n[i] - pos[i] - 1, n[hi - 1] - least_pos[k] - 1) < need:
-                continue
-            own = np.arange(lo, hi)
-            need = -(-num * (n[i] + n[own]) // (num + den))
-            most = np.minimum(pos[i], pos[own]) + 1 + np.minimum(n[i] - pos[i] - 1, n[own] - pos[own] - 1)
-            fit = own[(den * n[i] >= num * n[own]) & (most >= need) & ~(near[i] & near[own]) & (node[own] != node[i])]
-            out += [(int(node[i]), int(node[j])) for j in fit]
-    return out
+    rows = np.arange(len(n))
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    end = np.repeat(np.append(first[1:], len(n)), np.diff(np.append(first, len(n))))
+    begin = np.repeat(first, np.diff(np.append(first, len(n))))
+    heads = np.flatnonzero((rows - begin) % block == 0)
+    tails = np.append(heads[1:], len(n))
+    own = np.cumsum((rows - begin) % block == 0) - 1
+    last = own[end - 1]
+    low, high, least = n[heads], n[tails - 1], np.minimum.reduceat(pos, heads)
+    xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def need(a, b):
+        return -(-num * (a + b) // (num + den))
+
+    for x, k in _spread(last - own + 1, most):
+        k = own[x] + k
+        nx, px = n[x], pos[x]
+        fit = den * nx >= num * low[k]
+        fit &= np.minimum(px, high[k] - 1) + 1 + np.minimum(nx - px - 1, high[k] - least[k] - 1) >= need(nx, np.maximum(low[k], nx))
+        x, k = x[fit], k[fit]
+        for at, y in _spread(tails[k] - heads[k], most):
+            x_, y = x[at], heads[k[at]] + y
+            fit = (y > x_) & (den * n[x_] >= num * n[y]) & ~(near[x_] & near[y])
+            x_, y = x_[fit], y[fit]
+            wanted = need(n[x_], n[y])
+            fit = np.minimum(pos[x_], pos[y]) + 1 + np.minimum(n[x_] - pos[x_] - 1, n[y] - pos[y] - 1) >= wanted
+            x_, y, wanted = x_[fit], y[fit], wanted[fit]
+            fit = n[x_] + n[y] - distance(brief[x_], brief[y]) >= 2 * wanted
+            xs.append(x_[fit])
+            ys.append(y[fit])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+LIST = ("tok", "i", "j", "role", "node", "n", "pos", "near", "brief")
 
 
 def _far_pairs(num: int, den: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # rows of two blocks of one list (or one block twice): pairs within a block belong to the block with itself
-        own = pdf["role"].to_numpy()
-        cols = [pdf[c].to_numpy() for c in ("node", "n", "pos", "near")]
-        out = list_pairs(*cols, num, den)
-        if (own == 1).any():
-            side = dict(zip(pdf["node"], own, strict=True))
-            out = [(x, y) for x, y in out if side[x] != side[y]]
-        return pd.DataFrame([(min(p), max(p)) for p in out], columns=["pivot", "node"], dtype="int64")
+    """Rows of LIST, sorted by list and block pair, to pairs; a block pair is kept together, however batches are cut."""
+
+    def found(b: pa.Table) -> pa.RecordBatch:
+        col = {c: b.column(c).combine_chunks() for c in LIST}
+        tok, i, j, role, node, n, pos, near = (col[c].to_numpy(zero_copy_only=False) for c in LIST[:-1])
+        brief = np.frombuffer(b"".join(col["brief"].to_pylist()), np.uint8).reshape(-1, BRIEF)
+        group = np.cumsum(np.concatenate([[True], (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        x, y = list_pairs(group, n.astype(np.int64), pos.astype(np.int64), near, brief, num, den)
+        # pairs within a block belong to the block with itself
+        fit = ((i[x] == j[x]) | (role[x] != role[y])) & (node[x] != node[y])
+        a, b_ = node[x[fit]], node[y[fit]]
+        pairs = np.unique(np.stack([np.minimum(a, b_), np.maximum(a, b_)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["pivot", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) < 1 << 14:
+                continue
+            whole = pa.Table.from_batches(held)
+            key = [whole.column(c).to_numpy() for c in LIST[:3]]
+            other = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield found(whole.slice(0, cut))
+                held = whole.slice(cut).to_batches()
+        if held:
+            yield found(pa.Table.from_batches(held))
 
     return run
 
 
-def _blocks(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
-    """Deal the rows of each key to blocks and copy each to all pairs of blocks (i <= j) that hold it; role 1 is the second."""
+def _blocks(rows: DataFrame, count: str, block: int) -> DataFrame:
+    """Deal the rows of each list to blocks and copy each to all pairs of blocks (i <= j) that hold it; role 1 is the second."""
     parts = F.ceil(F.col(count) / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     dealt = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).withColumn("role", (F.col("_own") > F.col("_other")).cast("int")).drop("_own", "_other")
 
 
-def _related(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """RELATION for pairs (pivot, node)."""
-    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("p")), "pivot")
-    return arrow_map(both.select("pivot", "node", "p", "s"), _relate, RELATION)
+def _least(n: str, num: int, den: int, depth: int) -> Column:
+    """How many lists a set of n shares with a partner at least: shared() of the smallest partner's size."""
+    up = f"(({num}L * {n} + {den - 1}) div {den})"
+    both = f"(({num}L * {up} + {den - 1}) div {den})"
+    return F.expr(f"least({both}, greatest(8L, (({up} - {both}) * {depth}) div 2 + 1))")
 
 
 def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with an equal set), component_id (smallest id reachable by links of similarity
     num / den or more), for every row of docs."""
     spark = docs.sparkSession
-    texts = id_text(docs)
+    texts, tasks, depth = id_text(docs), partitions(spark), 4 if words < 5 else 1
     seen = staged(arrow_map(texts, _common(words), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")), "common")
     often = most_frequent(seen, "n", hot).toPandas()
+    release(seen)
     toks = often["tok"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(toks)
     held = spark.sparkContext.broadcast((toks[order], often["n"].to_numpy(np.int64)[order]))
-    sets = staged(arrow_map(texts, _prefixes(words, num, den, 4 if words < 5 else 1, held), SETS), "sets")
-
-    filled = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = staged(filled.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size")).where("size > 1").select("set_hash", "class_id"), "classes")
+    sets = staged(arrow_map(texts, _prefixes(words, num, den, depth, held), SETS), "sets")
+    light = staged(sets.drop("prefix"), "light")
+
+    # one set for each id: repeated rows count once, and of different texts that with the largest hash takes part
+    some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    several = staged(light.where(some).groupBy("doc_id").agg(F.max("set_hash").alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", "best"), "several")
+    repeats = not is_empty(several)
+
+    def one_each(df: DataFrame) -> DataFrame:
+        if not repeats:
+            return df
+        odd = small(several)
+        return df.join(odd, "doc_id", "left_anti").unionByName(df.join(odd, "doc_id").where("set_hash = best").drop("best").dropDuplicates(["doc_id"]))
+
+    mine = one_each(light.where(some))
+    classes = staged(mine.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size")).where("size > 1").select("set_hash", "class_id"), "classes")
     # which documents repeat another's set is found without their prefixes
-    again = filled.select("doc_id", "set_hash").join(classes, "set_hash").where(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    member = filled.join(staged(again, "again"), "doc_id", "left_anti")
-    tokens = member.select(F.col("doc_id").alias("node"), "n", "least", F.posexplode("prefix").alias("pos", "tok"))
+    again = staged(mine.select("doc_id", "set_hash").join(classes, "set_hash").where(F.col("doc_id") != F.col("class_id")).select("doc_id"), "again")
+    member = one_each(sets.where(some)).join(small(again), "doc_id", "left_anti")
+
+    # one exchange makes the lists; a row is a shingle, a set, and the set's size and the shingle's position in one number
+    entries = member.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "tok"))
+    entries = entries.select("tok", "node", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
+    per_list = Window.partitionBy("tok")
+    n_of = F.shiftright("at", 32).cast("int")
+    spent = [sets]
     for step in ("entries", "kept-entries"):
-        lists = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        entries = staged(tokens.join(staged(lists, "lists"), "tok").drop("size"), step)
+        kept = staged(entries.withColumn("size", F.count(F.lit(1)).over(per_list)).where("size > 1").select("tok", "node", "at"), step)
+        release(*spent)
         # a set with partners is in enough lists; what is left makes new, shorter lists
-        enough = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n_lists"), F.max("least").alias("least")).where("n_lists >= least").select("node")
-        tokens = entries.join(staged(enough, "enough"), "node", "left_semi")
-    tokens = staged(tokens.select("tok", "node", "n", "pos", "least"), "tokens")
-    lists = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "node")).alias("p")).where("size > 1")
-    entries = staged(tokens.join(staged(lists.select("tok", "size", F.col("p.node").alias("pivot")), "lists"), "tok"), "entries")
+        enough = kept.groupBy("node").agg(F.count(F.lit(1)).alias("n_lists"), F.max(n_of).alias("n")).where(F.col("n_lists") >= _least("n", num, den, depth)).select("node")
+        spent = [kept, staged(enough, "enough")]
+        entries = kept.join(small(spent[1]), "node", "left_semi")
+    lists = entries.withColumn("size", F.count(F.lit(1)).over(per_list)).where("size > 1").withColumn("pivot", F.min(F.struct(n_of.alias("n"), "node")).over(per_list)["node"])
+    entries = staged(lists.select("tok", "node", n_of.alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "size", "pivot"), "lists")
+    release(*spent)
 
     # a pair that meets in lists of two alone meets in as many as partners share; fewer are chance.  Larger lists see their own pairs
-    met = entries.where(F.col("node") != F.col("pivot")).groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("met"), F.max("size").alias("largest"), F.max("least").alias("least"))
-    pairs = staged(met.where("largest > 2 OR met >= least").select("pivot", "node"), "pairs")
+    met = entries.where(F.col("node") != F.col("pivot")).groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("met"), F.max("size").alias("largest"), F.max("n").alias("n"))
+    pairs = staged(met.where((F.col("largest") > 2) | (F.col("met") >= _least("n", num, den, depth))).select("pivot", "node"), "pairs")
     wanted = staged(pairs.select("node").union(pairs.select("pivot")).distinct(), "wanted")
-    own = texts.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    full = staged(arrow_map(own, _sets(words), "node long, s binary").groupBy("node").agg(F.min("s").alias("s")), "full-sets")
-    relations = staged(_related(pairs, full), "relations")
-
+    sketches = staged(mine.withColumnRenamed("doc_id", "node").join(small(wanted), "node", "left_semi").select("node", "n", "sketch", "brief"), "sketches")
+
+    def related(pairs: DataFrame) -> DataFrame:
+        """RELATION for pairs (pivot, node).  Whole sets travel only for those that the sketches do not show to be far."""
+        own = sketches.select("node", "n", "sketch")
+        both = pairs.join(own, "node").join(own.toDF("pivot", "n_pivot", "other"), "pivot")
+        sifted = staged(arrow_map(both.select("pivot", "node", "n_pivot", "n", "other", "sketch"), _sift, PAIR), "sifted")
+        far = 100 * F.col("most") < FAR * (F.col("n_pivot") + F.col("n") - F.col("most"))
+        close = sifted.where(~far).select("pivot", "node")
+        ids = small(staged(close.select("node").union(close.select("pivot")).distinct().withColumnRenamed("node", "doc_id"), "close"))
+        read = arrow_map(texts.join(ids, "doc_id", "left_semi"), _sets(words), "node long, set_hash binary, s binary")
+        if repeats:
+            read = read.join(small(several).withColumnRenamed("doc_id", "node"), "node", "left").where("best IS NULL OR best = set_hash")
+        full = staged(read.groupBy("node").agg(F.min("s").alias("s")), "full-sets")
+        met = close.join(full, "node").join(full.select(F.col("node").alias("pivot"), F.col("s").alias("p")), "pivot")
+        near = arrow_map(met.select("pivot", "node", "p", "s"), _relate, RELATION)
+        none = F.lit(b"").cast("binary")
+        out = staged(near.unionByName(sifted.where(far).select("pivot", "node", F.col("most").alias("both"), "n_pivot", "n", none.alias("missing"), none.alias("added"))), "relations")
+        release(full, sifted)
+        return out
+
+    relations = related(pairs)
     link = linked(F.col("both"), F.col("n_pivot"), F.col("n"), num, den)
     links = relations.where(link).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     first = components(links)
@@ -321,7 +460,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
         rows.withColumn("loose", F.lit(False)).withColumn("j", F.pmod(name, all_parts).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), loose_parts - 1))),
     ]
     columns = ("pivot", "i", "j", "node", "component", "loose", "n_pivot", "n", "missing", "added")
-    derived = copies[0].select(*columns).union(copies[1].select(*columns)).groupBy("pivot", "i", "j").applyInPandas(_frame(num, den), "a long, b long")
+    dealt = copies[0].select(*columns).union(copies[1].select(*columns)).repartition(tasks, "pivot", "i", "j")
+    derived = dealt.groupBy("pivot", "i", "j").applyInPandas(_frame(num, den), "a long, b long")
 
     # lists: sets far from their pivot, against those that are not near enough for the frame to have seen the pair
     reach = 100 * FAR + (den - num) * 10_000 // den
@@ -330,12 +470,17 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     counts = staged(rest.groupBy("tok").agg(F.count(F.lit(1)).alias("left"), F.sum((~F.col("near")).cast("long")).alias("n_far")).where("left > 1 and n_far > 0"), "rest-sizes")
     edges = links.unionByName(derived)
     if not is_empty(counts):
-        dealt = _blocks(rest.join(counts, "tok"), "tok", "left", block).select("tok", "i", "j", "role", "node", "n", "pos", "near")
-        more = staged(dealt.groupBy("tok", "i", "j").applyInPandas(_far_pairs(num, den), "pivot long, node long").distinct(), "far-pairs")
-        edges = edges.unionByName(_related(more, full).where(link).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        dealt = _blocks(rest.join(counts.select("tok", "left"), "tok").join(sketches.select("node", "brief"), "node"), "left", block).select(*LIST)
+        dealt = dealt.repartition(tasks, "tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n", "pos")
+        more = staged(arrow_map(dealt, _far_pairs(num, den), "pivot long, node long").distinct(), "far-pairs")
+        edges = edges.unionByName(related(more).where(link).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     groups = components(edges.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    release(relations, frame, rest, entries, sketches)
 
-    out = sets.select("doc_id", "set_hash", "n").join(classes, "set_hash", "left")
+    out = light.select("doc_id", "set_hash", "n")
+    if repeats:
+        out = out.join(small(several), "doc_id", "left").withColumn("set_hash", F.coalesce("best", "set_hash")).drop("best")
+    out = out.join(classes, "set_hash", "left")
     out = out.withColumn("class_id", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")))
     out = out.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id"))
