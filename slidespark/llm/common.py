@@ -93,7 +93,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches so that a piece holds about max_bytes of the column (one longer value makes a piece of its own)."""
     for batch in batches:
         n = batch.num_rows

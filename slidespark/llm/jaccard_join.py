@@ -36,10 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, id_text, is_empty, most_frequent, partitions, pieces, release, small, staged
+from .common import SMALL, arrow_map, id_text, is_empty, most_frequent, partitions, pieces, release, small, staged
 from .components import components
 
 HOT, HOT_LEAST = 1 << 18, 2
+#: Shingles counted at once in a task.
+FLUSH = 1 << 20
+#: From so many counted documents on, a shingle's list is summed up and joined instead of lying in one task.
+LONG = 4096
 BLOCK = 512
 #: Similarity to the pivot below which a set stays in its lists, in hundredths.
 FAR = 50
@@ -94,7 +98,7 @@ def _common(n: int):
             for text in b.column(1).to_pylist():
                 held.append(shingles(text, n))
                 size += len(held[-1])
-            if size > 4 << 20:
+            if size > FLUSH:
                 yield emit()
                 held, size = [], 0
         if held:
@@ -103,7 +107,7 @@ def _common(n: int):
     return run
 
 
-SETS = "doc_id long, n int, set_hash binary, sketch binary, brief binary, prefix array<long>"
+SETS = "doc_id long, n int, set_hash binary, sketch binary, brief binary, prefix array<long>, short int"
 #: Buckets of a brief sketch.
 BRIEF = 64
 
@@ -128,7 +132,7 @@ def _prefixes(n: int, num: int, den: int, depth: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = held.value
         for b in pieces(batches):
-            sizes, names, sketches, briefs, prefixes = [], [], [], [], []
+            sizes, names, sketches, briefs, prefixes, short = [], [], [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, n)
                 sizes.append(len(s))
@@ -139,11 +143,14 @@ def _prefixes(n: int, num: int, den: int, depth: int, held):
                 # sets of fewer than 1 / (1 - t) - 1 shingles link with nothing but their equals
                 if (len(s) + 1) * (den - num) < den:
                     prefixes.append([])
+                    short.append(0)
                     continue
                 at = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
                 often = np.where(hot[at] == s, rank[at], 0) if len(hot) else np.zeros(len(s), np.int64)
-                prefixes.append(s[np.lexsort((s, often))[: prefix_size(len(s), num, den, depth)]].view(np.int64))
-            columns = [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(v, pa.binary()) for v in (names, sketches, briefs)), pa.array(prefixes, pa.list_(pa.int64()))]
+                order = np.lexsort((s, often))[: prefix_size(len(s), num, den, depth)]
+                prefixes.append(s[order].view(np.int64))
+                short.append(int((often[order] < LONG).sum()))
+            columns = [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(v, pa.binary()) for v in (names, sketches, briefs)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(short, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SETS.split(", ")])
 
     return run
@@ -163,11 +170,30 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(most, pa.int32())], [c.split()[0] for c in PAIR.split(", ")])
 
 
-def _sets(n: int):
+FULL = "pivot long, node long, set_hash binary, s binary"
+
+
+def _sets(n: int, most: int = 8 << 20):
+    """Each document's set, once for each pivot that it is compared with (about `most` bytes at once)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            sets = [shingles(t, n).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "set_hash", "s"])
+        def emit() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in FULL.split(", ")])
+
+        for b in pieces(batches, most):
+            rows, size = [], 0
+            for node, text, pivots in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                s = shingles(text, n).tobytes()
+                name = xxhash.xxh3_128_digest(s)
+                for pivot in pivots:
+                    rows.append((pivot, node, name, s))
+                    size += len(s)
+                    if size > most:
+                        yield emit()
+                        rows, size = [], 0
+            if rows:
+                yield emit()
 
     return run
 
@@ -217,12 +243,12 @@ def _bits(blobs, width: int) -> np.ndarray:
 
 def _added_bits(own: list[np.ndarray], toks: np.ndarray) -> np.ndarray:
     """A bit map over toks (sorted) for each array of shingles."""
-    out = np.zeros((len(own), -(-max(len(toks), 1) // 64) * 64), bool)
-    row, flat = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
-    at = np.minimum(np.searchsorted(toks, flat), max(len(toks) - 1, 0))
-    there = toks[at] == flat if len(toks) else np.zeros(len(flat), bool)
-    out[row[there], at[there]] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+    out = np.zeros((len(own), -(-max(len(toks), 1) // 64) * 8), np.uint8)
+    for k, x in enumerate(own):
+        at = np.searchsorted(toks, x)
+        at = at[toks[np.minimum(at, len(toks) - 1)] == x] if len(toks) else at[:0]
+        np.bitwise_or.at(out[k], at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return out.view(np.uint64)
 
 
 def frame_links(loose: pd.DataFrame, every: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
@@ -399,20 +425,27 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     member = one_each(sets.where(some)).join(small(again), "doc_id", "left_anti")
 
     # one exchange makes the lists; a row is a shingle, a set, and the set's size and the shingle's position in one number
-    entries = member.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "tok"))
-    entries = entries.select("tok", "node", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
-    per_list = Window.partitionBy("tok")
+    entries = member.select(F.col("doc_id").alias("node"), "n", "short", F.posexplode("prefix").alias("pos", "tok"))
+    entries = entries.select("tok", "node", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"), (F.col("pos") >= F.col("short")).alias("long"))
     n_of = F.shiftright("at", 32).cast("int")
+
+    def lists(entries: DataFrame) -> DataFrame:
+        """The lists of two sets or more, with their size and their smallest set.  Long lists are not gathered in a task."""
+        per_list, least = Window.partitionBy("tok"), F.min(F.struct(n_of.alias("n"), "node"))
+        short = entries.where("NOT long").withColumn("size", F.count(F.lit(1)).over(per_list)).withColumn("pivot", least.over(per_list)["node"])
+        long = entries.where("long")
+        sums = long.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), least.alias("p")).select("tok", "size", F.col("p.node").alias("pivot"))
+        return short.unionByName(long.join(sums, "tok")).where("size > 1")
+
     spent = [sets]
     for step in ("entries", "kept-entries"):
-        kept = staged(entries.withColumn("size", F.count(F.lit(1)).over(per_list)).where("size > 1").select("tok", "node", "at"), step)
+        kept = staged(lists(entries).select("tok", "node", "at", "long"), step)
         release(*spent)
         # a set with partners is in enough lists; what is left makes new, shorter lists
         enough = kept.groupBy("node").agg(F.count(F.lit(1)).alias("n_lists"), F.max(n_of).alias("n")).where(F.col("n_lists") >= _least("n", num, den, depth)).select("node")
         spent = [kept, staged(enough, "enough")]
         entries = kept.join(small(spent[1]), "node", "left_semi")
-    lists = entries.withColumn("size", F.count(F.lit(1)).over(per_list)).where("size > 1").withColumn("pivot", F.min(F.struct(n_of.alias("n"), "node")).over(per_list)["node"])
-    entries = staged(lists.select("tok", "node", n_of.alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "size", "pivot"), "lists")
+    entries = staged(lists(entries).select("tok", "node", n_of.alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "size", "pivot"), "lists")
     release(*spent)
 
     # a pair that meets in lists of two alone meets in as many as partners share; fewer are chance.  Larger lists see their own pairs
@@ -428,12 +461,13 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
         sifted = staged(arrow_map(both.select("pivot", "node", "n_pivot", "n", "other", "sketch"), _sift, PAIR), "sifted")
         far = 100 * F.col("most") < FAR * (F.col("n_pivot") + F.col("n") - F.col("most"))
         close = sifted.where(~far).select("pivot", "node")
-        ids = small(staged(close.select("node").union(close.select("pivot")).distinct().withColumnRenamed("node", "doc_id"), "close"))
-        read = arrow_map(texts.join(ids, "doc_id", "left_semi"), _sets(words), "node long, set_hash binary, s binary")
+        ids = close.union(close.select("pivot", "pivot")).groupBy(F.col("node").alias("doc_id")).agg(F.collect_set("pivot").alias("pivots"))
+        ids = staged(ids, "close")
+        full = arrow_map(texts.join(small(ids, SMALL >> 2), "doc_id").select("doc_id", "text", "pivots"), _sets(words), FULL)
         if repeats:
-            read = read.join(small(several).withColumnRenamed("doc_id", "node"), "node", "left").where("best IS NULL OR best = set_hash")
-        full = staged(read.groupBy("node").agg(F.min("s").alias("s")), "full-sets")
-        met = close.join(full, "node").join(full.select(F.col("node").alias("pivot"), F.col("s").alias("p")), "pivot")
+            full = full.join(small(several).withColumnRenamed("doc_id", "node"), "node", "left").where("best IS NULL OR best = set_hash").dropDuplicates(["pivot", "node"])
+        full = staged(full.select("pivot", "node", "s"), "full-sets")
+        met = full.where("pivot <> node").join(full.where("pivot = node").select("pivot", F.col("s").alias("p")), "pivot")
         near = arrow_map(met.select("pivot", "node", "p", "s"), _relate, RELATION)
         none = F.lit(b"").cast("binary")
         out = staged(near.unionByName(sifted.where(far).select("pivot", "node", F.col("most").alias("both"), "n_pivot", "n", none.alias("missing"), none.alias("added"))), "relations")
