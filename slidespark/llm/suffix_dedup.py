@@ -5,17 +5,22 @@ substrings of half its length; the one with the smallest hash, the leftmost of e
 have equal anchors at equal places.  Windows that share an anchor's position are a segment of their document.
 
 1. Anchors that occur once have no repeated window.  Counting them moves one hash per segment, with partial sums.
-2. Segments with equal content, under one anchor, repeat each other whole: counting their hashes settles them.
+2. Segments with equal content, under one anchor, repeat each other whole: counting their names settles them.  A name is the
+   anchor's hash and 64 bits of a hash of all bytes of the content (128 bits; bytes are not compared here).
 3. What is left are segments that meet other contents under the same anchor.  They travel, with their bytes, to one place per
    anchor, and their windows, which are suffixes of the segments, are sorted there: a merge sort whose comparisons take the
    longest common extension of two suffixes by binary search over prefix polynomial hashes, so a comparison costs a logarithm
    of the length.  Neighbours that agree over a window are repeated; their bytes are compared, so that a collision removes
    nothing.
-4. Anchors with more than `crowd` contents do not meet in one place: each window is named by two hashes and counted.
+4. Anchors that more than `crowd` contents share are split by place and by bytes: windows that begin at one of BLOCKS[0]
+   neighbouring places before the anchor all hold the bytes between the last of these places and the end of a window at the
+   first, so contents are cut to those windows and dealt by these bytes.  Most cut contents are equal then and settled by 2,
+   the others are sorted by 3; what is still crowded is split by BLOCKS[1] places, and so on.  Groups of one place hold equal
+   windows only, so no group grows with the data.
 
 Defined results: a null or empty text, or one shorter than a window, loses nothing; strings never cross documents; repeated
 rows repeat each other; a document may repeat itself, overlaps included; null ids are kept; an empty table gives no rows; only
-ids and texts are read.
+ids and texts are read; texts of any length are run through in stretches of `STRETCH` windows.
 """
 
 from __future__ import annotations
@@ -27,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_text, is_empty, pieces, staged
+from .common import arrow_map, id_text, is_empty, pieces, release, staged, strong_hashes
 from .packing import Powers
 
-CROWD = 512
+CROWD = 256
+#: Places that a crowded anchor's windows are split by, again and again.
+BLOCKS = (32, 4, 1)
+STRETCH = 1 << 20
 _POWERS = Powers()
 _BYTE = np.random.default_rng(4).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -58,6 +66,37 @@ class PrefixHash:
             return (x ^ (x >> np.uint64(32))) * _MIX
 
 
+#: Two primes below 2^31 and a base for each.
+_PRIMES = ((2147483647, 1234567891), (2147483629, 987654323))
+
+
+class PrimeHash:
+    """Polynomial hashes of all substrings of a buffer modulo two primes, in one number: unlike those modulo 2^64 they have no
+    text that collides whatever the base."""
+
+    def __init__(self, buf: bytes) -> None:
+        self.bytes = np.frombuffer(buf, np.uint8)
+        n = len(buf) + 1
+        self.parts = []
+        for p, base in _PRIMES:
+            up, down = (self._powers(b, p, n) for b in (base, pow(base, -1, p)))
+            sums = np.zeros(n, np.uint64)
+            np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up[:-1] % np.uint64(p), out=sums[1:])
+            self.parts.append((np.uint64(p), sums % np.uint64(p), down))
+
+    @staticmethod
+    def _powers(base: int, p: int, n: int) -> np.ndarray:
+        out = np.ones(1, np.uint64)
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), p)) % np.uint64(p)])
+        return out[:n]
+
+    def of(self, start, end):
+        """Hash of [start, end), the same wherever it occurs."""
+        (p, s, down), (q, t, low) = self.parts
+        return ((s[end] + p - s[start]) % p * down[start] % p << np.uint64(32)) | ((t[end] + q - t[start]) % q * low[start] % q)
+
+
 def slide(v: np.ndarray, w: int, least: bool = True) -> np.ndarray:
     """Minimum (or maximum) of every w neighbours."""
     op = np.minimum if least else np.maximum
@@ -71,35 +110,61 @@ def slide(v: np.ndarray, w: int, least: bool = True) -> np.ndarray:
     return op(behind[: len(v) - w + 1], ahead[w - 1 : len(v)])
 
 
-def segments(text: bytes, length: int, hashes: PrefixHash | None = None):
-    """anchor hash, first and last window start, anchor position, of each segment; None if there is no window."""
-    if len(text) < length:
-        return None
+def stretches(docs: list, names: list, texts: list[bytes], length: int, most: int = STRETCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Ids, names, where each stretch begins in its text, and the stretches' bytes; about `most` bytes at once.  A text of more
+    than `most` windows comes as several stretches that overlap by length - 1 bytes, so each window is in one of them."""
+    held: list[tuple] = []
+    size = 0
+    for doc, name, text in zip(docs, names, texts, strict=True):
+        if len(text) < length:
+            continue
+        for at in range(0, len(text) - length + 1, most):
+            held.append((doc, name, at, text[at : at + most + length - 1] if len(text) > most else text))
+            size += len(held[-1][3])
+            if size >= most:
+                yield (*(np.array([h[k] for h in held], np.int64) for k in range(3)), [h[3] for h in held])
+                held, size = [], 0
+    if held:
+        yield (*(np.array([h[k] for h in held], np.int64) for k in range(3)), [h[3] for h in held])
+
+
+def segments(texts: list[bytes], length: int):
+    """Text number, anchor hash, first and last window start, anchor position, of each segment of texts (none is shorter than a
+    window); positions are those in all texts joined, which is returned last."""
+    buf = b"".join(texts)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     half = length // 2
-    ph = hashes or PrefixHash(text)
-    grams = ph.all(half)
     w = length - half + 1
+    ends = np.cumsum(sizes)
+    grams = PrefixHash(buf).all(half)
     least = slide(grams, w)
+    # windows of one text only
+    valid = np.ones(len(least), bool)
+    for e in ends[:-1].tolist():
+        valid[e - length + 1 : e] = False
     # a position is an anchor if it is the least of a window that holds it
-    padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
+    padded = np.concatenate([np.zeros(w - 1, np.uint64), np.where(valid, least, np.uint64(0)), np.zeros(w - 1, np.uint64)])
     anchors = np.flatnonzero(slide(padded, w, False) == grams)
     mark = np.zeros(len(grams) + 1, np.int64)
     mark[anchors + 1] = 1
-    at = np.cumsum(mark)[: len(least)]
-    pos = anchors[at]
+    s = np.flatnonzero(valid)
+    at = np.cumsum(mark)[s]
+    pos, least = anchors[at], least[s]
     while len(bad := np.flatnonzero(grams[pos] != least)):
         at[bad] += 1
         pos[bad] = anchors[at[bad]]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(pos)) + 1])
-    last = np.concatenate([first[1:] - 1, [len(least) - 1]])
-    return least[first], first, last, pos[first]
+    doc = np.searchsorted(ends, s, "right")
+    first = np.concatenate([[0], np.flatnonzero((np.diff(pos) != 0) | (np.diff(doc) != 0)) + 1])
+    last = np.concatenate([first[1:] - 1, [len(s) - 1]])
+    return doc[first], least[first], s[first], s[last], pos[first], buf
 
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            found = [s[0] for t in b.column(2).to_pylist() if (s := segments(t, length)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], ["h"])
+            texts = b.column(2).to_pylist()
+            for *_, parts in stretches([0] * len(texts), [0] * len(texts), texts, length):
+                yield pa.RecordBatch.from_arrays([pa.array(segments(parts, length)[1].view(np.int64))], ["h"])
 
     return run
 
@@ -107,37 +172,48 @@ def _anchors(length: int):
 SEGMENT = "doc long, name long, h long, g long, first int, last int, pos int, times int"
 
 
+def _batch(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
+    names = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64 if t == "long" else np.int32)) for v, (_, t) in zip(columns, names, strict=True)], [n for n, _ in names])
+
+
 def _segments(length: int):
-    """One row per document and content, with how often the document holds it.  What a document repeats itself is settled at
-    once: it comes as stretches of windows without an anchor, so that periodic texts make few rows."""
+    """One row per document and content, with how often the document holds it (as far as it is read at once).  What a document
+    repeats itself is settled at once: it comes as stretches of windows (times 0), so that periodic texts make few rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            cols: list[list[np.ndarray]] = [[] for _ in range(8)]
-            for doc, name, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if len(text) < length:
-                    continue
-                ph = PrefixHash(text)
-                h, first, last, pos = segments(text, length, ph)
+            for docs, names, begins, parts in stretches(*(b.column(k).to_pylist() for k in range(3)), length):
+                doc, h, first, last, pos, buf = segments(parts, length)
+                base = (np.cumsum([len(p) for p in parts]) - [len(p) for p in parts])[doc]
+                g = strong_hashes(buf, first, last + length)
                 with np.errstate(over="ignore"):
-                    g = ph.of(first, last + length) + (pos - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - first).astype(np.uint64)
-                own, at, index, times = np.unique(np.stack([h, g]), axis=1, return_index=True, return_inverse=True, return_counts=True)
-                again = times[index] > 1
+                    g = g + (pos - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                order = np.lexsort((g, h, doc))
+                new = np.ones(len(order), bool)
+                new[1:] = (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+                heads = np.flatnonzero(new)
+                times = np.diff(np.append(heads, len(order)))
+                one = order[heads]  # lexsort is stable: the first of equal ones
+                rows = [docs[doc[one]], names[doc[one]], h[one].view(np.int64), g[one].view(np.int64), first[one], last[one], pos[one], times]
+                offset = begins[doc] - base  # from joined texts to the document's own bytes
+                for k in (4, 5, 6):
+                    rows[k] = rows[k] + offset[one]
+                again = np.zeros(len(order), bool)
+                again[order] = np.repeat(times > 1, times)
                 if again.any():
-                    start, stop = first[again], last[again]
-                    new = np.concatenate([[True], start[1:] > stop[:-1] + length])
-                    runs = np.flatnonzero(new)
-                    ends = stop[np.concatenate([runs[1:] - 1, [len(stop) - 1]])]
-                    at = np.concatenate([at, np.zeros(len(runs), np.int64)])
-                    own = np.concatenate([own, np.zeros((2, len(runs)), np.uint64)], 1)
-                    first, last = np.concatenate([first[at[: len(times)]], start[runs]]), np.concatenate([last[at[: len(times)]], ends])
-                    times = np.concatenate([times, np.zeros(len(runs), np.int64)])
-                else:
-                    first, last = first[at], last[at]
-                for k, v in enumerate((np.full(len(at), doc, np.int64), np.full(len(at), name, np.int64), own[0].view(np.int64), own[1].view(np.int64), first, last, pos[at], times)):
-                    cols[k].append(v)
-            flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64 if k < 4 else np.int32)) for k, v in enumerate(flat)], [c.split()[0] for c in SEGMENT.split(", ")])
+                    i = np.flatnonzero(again)
+                    fresh = np.ones(len(i), bool)
+                    fresh[1:] = (doc[i[1:]] != doc[i[:-1]]) | (first[i[1:]] > last[i[:-1]] + length)
+                    runs = np.flatnonzero(fresh)
+                    ends = np.append(runs[1:], len(i)) - 1
+                    start, stop = first[i[runs]] + offset[i[runs]], last[i[ends]] + offset[i[runs]]
+                    own = doc[i[runs]]
+                    with np.errstate(over="ignore"):  # spread over all tasks
+                        spread = (names[own] ^ start).view(np.uint64) * _MIX
+                    more = [docs[own], names[own], spread.view(np.int64), np.zeros(len(runs), np.int64), start, stop, start, np.zeros(len(runs), np.int64)]
+                    rows = [np.concatenate(x) for x in zip(rows, more, strict=True)]
+                yield _batch(rows, SEGMENT)
 
     return run
 
@@ -145,19 +221,63 @@ def _segments(length: int):
 CONTENT = "doc long, name long, h long, first int, pos int, open boolean, content binary"
 
 
-def _cut(length: int):
+def _contents(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in CONTENT.split(", ")])
+
+
+def _cut(length: int, most: int = 8 << 20):
+    """The bytes of the segments in own, from texts that begin at `base` of their documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            rows = []
-            for doc, name, text, own in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                rows += [(doc, name, s["h"], s["first"], s["pos"], s["open"], text[s["first"] : s["last"] + length]) for s in own]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in CONTENT.split(", ")])
+            rows, size = [], 0
+            for doc, name, text, base, own in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                for s in own:
+                    rows.append((doc, name, s["h"], s["first"], s["pos"], s["open"], text[s["first"] - base : s["last"] - base + length]))
+                    size += len(rows[-1][-1])
+                    if size > most:
+                        yield _contents(rows)
+                        rows, size = [], 0
+            if rows:
+                yield _contents(rows)
 
     return run
 
 
-def common_prefix(ph: PrefixHash, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+PART = "doc long, name long, up long, at int, h long, g long, first int, last int, pos int, times int, open boolean"
+
+
+def _split(length: int, width: int):
+    """CONTENT of crowded anchors by blocks of `width` places; h names the anchor, the block and the bytes that all its windows
+    hold, g the windows' bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, STRETCH, "content"):
+            doc, name, h, first, pos = (b.column(k).to_numpy() for k in range(5))
+            contents = b.column(6).to_pylist()
+            sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+            base = np.cumsum(sizes) - sizes
+            low = first.astype(np.int64) - pos + length  # place of the first window, positive
+            high = low + sizes - length
+            many = high // width - low // width + 1
+            i = np.repeat(np.arange(len(contents)), many)
+            block = low[i] // width + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            a, z = np.maximum(block * width, low[i]), np.minimum(block * width + width - 1, high[i])
+            buf, shift = b"".join(contents), base[i] - low[i]
+            # these bytes are in every window that begins in the block, so they are there even if some of its windows are not
+            core = strong_hashes(buf, block * width + width - 1 + shift, block * width + length + shift)
+            with np.errstate(over="ignore"):
+                key = (h[i].view(np.uint64) ^ block.astype(np.uint64) * _MIX) * np.uint64(0x9E3779B97F4A7C15) + core
+                g = strong_hashes(buf, a + shift, z + length + shift) + (a - block * width).astype(np.uint64)
+            out = [doc[i], name[i], h[i], first[i], key.view(np.int64), g.view(np.int64), first[i] + a - low[i], first[i] + z - low[i], pos[i], np.ones(len(i))]
+            made = _batch(out, PART.rpartition(", ")[0])
+            yield pa.RecordBatch.from_arrays([*made.columns, b.column(5).take(pa.array(i))], [*made.schema.names, "open"])
+
+    return run
+
+
+def common_prefix(ph: PrimeHash, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """Longest common extension, up to most bytes, of the suffixes at x and y, by binary search over prefix hashes."""
     low, high = np.zeros(len(x), np.int64), np.full(len(x), most, np.int64)
     while len(go := np.flatnonzero(low < high)):
@@ -168,7 +288,7 @@ def common_prefix(ph: PrefixHash, x: np.ndarray, y: np.ndarray, most: int) -> np
     return low
 
 
-def before(ph: PrefixHash, x: np.ndarray, y: np.ndarray, most: int, ties: np.ndarray) -> np.ndarray:
+def before(ph: PrimeHash, x: np.ndarray, y: np.ndarray, most: int, ties: np.ndarray) -> np.ndarray:
     """Whether the suffix at y comes before the one at x; equal ones do where ties holds."""
     out = ties.copy()
     differ = np.flatnonzero(ph.of(x, x + most) != ph.of(y, y + most))
@@ -179,7 +299,7 @@ def before(ph: PrefixHash, x: np.ndarray, y: np.ndarray, most: int, ties: np.nda
     return out
 
 
-def suffix_sort(ph: PrefixHash, start: np.ndarray, run: np.ndarray, most: int) -> np.ndarray:
+def suffix_sort(ph: PrimeHash, start: np.ndarray, run: np.ndarray, most: int) -> np.ndarray:
     """Order of the suffixes at start, sorted by their first `most` bytes within runs (run is sorted), by a bottom-up merge sort.
 
     All pairs of neighbouring sorted stretches of one width are merged at once: each suffix finds its rank in the other
@@ -214,7 +334,7 @@ def suffix_sort(ph: PrefixHash, start: np.ndarray, run: np.ndarray, most: int) -
     return order
 
 
-def equal_bytes(ph: PrefixHash, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+def equal_bytes(ph: PrimeHash, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     out = np.ones(len(x), bool)
     span = np.arange(n)
     for k in range(0, len(x), 4096):
@@ -227,7 +347,7 @@ def repeated_windows(group: np.ndarray, offset: np.ndarray, contents: list[bytes
 
     group is sorted; offset is the anchor's place in the content.
     """
-    ph = PrefixHash(b"".join(contents))
+    ph = PrimeHash(b"".join(contents))
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     base = np.cumsum(sizes) - sizes
     n = sizes - length + 1
@@ -294,30 +414,6 @@ def _sort_groups(length: int, at_once: int = 1 << 20):
     return run
 
 
-WINDOW = "w1 long, w2 long, doc long, name long, s int"
-
-
-def _windows(length: int):
-    """Every window of contents by two hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = length // 2
-        for b in pieces(batches, 1 << 19, "content"):
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for doc, name, h, first, pos, _, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ph = PrefixHash(content)
-                s = np.arange(len(content) - length + 1)
-                with np.errstate(over="ignore"):
-                    place = np.uint64(h & 0xFFFFFFFFFFFFFFFF) ^ ((s - (pos - first)).astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    w = [(ph.of(s, s + half) ^ place).view(np.int64), (ph.of(s + half, s + length) + place).view(np.int64)]
-                for k, v in enumerate((*w, np.full(len(s), doc), np.full(len(s), name), s + first)):
-                    out[k].append(v)
-            flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64 if k < 4 else np.int32)) for k, v in enumerate(flat)], [c.split()[0] for c in WINDOW.split(", ")])
-
-    return run
-
-
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
         cols: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
@@ -339,6 +435,19 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in cols.items())], ["doc_id", *cols])
 
 
+def _settle(found: DataFrame, length: int, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc, name, h, g, first, last, pos, times, open and what else identifies them): COVER of what repeats as a whole, the
+    rows that meet other contents (with `open`: not known to repeat), and the h of which more than `crowd` contents are left."""
+    contents = staged(found.groupBy("h", "g").agg(F.sum("times").alias("n"), F.min(F.struct("doc", "name", "first")).alias("pick"), F.max(F.col("open").cast("int")).alias("may")), "contents")
+    single = (F.col("n") == 1) & (F.col("may") == 1)
+    kinds = staged(contents.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum(single.cast("long")).alias("single")).where("single > 0 and kinds > 1"), "kinds")
+    cover = found.join(contents.where("n > 1").select("h", "g"), ["h", "g"], "left_semi").select("doc", "name", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    # segments that meet other contents, and one copy of each content that repeats as a whole
+    some = contents.join(kinds.select("h"), "h").select("h", "g", "pick.*", single.alias("fresh"))
+    picked = found.drop("open").join(some, ["h", "g", "doc", "name", "first"]).withColumnRenamed("fresh", "open")
+    return cover, picked.where("open").unionByName(picked.where("NOT open").dropDuplicates(["h", "g"])), kinds.where(F.col("kinds") > crowd).select("h")
+
+
 def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) for every row of docs (module docstring)."""
     texts = id_text(docs)
@@ -348,28 +457,31 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = CROWD) -> Data
     both = arrow_map(named, _segments(length), SEGMENT)
     # times 0: stretches that their document repeats itself; they have no anchor and pass by the join
     found = staged(both.join(twice.withColumn("known", F.lit(True)), "h", "left").where("known OR times = 0").drop("known"), "segments")
-    alone, found = found.where("times = 0"), found.where("times > 0")
-
-    contents = staged(found.groupBy("h", "g").agg(F.sum("times").alias("n"), F.min("doc").alias("doc")), "contents")
-    kinds = staged(contents.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("single")).where("single > 0 and kinds > 1"), "kinds")
-    whole = found.join(contents.where("n > 1").select("h", "g"), ["h", "g"], "left_semi")
-    cover = whole.unionByName(alone).select("doc", "name", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    release(twice)
+    covers = [found.where("times = 0").select("doc", "name", F.col("first").alias("start"), (F.col("last") + length).alias("end"))]
 
-    # segments that meet other contents, and one copy of each content that repeats as a whole
-    some = contents.join(kinds, "h").select("h", "g", "kinds", (F.col("n") == 1).alias("open"), "doc")
-    picked = found.join(some, ["h", "g", "doc"])
-    picked = picked.where("open").unionByName(picked.where("not open").dropDuplicates(["h", "g"]))
+    cover, picked, crowded = _settle(found.where("times > 0").withColumn("open", F.lit(True)), length, crowd)
+    covers.append(cover)
     own = picked.groupBy("doc", "name").agg(F.collect_list(F.struct("h", "first", "last", "pos", "open")).alias("own"))
-    cut = staged(arrow_map(named.join(own, ["doc", "name"]).dropDuplicates(["doc", "name"]).select("doc", "name", "text", "own"), _cut(length), CONTENT), "cut")
-    crowded = staged(kinds.where(F.col("kinds") > crowd).select("h"), "crowded")
-    fair = cut.join(crowded, "h", "left_anti").select(*[c.split()[0] for c in CONTENT.split(", ")])
-    fair = fair.repartition("h").sortWithinPartitions("h")
-    cover = cover.unionByName(arrow_map(fair, _sort_groups(length), COVER))
-    if not is_empty(crowded):
-        windows = arrow_map(cut.join(crowded, "h", "left_semi").select(*[c.split()[0] for c in CONTENT.split(", ")]), _windows(length), WINDOW)
-        again = staged(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "windows")
-        cover = cover.unionByName(windows.join(again, ["w1", "w2"], "left_semi").select("doc", "name", F.col("s").alias("start"), (F.col("s") + length).alias("end")))
-
+    cut = arrow_map(named.join(own, ["doc", "name"]).dropDuplicates(["doc", "name"]).select("doc", "name", "text", F.lit(0).alias("base"), "own"), _cut(length), CONTENT)
+    columns = [c.split()[0] for c in CONTENT.split(", ")]
+    for width in (*BLOCKS, None):
+        cut, crowded = staged(cut, "cut"), staged(crowded, "crowded")
+        fair = cut.join(crowded, "h", "left_anti").select(*columns).repartition("h").sortWithinPartitions("h")
+        covers.append(staged(arrow_map(fair, _sort_groups(length), COVER), "sorted"))
+        if width is None or is_empty(crowded):
+            break
+        source = cut.join(crowded, "h", "left_semi").select(*columns)
+        parts = staged(arrow_map(source, _split(length, width), PART), "parts")
+        cover, picked, crowded = _settle(parts, length, crowd)
+        covers.append(cover)
+        own = picked.groupBy("doc", "name", F.col("up").alias("h"), F.col("at").alias("first")).agg(F.collect_list(F.struct("h", "first", "last", "pos", "open")).alias("own"))
+        again = source.select("doc", "name", "h", "first", "content").join(own, ["doc", "name", "h", "first"])
+        cut = arrow_map(again.select("doc", "name", F.col("content").alias("text"), F.col("first").alias("base"), "own"), _cut(length), CONTENT)
+
+    cover = covers[0]
+    for c in covers[1:]:
+        cover = cover.unionByName(c)
     spans = cover.groupBy("doc", "name").agg(F.collect_list(F.struct("start", "end")).alias("own"))
     keyed = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc"), F.xxhash64("text").alias("name"))
     return arrow_map(keyed.join(spans, ["doc", "name"], "left").select("doc_id", "text", "own"), _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -56,15 +56,70 @@ def test_suffix_dedup(docs, rows, empty, nulls):
     assert sorted(r["n_removed"] for r in suffix_dedup(nulls).collect()) == [0, 600, 600]
 
 
+def test_suffix_dedup_of_many_near_copies(spark):
+    """A group of near copies, more than CROWD contents for each anchor, and texts beyond one stretch."""
+    from slidespark.llm import suffix_dedup as m
+
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in rng.integers(0, 300, 160)]
+    near = []
+    for k in range(700):
+        own = list(base)
+        for at in rng.integers(0, len(own), k % 5 + 1):
+            own[at] = f"y{rng.integers(0, 10**6)}"
+        near.append(" ".join(own[rng.integers(0, 12) : len(own) - rng.integers(0, 12)]))
+    rows = [(k, t) for k, t in enumerate(near)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "s")
+    expected = want(brute.op4(rows))
+    assert got(m.suffix_dedup(frame).withColumn("s", sha("kept")), *cols) == expected
+    assert got(m.suffix_dedup(frame, crowd=5).withColumn("s", sha("kept")), *cols) == expected
+
+
+def test_segments_do_not_depend_on_stretches():
+    from slidespark.llm.suffix_dedup import segments, stretches
+
+    text = bytes(np.random.default_rng(3).integers(97, 100, 5000, dtype=np.uint8))
+    windows = {}
+    for most in (700, 10_000):
+        found = set()
+        for _, _, begins, parts in stretches([1, 2], [3, 4], [text, text[100:1200]], 400, most):
+            doc, h, first, last, pos, buf = segments(parts, 400)
+            base = (np.cumsum([len(p) for p in parts]) - [len(p) for p in parts])[doc]
+            for k in range(len(doc)):
+                for s in range(int(first[k]), int(last[k]) + 1):
+                    found.add((buf[s : s + 400], int(h[k]), int(pos[k]) - s))
+        windows[most] = found
+    assert windows[700] == windows[10_000] and len(windows[700]) == 4601
+
+
+def test_strong_hashes():
+    from slidespark.llm.common import strong_hashes
+
+    # Thue-Morse words collide under every polynomial hash modulo 2^64
+    a = bytes(97 + bin(k).count("1") % 2 for k in range(4096))
+    b = bytes(195 - x for x in a)
+    for n in (512, 1024, 2048, 4096):
+        x = strong_hashes(a[:n] + b[:n] + a[:n], np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+        assert x[0] == x[2] != x[1]
+    buf = bytes(np.random.default_rng(1).integers(0, 3, 3000, dtype=np.uint8))
+    starts = np.arange(0, 2900)
+    ends = starts + np.arange(2900) % 21
+    seen = {}
+    for v, i, j in zip(strong_hashes(buf, starts, ends).tolist(), starts.tolist(), ends.tolist(), strict=True):
+        assert seen.setdefault(v, buf[i:j]) == buf[i:j]
+    assert len(seen) == len({buf[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)})
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_suffix_sort(seed):
-    from slidespark.llm.suffix_dedup import PrefixHash, common_prefix, suffix_sort
+    from slidespark.llm.suffix_dedup import PrimeHash, common_prefix, suffix_sort
 
     rng = np.random.default_rng(seed)
     buf = bytes(rng.integers(97, 99, 400, dtype=np.uint8)) * 2
     start = rng.integers(0, len(buf) - 60, 300)
     run = np.sort(rng.integers(0, 5, 300))
-    ph = PrefixHash(buf)
+    ph = PrimeHash(buf)
     order = suffix_sort(ph, start, run, 50)
     sorted_ = [(int(run[k]), buf[start[k] : start[k] + 50]) for k in order]
     assert sorted_ == sorted(sorted_) and sorted(order.tolist()) == list(range(300))
@@ -76,16 +131,16 @@ def test_suffix_sort(seed):
 def test_collisions_remove_nothing():
     from slidespark.llm import suffix_dedup as s
 
-    class Colliding(s.PrefixHash):
+    class Colliding(s.PrimeHash):
         def of(self, start, end):
             return np.zeros(np.broadcast(start, end).shape, np.uint64)
 
     contents = [bytes([97 + k]) * 40 for k in range(3)]
-    real, s.PrefixHash = s.PrefixHash, Colliding
+    real, s.PrimeHash = s.PrimeHash, Colliding
     try:
         assert not any(len(x) for x in s.repeated_windows(np.zeros(3, np.int64), np.zeros(3, np.int64), contents, 30))
     finally:
-        s.PrefixHash = real
+        s.PrimeHash = real
 
 
 def test_jaccard_join(docs, rows, empty, nulls):
