@@ -38,7 +38,7 @@ from .packing import Powers
 CROWD = 256
 #: Places that a crowded anchor's windows are split by, again and again.
 BLOCKS = (32, 4, 1)
-STRETCH = 1 << 20
+STRETCH = 1 << 16
 _POWERS = Powers()
 _BYTE = np.random.default_rng(4).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -253,7 +253,7 @@ def _split(length: int, width: int):
     hold, g the windows' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, STRETCH, "content"):
+        for b in pieces(batches, 1 << 20, "content"):
             doc, name, h, first, pos = (b.column(k).to_numpy() for k in range(5))
             contents = b.column(6).to_pylist()
             sizes = np.fromiter(map(len, contents), np.int64, len(contents))

@@ -1,14 +1,16 @@
-"""WARC archives: written by Spark's own writer, indexed first, read back by coalesced byte ranges.
+"""WARC archives: an index of every record, archives of gzip members, and coalesced byte-range reads.
 
-Writing.  Payload digests find the copies (one aggregation with partial sums; only digests of two or more records go on), each
-record gets its bytes and an archive number, and the index (archive, offset, length, url, digest, page id) is written before
-the archives: within an archive records are ordered, so offsets are running sums of lengths.  The archives are then written in
-that order, one file each, the records being made anew (no copy of them is kept), as lines that end in the blank lines which end a WARC record; no executor opens a file itself.
+Writing.  Payload digests find the copies (one aggregation with partial sums; only digests of two or more records go on).  Each
+task writes the records of its own share of the pages, one gzip member a record, to archives of about `archive_bytes`, so no
+payload travels (unless there are more repeated digests than `small` sends to all tasks: then pages and digests are joined).
+What a task returns is the index: archive, offset, length, url, digest and page id of each record.  Archives are named by
+attempt, so a task that runs twice writes other files, and only those that the committed index names are ever read.
 Copies of a payload become revisits of the record with the smallest page id; they keep the HTTP head of the original.
 
 Reading.  The selected index rows are dealt out by archive and stretch of the file, sorted by offset, and ranges with small gaps
 between them are read as one.  Each record's head is parsed, and the payload digest is computed again and compared.
-If the shared folder's file system cannot be opened from Python, Spark's binaryFile reader gives the archives instead.
+
+The folder must be in a file system that pyarrow opens by its URI (a shared disk, HDFS, S3, ...); else writing fails at once.
 
 Defined results: a null html is an empty payload; all empty payloads are copies of one another; rows that repeat the smallest
 page id of a payload are all responses; a page without an id never is the smallest unless none has one; a null url is written
@@ -20,18 +22,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import arrow_map, pieces, shared_path, staged
+from .common import SMALL, arrow_map, pieces, shared_path, small, staged
 
 GAP, SPAN = 64 << 10, 8 << 20
+#: Of deflate.
+LEVEL = 1
 PARSED = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean, payload binary"
 _END = "\r\n\r\n"
 
@@ -44,12 +48,12 @@ def digest32(payload: Column) -> Column:
 
 
 def records(pages: DataFrame, min_revisit: int = 0, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """page_id, url, digest, record_type, refers_to, record (the bytes up to the closing blank lines), length."""
+    """page_id, url, digest, record_type, refers_to, record (the bytes up to the closing blank lines)."""
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     own = own.withColumn("digest", digest32(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload"))
     light = pages.select("page_id", digest32(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))).alias("b"))
     copies = staged(light.where(F.col("b") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "copies")
-    both = own.join(copies, "digest", "left")
+    both = own.join(small(copies, SMALL >> 2), "digest", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     both = both.withColumn("refers_to", refers).withColumn("record_type", F.when(refers.isNull(), "response").otherwise("revisit"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
@@ -62,35 +66,50 @@ def records(pages: DataFrame, min_revisit: int = 0, date: str = "2000-01-01T00:0
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\n"), more,
         F.lit("Content-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END),
     )
-    return both.select("page_id", "url", "digest", "record_type", "refers_to", F.concat(head, block).alias("record")).withColumn("length", F.octet_length("record").cast("long") + len(_END))
+    return both.select("page_id", "url", "digest", "record_type", "refers_to", F.concat(head, block).cast("binary").alias("record"))
+
+
+INDEX = "archive string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long"
+
 
+def _write(path: str, archive_bytes: int):
+    """Records to gzip members of archives in path; returns the index."""
 
-def _recode(change):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = _system(path)
+        part, sink, at = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", None, 0
+        made = 0
         for b in pieces(batches, column="record"):
-            yield b.set_column(5, "record", pa.array([change(x) for x in b.column(5).to_pylist()], pa.binary()))
+            where = []
+            for record in b.column(5).to_pylist():
+                if sink is None or at >= archive_bytes:
+                    if sink is not None:
+                        sink.close()
+                    name, at, made = f"{part}-{made}.warc.gz", 0, made + 1
+                    sink = system.open_output_stream(f"{inner}/{name}", compression=None)
+                packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                data = packer.compress(record) + packer.compress(_END.encode()) + packer.flush()
+                sink.write(data)
+                where.append((name, at, len(data)))
+                at += len(data)
+            types = (pa.string(), pa.int64(), pa.int64())
+            own = [b.column(b.schema.get_field_index(c)) for c in ("page_id", "url", "digest", "record_type", "refers_to")]
+            yield pa.RecordBatch.from_arrays([*(pa.array([w[k] for w in where], t) for k, t in enumerate(types)), *own], [c.split()[0] for c in INDEX.split(", ")])
+        if sink is not None:
+            sink.close()
 
     return run
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = 64 << 20, least: int = 64, min_revisit: int = 0) -> DataFrame:
-    """Write {path}/index (Parquet), then {path}/warc/archive=N/*.txt; returns the index.  Archives hold about archive_bytes."""
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = 64 << 20, min_revisit: int = 0) -> DataFrame:
+    """Write archives of about archive_bytes to {path}/warc and their index to {path}/index (Parquet); returns the index."""
     spark = pages.sparkSession
+    system, inner = _system(f"{path}/warc")
+    system.create_dir(inner, recursive=True)
     rows = records(pages, min_revisit)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    n = max(least, -(-total // archive_bytes))
-    keys = ["page_id", "url", "digest", "length"]
-    dealt = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(n)).cast("int"))
-    before = Window.partitionBy("archive").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    index = dealt.drop("record").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    index.write.parquet(f"{path}/index")
-    # records travel deflated; they are sorted once they are whole again, so the writer takes them in the index's order
-    kept = "archive int, page_id long, url string, digest string, length long, record binary"
-    deflated = arrow_map(dealt.select("archive", F.col("page_id").cast("long"), "url", "digest", "length", F.col("record").cast("binary").alias("record")), _recode(lambda x: zlib.compress(x, 1)), kept)
-    whole = arrow_map(deflated.repartition(n, "archive"), _recode(zlib.decompress), kept)
-    ordered = whole.sortWithinPartitions("archive", *keys).select("archive", F.col("record").cast("string").alias("record"))
-    ordered.write.option("lineSep", _END).partitionBy("archive").text(f"{path}/warc")
-    return spark.read.schema(index.schema).parquet(f"{path}/index")
+    rows = rows.withColumn("page_id", F.col("page_id").cast("long")).withColumn("refers_to", F.col("refers_to").cast("long"))
+    arrow_map(rows, _write(f"{path}/warc", archive_bytes), INDEX).write.parquet(f"{path}/index")
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
 _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)", re.M)
@@ -127,13 +146,13 @@ def coalesce_ranges(ranges: list[tuple[int, int]], gap: int = GAP, span: int = S
     return out
 
 
-def _opener(path: str):
+def _system(path: str):
+    """The file system of a URI or path, and the path in it."""
     from pyarrow import fs
 
     if path.startswith("file:/") and not path.startswith("file://"):
         path = "file://" + path[5:]
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+    return fs.FileSystem.from_uri(path)
 
 
 def _batch(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:
@@ -155,12 +174,14 @@ def _read_ranges(with_payload: bool):
                 if rows[at][0] != path:
                     if source is not None:
                         source.close()
-                    path, source = rows[at][0], _opener(rows[at][0])
+                    path = rows[at][0]
+                    system, inner = _system(path)
+                    source = system.open_input_file(inner)
                 part = [(o, n) for _, o, n in rows[at:end]]
                 for a, z, own in coalesce_ranges(part):
                     source.seek(a)
                     data = source.read(z - a)
-                    yield _batch([parse_record(data[part[k][0] - a : part[k][0] - a + part[k][1]]) for k in own], with_payload)
+                    yield _batch([parse_record(zlib.decompress(data[part[k][0] - a : part[k][0] - a + part[k][1]], 31)) for k in own], with_payload)
                 at = end
         if source is not None:
             source.close()
@@ -168,47 +189,11 @@ def _read_ranges(with_payload: bool):
     return run
 
 
-def _read_whole(with_payload: bool):
-    def run(rows: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-        content = files["content"].iloc[0] if len(files) else b""
-        found = [parse_record(content[o : o + n]) for o, n in zip(rows["offset"], rows["length"], strict=True)]
-        return _batch(found, with_payload).to_pandas()
-
-    return run
-
-
-def read_archives(index: DataFrame, path: str, with_payload: bool = True, whole: bool | None = None) -> DataFrame:
-    """The records that the index rows name (any selection of them).  whole: read archives whole instead of ranges
-    (default: only if Python cannot open the folder's file system)."""
-    spark = index.sparkSession
-    at = f"{path}/warc"
-    if whole is None:
-        try:
-            _opener_check(at)
-            whole = False
-        except Exception:
-            whole = True
-    if is_missing(spark, at):
-        return spark.createDataFrame([], PARSED)
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, archive int").load(at)
-    picked = index.select("archive", "offset", F.col("length").alias("size"))
-    if whole:
-        return picked.withColumnRenamed("size", "length").groupBy("archive").cogroup(files.select("archive", "content").groupBy("archive")).applyInPandas(_read_whole(with_payload), PARSED)
-    ranges = picked.join(files.select("archive", "path"), "archive").select("path", "offset", "size")
+def read_archives(index: DataFrame, path: str, with_payload: bool = True) -> DataFrame:
+    """The records that the index rows name (any selection of them)."""
+    ranges = index.select(F.concat(F.lit(f"{path}/warc/"), "archive").alias("path"), "offset", F.col("length").alias("size"))
     stretch = (F.col("offset") / F.lit(8 * SPAN)).cast("long")
-    return ranges.repartition("path", stretch).sortWithinPartitions("path", "offset").mapInArrow(_read_ranges(with_payload), PARSED)
-
-
-def _opener_check(path: str) -> None:
-    from pyarrow import fs
-
-    fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
-
-
-def is_missing(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/*/*")
-    return not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return arrow_map(ranges.repartition("path", stretch).sortWithinPartitions("path", "offset"), _read_ranges(with_payload), PARSED)
 
 
 def round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:
