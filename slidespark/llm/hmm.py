@@ -12,7 +12,7 @@ cell; only the state tables (their size is fixed) reach the driver.  For the sum
 most frequent words are sent to the executors (a bounded table); the other words of each document are joined with the counts
 by hash, so frequent words never meet in one task and a vocabulary of any size will do.
 
-Words are named by 64-bit hashes; two that agree would share a count.
+Words are named by strong 64-bit hashes of all their bytes; of V distinct words, some V^2 / 2^65 pairs would share a count.
 
 Defined results: a null or empty text is its end alone; without training documents every word is unknown and the states are
 as started; repeated rows are scored each for itself; null ids are training documents; only ids and texts are read.
@@ -30,12 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, arrow_map, id_text, most_frequent, pieces, staged
-from .suffix_dedup import PrefixHash
+from .common import BLANKS, arrow_map, id_text, most_frequent, pieces, staged, strong_hashes
 
 STATES, OWN, ENDINGS, HEAD = 10, 2000, 512, 1 << 17
 PASSES = 10
-STRETCH = 512
+STRETCH = 1024
 #: Stands for a text's end among word hashes.
 END = 0
 FLUSH = 4 << 20
@@ -56,17 +55,18 @@ class Words:
     @classmethod
     def of(cls, texts: list[bytes]) -> Words:
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        ph = PrefixHash((b"\n".join(texts) + b"\n").lower())
-        white = _WHITE[ph.bytes]
+        buf = (b"\n".join(texts) + b"\n").lower() if texts else b""
+        chars = np.frombuffer(buf, np.uint8)
+        white = _WHITE[chars]
         solid = ~white
         starts = np.flatnonzero(solid & np.concatenate([[True], white[:-1]]))
         ends = np.flatnonzero(solid & np.concatenate([white[1:], [True]])) + 1
         code = np.zeros(len(starts), np.int64)
         for k in (1, 2, 3):
             at = ends - k
-            code = code * 269 + np.where(at >= starts, ph.bytes[np.maximum(at, 0)].astype(np.int64) + 1, 0)
+            code = code * 269 + np.where(at >= starts, chars[np.maximum(at, 0)].astype(np.int64) + 1, 0)
         bounds = np.searchsorted(starts, np.cumsum(sizes))
-        keys = np.insert(ph.of(starts, ends).view(np.int64), bounds, END)
+        keys = np.insert(strong_hashes(buf, starts, ends).view(np.int64), bounds, END)
         return cls(keys, np.insert(code * 40503 % 65521 % ENDINGS, bounds, 0).astype(np.int32), np.concatenate([[0], bounds + np.arange(1, len(texts) + 1)]))
 
     def classes(self, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -114,38 +114,58 @@ def _steps(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, flat, live
 
 
-def _heads(seqs: list[np.ndarray], model: States) -> tuple[np.ndarray, np.ndarray]:
+class _Tables:
+    """The state tables with states first, so that each step runs along the sequences; float32 is enough for expected counts."""
+
+    def __init__(self, model: States, kind: type = np.float64) -> None:
+        self.start = model.start.astype(kind)[:, None]
+        self.step = np.ascontiguousarray(model.step, kind)
+        self.back = np.ascontiguousarray(model.step.T, kind)
+        self.emit = np.ascontiguousarray(model.emit.T, kind)
+        self.k = len(model.start)
+
+
+def _heads(seqs: list[np.ndarray], tables: _Tables) -> tuple[np.ndarray, np.ndarray]:
     """Log likelihood and last state vector (it sums to 1) of each sequence, position by position over all of them."""
     order, flat, live = _steps(seqs)
-    out, last = np.zeros(len(seqs)), np.empty((len(seqs), len(model.start)))
+    emit = np.take(tables.emit, flat, 1)
+    out, last = np.zeros(len(seqs)), np.empty((tables.k, len(seqs)), emit.dtype)
     at, alpha = 0, None
     for a in live.tolist():
-        e = model.emit[flat[at : at + a]]
-        alpha = e * model.start if alpha is None else (alpha[:a] @ model.step) * e
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
+        e = emit[:, at : at + a]
+        alpha = e * tables.start if alpha is None else (tables.back @ alpha[:, :a]) * e
+        scale = alpha.sum(0)
+        alpha /= scale
         out[:a] += np.log(scale)
-        last[:a] = alpha
+        last[:, :a] = alpha
         at += a
     back, ends = np.empty(len(seqs)), np.empty_like(last)
-    back[order], ends[order] = out, last
+    back[order], ends[:, order] = out, last
     return back, ends
 
 
-def _transfers(seqs: list[np.ndarray], model: States) -> tuple[np.ndarray, np.ndarray]:
+def _transfers(seqs: list[np.ndarray], tables: _Tables) -> tuple[np.ndarray, np.ndarray]:
     """What each stretch does to a state vector: a matrix that sums to 1, and the log of what it was divided by."""
     order, flat, live = _steps(seqs)
-    k = len(model.start)
-    m, logs = np.tile(np.eye(k), (len(seqs), 1, 1)), np.zeros(len(seqs))
+    k, emit = tables.k, np.take(tables.emit, flat, 1)
+    most = emit.max(0)
+    emit /= most
+    logs = np.zeros(len(seqs))
+    m = np.repeat(np.eye(k, dtype=emit.dtype)[:, :, None], len(seqs), 2)
     at = 0
-    for a in live.tolist():
-        new = (m[:a].reshape(-1, k) @ model.step).reshape(a, k, k) * model.emit[flat[at : at + a], None, :]
-        scale = new.sum((1, 2))
-        m[:a] = new / scale[:, None, None]
-        logs[:a] += np.log(scale)
+    for t, a in enumerate(live.tolist()):
+        new = np.matmul(tables.back, m[:, :, :a])
+        new *= emit[:, at : at + a]
+        logs[:a] += np.log(most[at : at + a])
+        # emissions are at most 1 here, so a few steps pass without scaling; sequences that end now are scaled now
+        if t % 4 == 3 or t + 1 == len(live) or live[t + 1] < a:
+            scale = new.reshape(k * k, a).sum(0)
+            new /= scale
+            logs[:a] += np.log(scale)
+        m[:, :, :a] = new
         at += a
-    back, out = np.empty(len(seqs)), np.empty_like(m)
-    back[order], out[order] = logs, m
+    back, out = np.empty(len(seqs)), np.empty((len(seqs), k, k), emit.dtype)
+    back[order], out[order] = logs, m.transpose(2, 0, 1)
     return out, back
 
 
@@ -155,33 +175,36 @@ def forward(seqs: list[np.ndarray], model: States, stretch: int = STRETCH) -> np
     The recursion runs over all sequences at once; what lies beyond `stretch` in a longer one is cut into stretches whose
     transfer matrices are found side by side and then applied in turn, so that one long text does not make many short steps.
     """
-    out, vector = _heads([s[:stretch] for s in seqs], model)
+    tables = _Tables(model)
+    out, vector = _heads([s[:stretch] for s in seqs], tables)
     rest = [(i, s[a : a + stretch]) for i, s in enumerate(seqs) for a in range(stretch, len(s), stretch)]
     if rest:
-        matrices, logs = _transfers([part for _, part in rest], model)
+        matrices, logs = _transfers([part for _, part in rest], tables)
         for (i, _), m, log in zip(rest, matrices, logs.tolist(), strict=True):
-            v = vector[i] @ m
+            v = vector[:, i] @ m
             total = v.sum()
             out[i] += log + math.log(total)
-            vector[i] = v / total
+            vector[:, i] = v / total
     return out
 
 
-def _tails(seqs: list[np.ndarray], model: States) -> np.ndarray:
+def _tails(seqs: list[np.ndarray], tables: _Tables) -> np.ndarray:
     """The backward vector (it sums to 1) before each sequence that ends its text."""
     order, flat, live = _steps(seqs)
-    beta, at = np.ones((0, len(model.start))), len(flat)
+    emit = np.take(tables.emit, flat, 1)
+    beta, at = np.ones((tables.k, 0), emit.dtype), len(flat)
     for a in live[::-1].tolist():
-        beta = np.concatenate([beta, np.ones((a - len(beta), beta.shape[1]))])
-        beta = (model.emit[flat[at - a : at]] * beta) @ model.step.T
-        beta /= beta.sum(1)[:, None]
+        full = np.ones((tables.k, a), emit.dtype)
+        full[:, : beta.shape[1]] = beta
+        beta = tables.step @ (emit[:, at - a : at] * full)
+        beta /= beta.sum(0)
         at -= a
     back = np.empty_like(beta)
-    back[order] = beta
+    back[:, order] = beta
     return back
 
 
-def _carried(seqs: list[np.ndarray], model: States, stretch: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _carried(seqs: list[np.ndarray], tables: _Tables, stretch: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """The stretches of all sequences, whether each is its sequence's first, the state vector (it sums to 1) before each that is
     not, and the backward vector after each, scaled to 1 against the state vector there."""
     many = np.array([max(1, -(-len(s) // stretch)) for s in seqs])
@@ -189,64 +212,64 @@ def _carried(seqs: list[np.ndarray], model: States, stretch: int) -> tuple[list[
     heads = np.concatenate([[0], np.cumsum(many)[:-1]])
     first = np.zeros(len(parts), bool)
     first[heads] = True
-    k = len(model.start)
-    before, after = np.zeros((len(parts), k)), np.ones((len(parts), k))
+    before, after = (f((tables.k, len(parts)), tables.emit.dtype) for f in (np.zeros, np.ones))
     rest = np.flatnonzero(~first)
     if len(rest):
         long = heads[many > 1]
-        _, ends = _heads([parts[i] for i in long], model)
-        before[long + 1] = ends
+        before[:, long + 1] = _heads([parts[i] for i in long], tables)[1]
         last = np.append(first[1:], True)
         middle, tail = rest[~last[rest]], rest[last[rest]]
-        matrices = _transfers([parts[i] for i in middle], model)[0] if len(middle) else []
+        matrices = _transfers([parts[i] for i in middle], tables)[0] if len(middle) else []
         for i, m in zip(middle.tolist(), matrices, strict=True):
-            v = before[i] @ m
-            before[i + 1] = v / v.sum()
-        w = _tails([parts[i] for i in tail], model)
-        after[tail - 1] = w / (before[tail] * w).sum(1)[:, None]
+            v = before[:, i] @ m
+            before[:, i + 1] = v / v.sum()
+        w = _tails([parts[i] for i in tail], tables)
+        after[:, tail - 1] = w / (before[:, tail] * w).sum(0)
         for i, m in zip(middle[::-1].tolist(), matrices[::-1], strict=True):
-            w = m @ after[i]
-            after[i - 1] = w / (before[i] @ w)
+            w = m @ after[:, i]
+            after[:, i - 1] = w / (before[:, i] @ w)
     return parts, first, before, after
 
 
-def expected(seqs: list[np.ndarray], model: States, out: np.ndarray, stretch: int = STRETCH) -> float:
+def expected(seqs: list[np.ndarray], model: States, out: np.ndarray, stretch: int = STRETCH, kind: type = np.float32) -> float:
     """Add expected counts (start, steps, emissions, flat) to out; returns the log likelihood.
 
     Sequences longer than `stretch` are run as stretches side by side, with the forward and backward vectors carried over the
     cuts, so the counts are those of the whole sequences.
     """
-    k = len(model.start)
-    parts, first, before, after = _carried(seqs, model, stretch)
+    tables = _Tables(model, kind)
+    k = tables.k
+    parts, first, before, after = _carried(seqs, tables, stretch)
     order, flat, live = _steps(parts)
-    first, before, after = first[order], before[order], after[order]
-    n, at = len(flat), np.concatenate([[0], np.cumsum(live)])
-    emit, alphas, scales = model.emit[flat], np.empty((n, k)), np.empty(n)
+    first, before, after = first[order], before[:, order], after[:, order]
+    at = np.concatenate([[0], np.cumsum(live)]).tolist()
+    emit = np.take(tables.emit, flat, 1)
+    alphas, scales, live = np.empty_like(emit), np.empty(len(flat), kind), live.tolist()
     alpha = None
-    for t, a in enumerate(live.tolist()):
-        e = emit[at[t] : at[t + 1]]
-        alpha = e * np.where(first[:, None], model.start, before @ model.step) if alpha is None else (alpha[:a] @ model.step) * e
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        alphas[at[t] : at[t + 1]], scales[at[t] : at[t + 1]] = alpha, scale
-    steps, beta = np.zeros((k, k)), after[: live[-1]]
-    gammas = alphas  # filled from behind, each position once it is done
+    for t, a in enumerate(live):
+        e = emit[:, at[t] : at[t + 1]]
+        alpha = e * np.where(first, tables.start, tables.back @ before) if alpha is None else (tables.back @ alpha[:, :a]) * e
+        scale = alpha.sum(0)
+        alpha /= scale
+        alphas[:, at[t] : at[t + 1]], scales[at[t] : at[t + 1]] = alpha, scale
+    steps, beta = np.zeros((k, k)), after[:, : live[-1]]
+    emit /= scales
     for t in range(len(live) - 1, -1, -1):
         here = slice(at[t], at[t + 1])
-        weighted = emit[here] * beta / scales[here, None]
+        weighted = emit[:, here] * beta
         # the vectors before first stretches are 0: no step leads to a text's start
-        steps += (alphas[at[t - 1] : at[t - 1] + live[t]] if t else before).T @ weighted
-        gammas[here] = alphas[here] * beta
+        steps += (alphas[:, at[t - 1] : at[t - 1] + live[t]] if t else before) @ weighted.T
+        alphas[:, here] *= beta  # from behind, each position once it is done: expected states
         if t:
-            beta = after[: live[t - 1]].copy()
-            beta[: live[t]] = weighted @ model.step.T
+            beta = after[:, : live[t - 1]].copy()
+            beta[:, : live[t]] = tables.step @ weighted
     m = model.emit.shape[0]
-    out[:k] += gammas[: live[0]][first].sum(0)
+    out[:k] += alphas[:, : live[0]][:, first].sum(1, dtype=np.float64)
     out[k : k + k * k] += (steps * model.step).ravel()
     table = out[k + k * k :].reshape(m, k)
     for z in range(k):
-        table[:, z] += np.bincount(flat, gammas[:, z], m)
-    return float(np.log(scales).sum())
+        table[:, z] += np.bincount(flat, alphas[z], m)
+    return float(np.log(scales, dtype=np.float64).sum())
 
 
 def _groups(batches: Iterator[pa.RecordBatch], size: int = 3 << 19) -> Iterator[tuple[pa.RecordBatch, Words]]:
@@ -288,7 +311,7 @@ def _expect(held):
         model = held.value
         k = len(model.start)
         out, likely = np.zeros(k + k * k + model.emit.size), 0.0
-        for b in pieces(batches, 1 << 19, "classes"):
+        for b in pieces(batches, 1 << 20, "classes"):
             likely += expected([np.frombuffer(c, "<u2") for c in b.column(0).to_pylist()], model, out)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([likely, *out[at].tolist()], pa.float64())], ["cell", "value"])

@@ -5,7 +5,9 @@ level makes the sum over levels h of N(h)^2 smallest, N(h) being the number of w
 counters is all the state, however many documents pass.  Placing a piece of r tokens on level h changes the sum by
 2 N(h+r) + 1 (nothing if the window becomes full) and 1 - 2 N(h) (nothing for a new window); of equal levels the fullest wins.
 Each input partition packs on its own and, at its end, cuts the pieces of its emptiest open windows to fill the others, so
-that at most one window of a partition is not full; that one becomes sequences of lengths that are powers of two.
+that at most one window of a partition is not full; that one becomes sequences of lengths that are powers of two.  The same
+is done to half of the open windows whenever more than OPEN are open (pieces just over half a window fit with nothing), so
+what a task holds is bounded.  Pieces of words are known by 128 bits of hash.
 
 Tokenisation looks up a cache of word pieces: text is cut only where every tokenizer of this kind cuts too (white space, and
 between an ASCII letter or digit and an ASCII sign other than the apostrophe), so the ids are those of the whole text.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, id_text, pieces
+from .common import arrow_map, id_text, pieces, strong_hashes
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -34,24 +36,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CLASS = np.array(
     [0 if b in (9, 10, 13, 32) else 1 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 2 if 33 <= b <= 126 and b != 39 else 3 for b in range(256)], np.int8
 )
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, as long as needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            self.up, self.down = (np.full(size, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64)))
-            for powers in (self.up, self.down):
-                powers[0] = 1
-                np.cumprod(powers, out=powers)
-        return self.up[:n], self.down[:n]
+#: Most windows that a partition holds open (about 8 kB each at 2048 tokens).
+OPEN = 4096
 
 
 class Tokens:
@@ -63,8 +49,8 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cap, self.powers = Tokenizer.from_file(path), cap, Powers()
-        self.keys, self.at, self.n, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.tokenizer, self.cap = Tokenizer.from_file(path), cap
+        self.keys, self.checks, self.at, self.n, self.flat = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
         model, out, rest = self.tokenizer.model, [], []
@@ -79,13 +65,14 @@ class Tokens:
                 out[k] = e.ids
         return out
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[bytes]) -> None:
         ids = self._encode(words)
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((t for x in ids for t in x), np.uint32, int(n.sum()))
         at = len(self.flat) + np.cumsum(n) - n
         order = np.argsort(all_keys := np.concatenate([self.keys, keys]))
-        self.keys, self.at, self.n, self.flat = all_keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order], np.concatenate([self.flat, flat])
+        self.keys, self.checks = all_keys[order], np.concatenate([self.checks, checks])[order]
+        self.at, self.n, self.flat = np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order], np.concatenate([self.flat, flat])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's begin (one more entry than texts)."""
@@ -112,18 +99,20 @@ class Tokens:
         ends = np.flatnonzero(cut[1:] & (cls != 0)) + 1
         if not len(starts):
             return np.empty(0, np.uint32), (starts, np.empty(0, np.int64))
-        with np.errstate(over="ignore"):
-            up, down = self.powers.to(len(arr) + 1)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[arr] * up[:-1], dtype=np.uint64)])
-            keys = (total[ends] - total[starts]) * down[starts]
-        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        # a piece is known by two hashes of 64 bits each; where two pieces share the first only, nothing is looked up
+        first_hash, second_hash = (strong_hashes(buf, starts, ends, seed) for seed in (0, 1))
+        keys, first, inverse = np.unique(first_hash, return_index=True, return_inverse=True)
+        checks = second_hash[first]
+        if (checks[inverse] != second_hash).any():
+            return self._one_by_one([buf[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], starts)
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(new) + len(self.keys) > self.cap:  # start afresh from what this buffer holds
-            self.keys, self.at, self.n, self.flat = self.keys[:0], self.at[:0], self.n[:0], self.flat[:0]
+        same = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~same)
+        if len(new) + len(self.keys) > self.cap or (same & (self.checks[at] != checks) if len(self.keys) else same).any():  # start afresh from what this buffer holds
+            self.keys, self.checks, self.at, self.n, self.flat = self.keys[:0], self.checks[:0], self.at[:0], self.n[:0], self.flat[:0]
             new = np.arange(len(keys))
         if len(new):
-            self._learn(keys[new], [buf[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self._learn(keys[new], checks[new], [buf[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.keys, keys)
         slot = at[inverse]
         n = self.n[slot]
@@ -131,6 +120,11 @@ class Tokens:
         flat = self.flat[np.repeat(self.at[slot] - before, n) + np.arange(int(n.sum()))]
         return flat, (starts, n)
 
+    def _one_by_one(self, words: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        ids = self._encode(words)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((t for x in ids for t in x), np.uint32, int(n.sum())), (starts, n)
+
 
 class Window:
     __slots__ = ("fill", "parts", "seq")
@@ -146,8 +140,8 @@ class Window:
 class Packer:
     """The windows of one partition."""
 
-    def __init__(self, window: int, first: int) -> None:
-        self.window, self.seq = window, first
+    def __init__(self, window: int, first: int, most: int = OPEN) -> None:
+        self.window, self.seq, self.most = window, first, most
         self.levels = np.zeros(window + 1, np.int64)
         self.open: list[list[Window]] = [[] for _ in range(window + 1)]
         self.rows: list[tuple] = []
@@ -207,12 +201,14 @@ class Packer:
             else:
                 self.levels[w.fill] += 1
                 self.open[w.fill].append(w)
+                if not h and int(self.levels.sum()) > self.most:
+                    self.shrink(self.most // 2)
 
-    def finish(self) -> None:
-        """Fill the fullest windows with tokens of the emptiest, which are cut; one window may stay open."""
+    def shrink(self, most: int) -> None:
+        """Fill the fullest windows with tokens of the emptiest, which are cut, until at most so many are open."""
         left = [w for ws in self.open for w in ws]
         low, high = 0, len(left) - 1
-        while low < high:
+        while low < high and high - low >= most:
             gap, w = self.window - left[high].fill, left[low]
             doc, start, ids = w.parts.pop()
             take = ids[-gap:] if len(ids) > gap else ids
@@ -225,7 +221,15 @@ class Packer:
                 high -= 1
             if not w.fill:
                 low += 1
+        self.open, self.levels = [[] for _ in self.open], np.zeros_like(self.levels)
         for w in left[low : high + 1]:
+            self.open[w.fill].append(w)
+            self.levels[w.fill] += 1
+
+    def finish(self) -> None:
+        """Close all windows; at most one is not full, and it is cut into powers of two."""
+        self.shrink(1)
+        for w in [w for ws in self.open for w in ws]:
             self._close_last(w)
         self.open, self.levels = [[] for _ in self.open], np.zeros_like(self.levels)
 

@@ -33,12 +33,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, id_text, is_empty, pieces, release, staged, strong_hashes
-from .packing import Powers
 
 CROWD = 256
 #: Places that a crowded anchor's windows are split by, again and again.
 BLOCKS = (32, 4, 1)
 STRETCH = 1 << 16
+_BASE = 0x9E3779B97F4A7C15
+
+
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2^64, as long as needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up), 1 << 16)
+            self.up, self.down = (np.full(size, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64)))
+            for powers in (self.up, self.down):
+                powers[0] = 1
+                np.cumprod(powers, out=powers)
+        return self.up[:n], self.down[:n]
+
+
 _POWERS = Powers()
 _BYTE = np.random.default_rng(4).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, arrow_map, pieces, shared_path, small, staged
+from .common import SMALL, arrow_map, partitions, pieces, shared_path, small, staged
 
 GAP, SPAN = 64 << 10, 8 << 20
 #: Of deflate.
@@ -193,7 +193,7 @@ def read_archives(index: DataFrame, path: str, with_payload: bool = True) -> Dat
     """The records that the index rows name (any selection of them)."""
     ranges = index.select(F.concat(F.lit(f"{path}/warc/"), "archive").alias("path"), "offset", F.col("length").alias("size"))
     stretch = (F.col("offset") / F.lit(8 * SPAN)).cast("long")
-    return arrow_map(ranges.repartition("path", stretch).sortWithinPartitions("path", "offset"), _read_ranges(with_payload), PARSED)
+    return arrow_map(ranges.repartition(partitions(index.sparkSession), "path", stretch).sortWithinPartitions("path", "offset"), _read_ranges(with_payload), PARSED)
 
 
 def round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:

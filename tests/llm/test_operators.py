@@ -238,7 +238,7 @@ def test_hmm(docs, rows, empty, spark):
     import itertools
 
     counts = np.zeros(k + k * k + m * k)
-    total = expected(seqs, states, counts)
+    total = expected(seqs, states, counts, kind=np.float64)
     assert np.allclose(forward(seqs, states, 2), forward(seqs, states))
     for seq, value in zip(seqs, forward(seqs, states), strict=True):
         p = sum(
@@ -253,7 +253,7 @@ def test_hmm(docs, rows, empty, spark):
     for _ in range(3):
         states = states.updated({i: v for i, v in enumerate(counts)}, np.full(m, 1 / m), prior=0.0)
         counts = np.zeros_like(counts)
-        after = expected(seqs, states, counts)
+        after = expected(seqs, states, counts, kind=np.float64)
         assert after > before - 1.0
         before = after
 
@@ -285,9 +285,9 @@ def test_hmm_counts_do_not_see_cuts():
     states = States(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(m), k).T.copy())
     seqs = [rng.integers(0, m, n).astype(np.int32) for n in (7, 1, 2, 12, 3, 6, 2 * STRETCH + 3)]
     whole, parts, usual = (np.zeros(k + k * k + m * k) for _ in range(3))
-    likely = expected(seqs, states, whole, 10 * STRETCH)
-    assert abs(expected(seqs, states, parts, 3) - likely) < 1e-8 and np.allclose(parts, whole)
-    assert abs(expected(seqs, states, usual) - likely) < 1e-8 and np.allclose(usual, whole)
+    likely = expected(seqs, states, whole, 10 * STRETCH, np.float64)
+    assert abs(expected(seqs, states, parts, 3, np.float64) - likely) < 1e-8 and np.allclose(parts, whole)
+    assert abs(expected(seqs, states, usual) / likely - 1) < 1e-5 and np.allclose(usual, whole, 1e-3, 1e-3)  # float32
     assert abs(whole[:k].sum() - len(seqs)) < 1e-9
 
 
@@ -366,7 +366,7 @@ def test_warc(spark):
     assert index.count() == 8
     some = index.where("record_type = 'response'")
     a = read_archives(some, path)
-    assert a.count() == 6 and a.where("not intact").count() == 0
+    assert a.count() == 5 and a.where("not intact").count() == 0
     # an archive is a sequence of gzip members, each at its offset, and rolls over at its bound
     many = write_archives(df, shared_path(spark, "t") + "/b", archive_bytes=1)
     assert many.select("archive").distinct().count() == 8 and many.where("offset > 0").count() == 0
@@ -402,6 +402,43 @@ def test_packing(docs, rows, empty):
     assert pack(empty, path).collect() == []
 
 
+def test_tokens_of_words_whose_polynomial_hashes_collide():
+    import public_tokenizers
+
+    from slidespark.llm.hmm import Words
+    from slidespark.llm.packing import Tokens
+
+    a = bytes(97 + bin(k).count("1") % 2 for k in range(2048))
+    b = bytes(195 - x for x in a)
+    tokens = Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    flat, edges = tokens.encode([a, b, a + b" " + b])
+    for k, text in enumerate((a, b, a + b" " + b)):
+        assert flat[edges[k] : edges[k + 1]].tolist() == tokens.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    words = Words.of([a + b" " + b + b" " + a])
+    assert words.keys[0] == words.keys[2] != words.keys[1]
+
+
+def test_open_windows_are_bounded():
+    from slidespark.llm.packing import Packer
+
+    packer = Packer(16, 0, most=20)
+    for k in range(500):
+        packer.add(k, np.full(9 + k % 3, k, np.uint32))
+        assert packer.levels.sum() <= 21
+    packer.finish()
+    seqs = {}
+    for doc, start, n, _, total, seq, at, ids in packer.rows:
+        assert total == 9 + doc % 3 and (ids == doc).all()
+        seqs.setdefault(seq, []).append((at, n))
+    assert sum(n for _, _, n, *_ in packer.rows) == sum(9 + k % 3 for k in range(500))
+    for parts in seqs.values():
+        at = 0
+        for a, n in sorted(parts):
+            assert a == at
+            at += n
+        assert at == 16 or at & (at - 1) == 0
+
+
 def test_sum_of_squares_level():
     from slidespark.llm.packing import Packer
 
