@@ -3,8 +3,9 @@
 The normalised items (words, see `words_of`) build one suffix automaton over word numbers; every state knows which items
 hold the window that it stands for.  Training tokens stream through it: the state and the length of the longest match that
 ends at each token are kept, and wherever the length reaches the window, the window's words are hit.  Items shorter than a
-window count as a window of their own length.  The automaton is built from at most `chunk_words` words of items at a time
-and sent to the executors, so what is broadcast is bounded; more items make more automata, which documents pass in turn.
+window count as a window of their own length.  The automaton is built from at most `chunk_words` words of items (or one item)
+and sent to the executors.  A larger test set makes several automata, one after the other: documents pass each in a job of its
+own, which keeps the hit words of those with any; the driver and a task hold one automaton at a time.
 
 Defined results: a null or empty text has no words and is not contaminated; items without words never match; repeated
 documents are judged each for itself, repeated items are items of their own; an empty benchmark hits nothing; columns other
@@ -13,6 +14,7 @@ than ids and texts are not looked at.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_text, pieces
+from .common import arrow_map, id_text, pieces, staged
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to a-z; every other ASCII character outside 0-9 and a-z to a blank.
@@ -152,42 +154,82 @@ def _spans(text: bytes, hit: np.ndarray) -> tuple[list[int], list[int]]:
     return [at[a][0] for a in edge[::2]], [at[b - 1][1] for b in edge[1::2]]
 
 
+def _bytes_of(text: object) -> bytes:
+    return b"" if text is None else text if isinstance(text, bytes) else text.encode()
+
+
+def _row(words: list[bytes], text: bytes, hit: np.ndarray | None, items: list[str], most: int) -> tuple:
+    starts, ends = _spans(text, hit) if hit is not None and hit.any() else ([], [])
+    return len(words), 0 if hit is None else int(hit.sum()), items, starts, ends, most
+
+
+def _rows(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], [c.split()[0] for c in OUT.split(", ")])
+
+
 def _match_all(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = held.value
+        automaton = held.value
         for b in pieces(batches):
-            cols: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "items", "starts", "ends", "longest")}
+            rows = []
             for text in b.column(1).to_pylist():
                 words = words_of(text)
-                hit, names, most = np.zeros(len(words), bool), set(), 0
-                for a in automata:
-                    own, items, long = a.match(words)
-                    if own is not None:
-                        hit |= own
-                        names |= {(id(a), k) for k in items}
-                        most = max(most, long)
-                by = {id(a): a for a in automata}
-                starts, ends = _spans(text, hit) if hit.any() else ([], [])
-                for k, v in (("n_words", len(words)), ("n_hit", int(hit.sum())), ("items", sorted(by[a].items[k] for a, k in names)), ("starts", starts), ("ends", ends), ("longest", most)):
-                    cols[k].append(v)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(v, t) for v, t in zip(cols.values(), types, strict=True))], ["doc_id", *cols])
+                hit, items, most = automaton.match(words) if automaton else (None, set(), 0)
+                rows.append(_row(words, text, hit, sorted(automaton.items[k] for k in items) if automaton else [], most))
+            yield _rows(b.column(0), rows)
+
+    return run
+
+
+HITS = "doc long, name long, first array<int>, last array<int>, items array<string>, longest int"
+
+
+def _hits(held):
+    """Runs of hit words (first, last + 1), of documents with any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = held.value
+        for b in pieces(batches):
+            rows = []
+            for doc, name, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                hit, items, most = automaton.match(words_of(text))
+                if most:
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                    rows.append((doc, name, edge[::2], edge[1::2], sorted(automaton.items[k] for k in items), most))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in HITS.split(", ")])
 
     return run
 
 
-def automata(benchmark: DataFrame, window: int, chunk_words: int, id_col: str = "item_id", text_col: str = "text") -> list[Automaton]:
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text and the hits of all automata to OUT."""
+    for b in pieces(batches):
+        rows = []
+        for text, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            words = words_of(text)
+            hit = np.zeros(len(words), bool)
+            for h in own or []:
+                for a, z in zip(h["first"], h["last"], strict=True):
+                    hit[a:z] = True
+            rows.append(_row(words, text, hit, sorted(i for h in own or [] for i in h["items"]), max((h["longest"] for h in own or []), default=0)))
+        yield _rows(b.column(0), rows)
+
+
+def automata(benchmark: DataFrame, window: int, chunk_words: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[Automaton]:
     """Automata over the items, each over at most chunk_words words (or one item)."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
-    out, chunk, size = [], [], 0
+    chunk, size = [], 0
     for r in rows.toLocalIterator():
         n = len(words_of(bytes(r["t"])))
         if chunk and size + n > chunk_words:
-            out.append(Automaton.build(chunk, window))
+            yield Automaton.build(chunk, window)
             chunk, size = [], 0
         chunk.append((r["i"] or "", bytes(r["t"])))
         size += n
-    return [*out, Automaton.build(chunk, window)] if chunk else out
+    if chunk:
+        yield Automaton.build(chunk, window)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: float = 0.05, chunk_words: int = 200_000) -> DataFrame:
@@ -196,8 +238,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
 
     chunk_words bounds one automaton (about 0.2 kB a word); a test set is far smaller.
     """
-    held = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window, chunk_words))
-    out = arrow_map(id_text(docs), _match_all(held), OUT)
+    spark, texts = docs.sparkSession, id_text(docs)
+    each = automata(benchmark, window, chunk_words)
+    first, second = next(each, None), next(each, None)
+    if second is None:
+        out = arrow_map(texts, _match_all(spark.sparkContext.broadcast(first)), OUT)
+    else:
+        named = texts.withColumns({"doc": F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long"), "name": F.xxhash64("text")})
+        hits = None
+        for a in itertools.chain([first, second], each):
+            held = spark.sparkContext.broadcast(a)
+            # rows that agree in id and text have the same hits
+            own = staged(arrow_map(named.select("doc", "name", "text"), _hits(held), HITS).dropDuplicates(["doc", "name"]), "hits")
+            hits = own if hits is None else hits.unionByName(own)
+            held.destroy()
+        sums = hits.groupBy("doc", "name").agg(F.collect_list(F.struct("first", "last", "items", "longest")).alias("own"))
+        out = arrow_map(named.join(sums, ["doc", "name"], "left").select("doc_id", "text", "own"), _merged, OUT)
     limit = round(1 / coverage)
     return out.select(
         "doc_id", "n_words", "n_hit", "items", F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans"), "longest",
@@ -206,19 +262,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: float = 0.05, chunk_words: int = 200_000) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated; no row travels."""
-    held = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window, chunk_words))
-    return arrow_map(docs, _clean_only(held, docs.columns.index("text"), round(1 / coverage)), docs.schema)
+    """The rows of docs, all columns, that are not contaminated; no row travels unless there are several automata."""
+    each = automata(benchmark, window, chunk_words)
+    first, second = next(each, None), next(each, None)
+    if second is None:
+        held = docs.sparkSession.sparkContext.broadcast(first)
+        return arrow_map(docs, _clean_only(held, docs.columns.index("text"), round(1 / coverage)), docs.schema)
+    # the verdict depends on a text alone, so texts are named by a digest
+    found = decontaminate(docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_id"), "text").withColumn("doc_id", F.xxhash64("doc_id", "text")), benchmark, window, coverage, chunk_words)
+    gone = staged(found.where("contaminated").select(F.col("doc_id").alias("_name")).distinct(), "contaminated")
+    name = F.xxhash64(F.sha2(F.coalesce("text", F.lit("")), 256), "text")
+    return docs.withColumn("_name", name).join(gone, "_name", "left_anti").drop("_name")
 
 
 def _clean_only(held, at: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = held.value
         for b in pieces(batches):
             keep = []
             for text in b.column(at).to_pylist():
-                words = words_of((text or "").encode())
-                hits = [own for a in held.value if (own := a.match(words)[0]) is not None]
-                n = int(np.logical_or.reduce(hits).sum()) if hits else 0
+                words = words_of(_bytes_of(text))
+                hit = automaton.match(words)[0] if automaton else None
+                n = 0 if hit is None else int(hit.sum())
                 keep.append(not (n > 0 and limit * n >= len(words)))
             yield b.filter(pa.array(keep, pa.bool_()))
 

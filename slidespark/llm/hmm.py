@@ -151,22 +151,30 @@ def _transfers(seqs: list[np.ndarray], tables: _Tables) -> tuple[np.ndarray, np.
     most = emit.max(0)
     emit /= most
     logs = np.zeros(len(seqs))
-    m = np.repeat(np.eye(k, dtype=emit.dtype)[:, :, None], len(seqs), 2)
-    at = 0
+    m = np.repeat(np.eye(k, dtype=emit.dtype)[:, :, None], len(seqs), 2)  # state after, state before, stretch
+    out, at = np.empty((len(seqs), k, k), emit.dtype), 0
     for t, a in enumerate(live.tolist()):
-        new = np.matmul(tables.back, m[:, :, :a])
-        new *= emit[:, at : at + a]
-        logs[:a] += np.log(most[at : at + a])
+        if a < m.shape[2]:
+            out[a : m.shape[2]] = m[:, :, a:].transpose(2, 1, 0)
+            m = np.ascontiguousarray(m[:, :, :a])
+        m = (tables.back @ m.reshape(k, k * a)).reshape(k, k, a)
+        m *= emit[:, None, at : at + a]
         # emissions are at most 1 here, so a few steps pass without scaling; sequences that end now are scaled now
         if t % 4 == 3 or t + 1 == len(live) or live[t + 1] < a:
-            scale = new.reshape(k * k, a).sum(0)
-            new /= scale
+            scale = m.reshape(k * k, a).sum(0)
+            m /= scale
             logs[:a] += np.log(scale)
-        m[:, :, :a] = new
         at += a
-    back, out = np.empty(len(seqs)), np.empty((len(seqs), k, k), emit.dtype)
-    back[order], out[order] = logs, m.transpose(2, 0, 1)
-    return out, back
+    out[: m.shape[2]] = m.transpose(2, 1, 0)
+    logs += np.bincount(_owners(live), np.log(most), len(seqs))
+    back, ordered = np.empty(len(seqs)), np.empty_like(out)
+    back[order], ordered[order] = logs, out
+    return ordered, back
+
+
+def _owners(live: np.ndarray) -> np.ndarray:
+    """The sequence (by falling length) of each class that _steps() lays out."""
+    return np.arange(int(live.sum())) - np.repeat(np.cumsum(live) - live, live)
 
 
 def forward(seqs: list[np.ndarray], model: States, stretch: int = STRETCH) -> np.ndarray:

@@ -53,21 +53,42 @@ BASE = ("assign", "access", "hex")
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 
+#: Running sums are made in stretches of so many, since an array that grows by one is copied each time.
+STRETCH = 128
+
+
+def _running(values: Column, start: Column) -> Column:
+    """start plus the sums of the first, first two, ... values."""
+    grow = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
+    return F.slice(F.aggregate(values, F.array(start), grow), 2, F.greatest(F.size(values), F.lit(1)))
+
+
+def _ends(sized: Column) -> Column:
+    """Where each match ends, from array<struct<before, own>>; linear in the number of matches."""
+
+    def stretches(steps: Column) -> Column:
+        def part(k: Column) -> Column:
+            return F.slice(steps, k * STRETCH + 1, STRETCH)
+
+        number = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRETCH).cast("int"))
+        totals = F.transform(number, lambda k: F.aggregate(part(k), F.lit(0), lambda a, v: a + v))
+        begins = F.concat(F.array(F.lit(0)), _running(totals, F.lit(0)))
+        # bound by transform() over one value, so that it is computed once
+        return F.element_at(F.transform(F.array(begins), lambda b: F.flatten(F.transform(number, lambda k: _running(part(k), F.get(b, k))))), 1)
+
+    steps = F.transform(sized, lambda x: x["before"] + x["own"])
+    return F.when(F.size(sized) > 0, F.element_at(F.transform(F.array(steps), stretches), 1)).otherwise(F.array().cast("array<int>"))
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, kind, end>> of the leftmost, non-overlapping matches of a rule that are long enough."""
     pattern = F.lit(rule.pattern)
     hit = F.regexp_extract_all(text, pattern, F.lit(0))
-    # what lies before each match ends where it starts: fold the lengths of both
+    # what lies before each match ends where it starts: running sums of the lengths of both
     between = F.split(text, rule.pattern, -1)
     sized = F.zip_with(F.transform(F.slice(between, 1, F.size(hit)), F.length), F.transform(hit, F.length), lambda b, h: F.struct(b.alias("before"), h.alias("own")))
-    walked = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["before"] + x["own"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["before"]).alias("start"), F.lit(order).alias("kind"), (acc["at"] + x["before"] + x["own"]).alias("end")))).alias("out"),
-        ),
-    )["out"]
+    walked = _ends(sized)
+    walked = F.transform(F.arrays_zip(walked.alias("e"), sized.alias("s")), lambda x: F.struct((x["e"] - x["s"]["own"]).alias("start"), F.lit(order).alias("kind"), x["e"].alias("end")))
     if rule.min_chars:
         sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
         walked = F.transform(F.filter(F.arrays_zip(walked.alias("s"), sizes.alias("n")), lambda x: x["n"] >= rule.min_chars), lambda x: x["s"])
@@ -133,8 +154,8 @@ def secret_scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Ru
                 raise
     scan_blobs(unseen(docs, old, version, id_col, text_col), rules, version).write.mode("append").parquet(ledger_path)
     ledger = spark.read.schema(empty_ledger(spark).schema).parquet(ledger_path)
-    # only blobs with findings travel
-    found = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+    # only blobs with findings travel; two scans at once may have written a blob twice
+    found = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     own = docs.select(F.col(id_col).alias("doc_id"), blob_id(F.col(text_col)).alias("blob"))
     return own.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans"))
 

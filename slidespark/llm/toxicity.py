@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_bucket, id_text, most_frequent, pieces, staged
+from .common import arrow_map, crc_bucket, id_text, pieces, staged
 
-MAX_ROWS, LEXICON, FOLDS = 20_000, 4000, 3
+#: Most labelled rows that are learnt from; the least share of toxic documents that hold an entry of the lexicon.
+MAX_ROWS, SHARE, FOLDS = 20_000, 0.004, 3
 #: Fixed list: second-person words of the languages at hand.
 SECOND = frozenset("you your yours u ur du dich dir dein deine ihr euch sie ihnen tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros su sus".split())
 #: Fixed table: signs and digits that stand for letters.
@@ -223,20 +224,24 @@ def _filter_all(held, at: int, limit: float):
     return run
 
 
+def _least(pos: int) -> int:
+    """In how many toxic documents of pos an entry of the lexicon is at least: so a lexicon grows with what documents hold, not
+    with their number."""
+    return max(2, round(SHARE * pos))
 
-def _lexicon(counts: dict[str, tuple[int, int]], pos: int, neg: int, size: int) -> dict[str, float]:
+
+def _lexicon(counts: dict[str, tuple[int, int]], pos: int, neg: int) -> dict[str, float]:
     """Entries by the log of the ratio of their shares among toxic and other documents (half a document added to each)."""
-    least = max(2, round(0.004 * pos))
-    out = {}
+    least, out = _least(pos), {}
     for e, (p, n) in counts.items():
         if p >= least:
             w = math.log((p + 0.5) / (pos + 1)) - math.log((n + 0.5) / (neg + 1))
             if w > 2.0 and p > n * 0.2:
                 out[e] = w
-    return dict(sorted(out.items(), key=lambda x: (-x[1] * math.log1p(counts[x[0]][0]), x[0]))[:size])
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS, lexicon: int = LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
     """Learn from the labelled documents for which `learn` (over doc_id) holds; at most about max_rows of them, picked by a hash of the id."""
     spark = docs.sparkSession
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.lit(True) if learn is None else learn))
@@ -253,15 +258,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_row
         return Model({}, Trees(), np.empty(0), np.array([share]))
     counted = arrow_map(sample, _entries_all, "entry string, fold int, toxic int").groupBy("entry")
     aggs = [F.count(F.when((F.col("fold") == f) & (F.col("toxic") == v), 1)).alias(f"c{v}{f}") for v in (0, 1) for f in range(FOLDS)]
-    # entries of fewer than two toxic documents are in no lexicon, and there are at most lexicon * 8 of the others
-    rank = sum((F.col(f"c1{f}") for f in range(FOLDS)), F.lit(0))
-    common = counted.agg(*aggs).where((rank >= 2) & (sum((F.col(f"c0{f}") for f in range(FOLDS)), F.lit(0)) < 5 * rank))
-    rows = most_frequent(staged(common.withColumn("rank", rank), "entries"), "rank", 8 * lexicon).collect()
-    full = _lexicon({r["entry"]: (sum(r[f"c1{f}"] for f in range(FOLDS)), sum(r[f"c0{f}"] for f in range(FOLDS))) for r in rows}, sum(pos), sum(neg), lexicon)
+    # what no lexicon, of all folds or of all but one, can hold stays where it is
+    usable_by = F.lit(False)
+    for own in (range(FOLDS), *([g for g in range(FOLDS) if g != f] for f in range(FOLDS))):
+        p, n = (sum((F.col(f"c{v}{g}") for g in own), F.lit(0)) for v in (1, 0))
+        usable_by = usable_by | ((p >= _least(sum(pos[g] for g in own))) & (n < 5 * p))
+    rows = counted.agg(*aggs).where(usable_by).collect()
+    full = _lexicon({r["entry"]: (sum(r[f"c1{f}"] for f in range(FOLDS)), sum(r[f"c0{f}"] for f in range(FOLDS))) for r in rows}, sum(pos), sum(neg))
     others = []
     for f in range(FOLDS):
         rest = [g for g in range(FOLDS) if g != f]
-        others.append(_lexicon({r["entry"]: (sum(r[f"c1{g}"] for g in rest), sum(r[f"c0{g}"] for g in rest)) for r in rows}, sum(pos[g] for g in rest), sum(neg[g] for g in rest), lexicon))
+        others.append(_lexicon({r["entry"]: (sum(r[f"c1{g}"] for g in rest), sum(r[f"c0{g}"] for g in rest)) for r in rows}, sum(pos[g] for g in rest), sum(neg[g] for g in rest)))
     got = arrow_map(sample, _features_all(spark.sparkContext.broadcast(others)), "fold int, toxic int, x array<double>").toPandas()
     x, y, folds = np.array(got["x"].tolist()).reshape(-1, len(FEATURES)), got["toxic"].to_numpy(float), got["fold"].to_numpy()
     order = np.lexsort((*x.T[::-1], y))

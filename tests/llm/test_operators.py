@@ -321,6 +321,7 @@ def test_decontaminate(docs, rows, empty, spark):
         left = words_of(remove_spans(text, [(s["start"], s["end"]) for s in r["spans"]]))
         assert len(left) == r["n_words"] - r["n_hit"]
     clean = drop_contaminated(docs, bench)
+    assert got(drop_contaminated(docs, bench, chunk_words=10), "*") == got(clean, "*")
     assert clean.dtypes == docs.dtypes and got(clean, "doc_id") == got(out.where("not contaminated"), "doc_id")
     assert decontaminate(empty, bench).collect() == []
     assert decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
@@ -351,6 +352,11 @@ def test_secret_scan(docs, rows, empty, nulls, spark, tmp_path):
     assert spark.read.parquet(path).where("rule_version = 'next'").count() == len({t or "" for _, t in rows})
     secrets = spark.createDataFrame([(1, "-----BEGIN RSA PRIVATE KEY----- ghp_" + "Z" * 36)], "doc_id long, text string")
     assert secret_scan(secrets).select(spans_text(F.col("spans"))).first()[0] == "pem:0:31,github:32:72"
+    # very many matches in one text, some dropped, in time that does not grow with their square
+    many = spark.createDataFrame([(1, "é deadbeefdeadbeef token=aaaaaaaaaaaa secret=short" * 30_000)], "doc_id long, text string")
+    spans = secret_scan(many).first()["spans"]
+    assert [(s["start"], s["end"]) for s in spans if s["kind"] == 2] == [(50 * k + 2, 50 * k + 18) for k in range(30_000)]
+    assert [(s["start"], s["end"]) for s in spans if s["kind"] == 0] == [(50 * k + 19, 50 * k + 37) for k in range(30_000)]
 
 
 def test_warc(spark):

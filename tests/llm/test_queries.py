@@ -1,0 +1,34 @@
+"""The registered queries: every one with SQL gives the rows that DuckDB gives; the others give their contract's columns."""
+
+import os
+
+import duckdb
+import pytest
+
+from slidespark.llm.queries import ORACLE_SQL, QUERIES
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+COLUMNS = {
+    "op1_toxicity": {"doc_id", "held_out", "score", "predicted"},
+    "op3_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
+    "op4_suffix_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
+    "op6_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+    "op7_hmm": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    found = QUERIES[name](spark, SF).toPandas()
+    if name not in ORACLE_SQL:
+        docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+        assert COLUMNS[name] <= set(found.columns) and set(found["doc_id"]) == set(docs["doc_id"])
+        return
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = c.sql(ORACLE_SQL[name]).df()
+    cols = sorted(found.columns)
+    assert cols == sorted(want.columns)
+    a, b = (sorted(tuple(map(str, r)) for r in df[cols].itertuples(index=False)) for df in (found, want))
+    assert a == b
