@@ -120,6 +120,8 @@ def crc_of(value: object, mod: int) -> int:
 
 _LANE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 _LANES = 128
+#: The first 0 to 8 bytes of a word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def strong_hashes(buf: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -128,28 +130,32 @@ def strong_hashes(buf: bytes, starts: np.ndarray, ends: np.ndarray, seed: int =
     Each step multiplies and folds, so that, unlike for sums of powers, no kind of text is known to collide.  Strings of more
     than 1024 bytes are hashed one by one.
     """
-    n = (ends - starts).astype(np.int64)
-    steps = (n + 7) >> 3
-    long = np.flatnonzero(steps > _LANES)
-    steps[long] = 0
-    order = np.argsort(-steps, kind="stable")
-    at, left = np.asarray(starts, np.int64)[order], n[order]
-    live = np.searchsorted(-steps[order], -np.arange(int(steps.max(initial=0))), "left")
+    at, left = np.array(starts, np.int64), (ends - starts).astype(np.int64)
+    long = np.flatnonzero(left > 8 * _LANES)
     words = np.ndarray((len(buf) + 1,), "<u8", buffer=bytes(buf) + b"\0" * 8, strides=(1,))
+    out, rows = np.empty(len(left), np.uint64), None
     with np.errstate(over="ignore"):
         h = (left.astype(np.uint64) + np.uint64(seed)) * _LANE[2]
-        for k, m in enumerate(live.tolist()):
-            w = words[at[:m] + 8 * k]
-            short = np.flatnonzero(left[:m] < 8 * k + 8)
-            w[short] &= (np.uint64(1) << (8 * (left[short] - 8 * k)).astype(np.uint64)) - np.uint64(1)
+        left[long] = 0
+        while len(left):
+            w = words[at] & _MASKS[np.minimum(left, 8)]
             w *= _LANE[0]
             w ^= w >> np.uint64(29)
-            x = (h[:m] ^ w) * _LANE[1]
-            h[:m] = x ^ (x >> np.uint64(32))
-        h = (h ^ (h >> np.uint64(29))) * _LANE[0]
-        h ^= h >> np.uint64(32)
-    out = np.empty(len(h), np.uint64)
-    out[order] = h
+            h ^= w
+            h *= _LANE[1]
+            h ^= h >> np.uint64(32)
+            more = np.flatnonzero(left > 8)
+            if len(more) < len(left):
+                if rows is None:
+                    out[:] = h
+                else:
+                    out[rows] = h
+                h, at, left, rows = h[more], at[more], left[more], more if rows is None else rows[more]
+            at += 8
+            left -= 8
+        out ^= out >> np.uint64(29)
+        out *= _LANE[0]
+        out ^= out >> np.uint64(32)
     for i in long.tolist():
         out[i] = xxhash.xxh3_64_intdigest(buf[int(starts[i]) : int(ends[i])], seed)
     return out

@@ -41,7 +41,7 @@ FLUSH = 4 << 20
 
 
 #: White space as the contract has it.
-_WHITE = np.isin(np.arange(256), list(BLANKS))
+_WHITE = bytes(c in BLANKS for c in range(256))
 
 
 @dataclass
@@ -57,7 +57,7 @@ class Words:
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         buf = (b"\n".join(texts) + b"\n").lower() if texts else b""
         chars = np.frombuffer(buf, np.uint8)
-        white = _WHITE[chars]
+        white = np.frombuffer(buf.translate(_WHITE), bool)
         solid = ~white
         starts = np.flatnonzero(solid & np.concatenate([[True], white[:-1]]))
         ends = np.flatnonzero(solid & np.concatenate([white[1:], [True]])) + 1
@@ -144,8 +144,24 @@ def _heads(seqs: list[np.ndarray], tables: _Tables) -> tuple[np.ndarray, np.ndar
     return back, ends
 
 
-def _transfers(seqs: list[np.ndarray], tables: _Tables) -> tuple[np.ndarray, np.ndarray]:
-    """What each stretch does to a state vector: a matrix that sums to 1, and the log of what it was divided by."""
+def _transfers(seqs: list[np.ndarray], tables: _Tables, piece: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """What each stretch does to a state vector: a matrix that sums to 1, and the log of what it was divided by.  Pieces of a
+    stretch are run side by side and their matrices multiplied."""
+    parts = [s[a : a + piece] for s in seqs for a in range(0, len(s), piece)]
+    many = np.array([-(-len(s) // piece) for s in seqs])
+    matrices, logs = _pieces(parts, tables)
+    at = np.cumsum(many) - many
+    out, total = matrices[at], np.add.reduceat(logs, at)
+    for k in range(1, int(many.max())):
+        own = np.flatnonzero(many > k)
+        new = out[own] @ matrices[at[own] + k]
+        scale = new.sum((1, 2))
+        out[own] = new / scale[:, None, None]
+        total[own] += np.log(scale)
+    return out, total
+
+
+def _pieces(seqs: list[np.ndarray], tables: _Tables) -> tuple[np.ndarray, np.ndarray]:
     order, flat, live = _steps(seqs)
     k, emit = tables.k, np.take(tables.emit, flat, 1)
     most = emit.max(0)
