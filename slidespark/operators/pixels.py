@@ -11,6 +11,17 @@ from pyspark.sql.window import Window
 from slidespark.functions.geometry import Matrix, in_polygon, invert, moved, polygon_box
 
 PIXEL = ("y", "x", "channel_id", "value")
+#: Most rows of a table per channel (or channel and bin) that is sent to every executor.
+FEW = 1 << 16
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """df computed once and sent to every executor if it has at most so many rows; else df itself, which Spark joins as any table.
+
+    Tables per channel have few rows; joined by channel without this, all pixels of a channel would meet in one task.
+    """
+    got = df.limit(rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema)) if len(got) <= rows else df
 
 
 # selection
@@ -80,9 +91,25 @@ def bounds(px: DataFrame, *by: str) -> DataFrame:
     return px.groupBy(*by).agg(*(f(c).alias(f"{c}_{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))))
 
 
-def percentile(px: DataFrame, q: float) -> DataFrame:
-    """Exact percentile of each channel."""
-    return px.groupBy("channel_id").agg(F.percentile("value", F.lit(q)).alias("value"))
+def percentile(px: DataFrame, q: float, n: int = 4096) -> DataFrame:
+    """Exact percentile of each channel, interpolated between neighbours; nulls are left out.
+
+    A histogram of n bins finds the bins that hold the two ranks; only their values are counted one by one, so no task holds a
+    channel's distinct values.
+    """
+    px = px.where("value IS NOT NULL").select("channel_id", F.col("value").cast("double").alias("value"))
+    ranges = few(px.groupBy("channel_id").agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("low"), F.max("value").alias("high")))
+    at = F.when(F.col("high") > F.col("low"), F.least(F.lit(n - 1), F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * n))).otherwise(0)
+    binned = px.join(ranges, "channel_id").withColumn("bin", at.cast("int"))
+    upto = Window.partitionBy("channel_id").orderBy("bin")
+    counts = binned.groupBy("channel_id", "bin").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")).withColumn("_to", F.sum("_c").over(upto))
+    rank = F.lit(float(q)) * (F.col("_n") - 1)
+    ranks = counts.withColumns({"_k": F.floor(rank), "_part": rank - F.floor(rank), "_from": F.col("_to") - F.col("_c")})
+    wanted = few(ranks.where((F.col("_to") > F.col("_k")) & (F.col("_from") <= F.col("_k") + 1)).select("channel_id", "bin", "_from", "_k", "_part"))
+    values = binned.select("channel_id", "bin", "value").join(wanted, ["channel_id", "bin"]).groupBy("channel_id", "bin", "_from", "_k", "_part", "value").agg(F.count(F.lit(1)).alias("_c"))
+    values = values.withColumn("_to", F.col("_from") + F.sum("_c").over(Window.partitionBy("channel_id", "bin").orderBy("value")))
+    ends = values.groupBy("channel_id").agg(F.min(F.when(F.col("_to") > F.col("_k"), F.col("value"))).alias("_low"), F.min(F.when(F.col("_to") > F.col("_k") + 1, F.col("value"))).alias("_high"), F.first("_part").alias("_part"))
+    return ends.select("channel_id", (F.col("_low") + F.coalesce(F.col("_high") - F.col("_low"), F.lit(0.0)) * F.col("_part")).alias("value"))
 
 
 # intensity
@@ -92,7 +119,7 @@ def rescale_uint8(px: DataFrame) -> DataFrame:
     """Each channel's range to 0..255, truncated; a constant channel to 0.  Ranges are one row per channel."""
     ranges = px.groupBy("channel_id").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
     scaled = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low")) * 255)))
-    out = px.join(ranges, "channel_id")
+    out = px.join(few(ranges), "channel_id")
     return out.withColumn("value", F.when(F.col("_high") > F.col("_low"), scaled).otherwise(0).cast("int")).drop("_low", "_high")
 
 
@@ -106,15 +133,15 @@ def fill_missing(px: DataFrame, how: str | float = "min") -> DataFrame:
     clean = px.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     if not isinstance(how, str):
         return clean.na.fill(float(how), ["value"])
-    stat = (F.min("value") if how == "min" else F.percentile("value", F.lit(0.5))).alias("_fill")
-    return clean.join(clean.groupBy("channel_id").agg(stat), "channel_id").withColumn("value", F.coalesce("value", "_fill")).drop("_fill")
+    stat = clean.groupBy("channel_id").agg(F.min("value").alias("_fill")) if how == "min" else percentile(clean, 0.5).withColumnRenamed("value", "_fill")
+    return clean.join(few(stat), "channel_id", "left").withColumn("value", F.coalesce("value", "_fill")).drop("_fill")
 
 
 def bins(px: DataFrame, n: int = 256) -> DataFrame:
     """px with low, high (of its channel) and bin, the channel's range cut into n."""
     ranges = px.groupBy("channel_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     at = F.when(F.col("high") > F.col("low"), F.least(F.lit(n - 1), F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * n))).otherwise(0)
-    return px.join(ranges, "channel_id").withColumn("bin", at.cast("int"))
+    return px.join(few(ranges), "channel_id").withColumn("bin", at.cast("int"))
 
 
 def cdf(binned: DataFrame) -> DataFrame:
@@ -139,10 +166,50 @@ def match_histogram(px: DataFrame, reference: DataFrame, n: int = 256) -> DataFr
     """px with the distribution of the reference (same channel ids), by a table of bins; values stay in px's own range."""
     own = bins(px, n)
     lut = match_lut(cdf(own), cdf(bins(reference, n)), n).withColumnRenamed("source_bin", "bin")
-    out = own.join(lut, ["channel_id", "bin"])
+    out = own.join(few(lut), ["channel_id", "bin"])
     return out.withColumn("value", F.col("low") + F.col("reference_bin") / F.lit(float(n - 1)) * (F.col("high") - F.col("low"))).select(*PIXEL)
 
 
+def dense_cdf(px: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
+    """channel_id, bin, cdf for all n bins of ranges (channel_id, low, high), empty ones included; values beyond the range are
+    left out, as a histogram over that range leaves them out."""
+    inside = px.join(ranges, "channel_id").where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")))
+    at = F.when(F.col("high") > F.col("low"), F.least(F.lit(n - 1), F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * n))).otherwise(0)
+    counts = inside.groupBy("channel_id", at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = ranges.select("channel_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
+    upto = Window.partitionBy("channel_id").orderBy("bin")
+    full = every.join(counts, ["channel_id", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return full.select("channel_id", "bin", (F.sum("n").over(upto) / F.greatest(F.sum("n").over(Window.partitionBy("channel_id")), F.lit(1))).alias("cdf"))
+
+
+def match_interpolated(px: DataFrame, reference: DataFrame, n: int = 256) -> DataFrame:
+    """px with the distribution of the reference (same channel ids): both histograms lie over px's own range, and the reference's
+    inverse distribution and the table of levels are interpolated.  All tables have at most n rows a channel."""
+    ranges = few(px.groupBy("channel_id").agg(F.min("value").alias("low"), F.max("value").alias("high")))
+    source, ref = dense_cdf(px, ranges, n), dense_cdf(reference, ranges, n)
+    by_bin = Window.partitionBy("channel_id").orderBy("bin")
+    knots = ref.select("channel_id", F.col("bin").alias("_b"), F.col("cdf").alias("_c"), F.lead("cdf").over(by_bin).alias("_next"))
+    # the last knot at or below a share; shares below the first knot take the first level
+    under = (F.col("_c") <= F.col("cdf")) & (F.col("_next").isNull() | (F.col("cdf") < F.col("_next")))
+    found = source.join(knots, (source["channel_id"] == knots["channel_id"]) & under, "left").select(source["channel_id"], "bin", "cdf", "_b", "_c", "_next")
+    level = F.when(F.col("_b").isNull(), 0.0).when(F.col("_next").isNull(), F.col("_b")).otherwise(F.col("_b") + (F.col("cdf") - F.col("_c")) / (F.col("_next") - F.col("_c")))
+    lut = found.select("channel_id", "bin", level.cast("double").alias("_l")).withColumn("_up", F.coalesce(F.lead("_l").over(by_bin), F.col("_l")))
+    t = F.when(F.col("high") > F.col("low"), (F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * n - 0.5).otherwise(0.0)
+    at = px.join(ranges, "channel_id").withColumn("_t", F.greatest(F.lit(0.0), F.least(F.lit(n - 1.0), t))).withColumn("bin", F.floor("_t").cast("int"))
+    out = at.join(few(lut), ["channel_id", "bin"])
+    moved_to = F.col("_l") + (F.col("_t") - F.col("bin")) * (F.col("_up") - F.col("_l"))
+    value = F.when(F.col("high") > F.col("low"), F.col("low") + (moved_to + 0.5) / n * (F.col("high") - F.col("low"))).otherwise(F.col("value"))
+    return out.withColumn("value", value).select(*PIXEL)
+
+
+def combine(images: Sequence[DataFrame], how: str = "max", match: bool = False) -> DataFrame:
+    """Images of the same size to one, channel by channel; with match, all but the first get its histogram first."""
+    out = images[0]
+    for image in images[1:]:
+        out = out.unionByName(match_histogram(image, images[0]) if match else image)
+    return out.groupBy("y", "x", "channel_id").agg({"sum": F.sum, "mean": F.avg, "max": F.max}[how]("value").alias("value"))
+
+
 # grids
 
 
@@ -195,7 +262,8 @@ def warp(px: DataFrame, matrix: Matrix, width: int, height: int, order: int = 0)
     out = grid(spark, height, width)
     sx, sy = moved(invert(matrix), F.col("x").cast("double"), F.col("y").cast("double"))
     if order == 0:
-        at = out.withColumns({"sx": F.rint(sx).cast("int"), "sy": F.rint(sy).cast("int")})
+        # rounded first, so that halves do not depend on the last bit
+        at = out.withColumns({"sx": F.rint(F.round(sx, 9)).cast("int"), "sy": F.rint(F.round(sy, 9)).cast("int")})
         found = at.join(px.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "channel_id", "value"), ["sx", "sy"], "inner").select(*PIXEL)
     else:
         at = out.withColumns({"fx": sx, "fy": sy}).withColumns({"ix": F.floor("fx").cast("int"), "iy": F.floor("fy").cast("int")})
@@ -260,7 +328,7 @@ def rasterise(spark, shapes: Sequence[Sequence[tuple[float, float]]], width: int
     return grid(spark, bottom - top, right - left, left, top).withColumn("value", value).where("value IS NOT NULL")
 
 
-def rasterise_table(vertices: DataFrame, tile: int = 64) -> DataFrame:
+def rasterise_table(vertices: DataFrame) -> DataFrame:
     """y, x, shape_idx for shapes in a table (shape_idx, i, x, y), of any number: edges are dealt to the pixel rows that they
     cross, and each row's crossings pair up to stretches of pixels, so no pixel meets a shape that does not hold it."""
     ring = Window.partitionBy("shape_idx").orderBy("i")
@@ -273,3 +341,52 @@ def rasterise_table(vertices: DataFrame, tile: int = 64) -> DataFrame:
     spans = hit.withColumns({"n": F.row_number().over(order), "to": F.lead("cx").over(order)}).where("n % 2 = 1 AND to IS NOT NULL")
     spans = spans.withColumns({"a": F.ceil(F.col("cx") - 0.5), "b": F.ceil(F.col("to") - 0.5) - 1}).where("b >= a")
     return spans.select(F.col("row").cast("int").alias("y"), F.explode(F.sequence("a", "b")).alias("x"), "shape_idx").withColumn("x", F.col("x").cast("int"))
+
+
+def outlines(mask: DataFrame) -> DataFrame:
+    """label, x1, y1, x2, y2: the directed straight sides of the regions of a label image (y, x, label), region on the right.
+
+    A pixel has a side wherever its neighbour has another label or none; sides in a row are joined to one.
+    """
+    sides = None
+    # neighbour (dy, dx); from, to as corners of the pixel; along which axis sides run on
+    for dy, dx, (ax, ay), (bx, by), across, along, sign in ((-1, 0, (0, 0), (1, 0), "y", "x", 1), (0, 1, (1, 0), (1, 1), "x", "y", 1), (1, 0, (1, 1), (0, 1), "y", "x", -1), (0, -1, (0, 1), (0, 0), "x", "y", -1)):
+        other = mask.select((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), "label")
+        open_ = mask.select("y", "x", "label").join(other, ["y", "x", "label"], "left_anti")
+        run = open_.withColumn("_run", F.col(along) - F.row_number().over(Window.partitionBy("label", across).orderBy(along)))
+        ends = run.groupBy("label", across, "_run").agg(F.min(along).alias("_a"), F.max(along).alias("_b"))
+        first, last = (F.col("_a"), F.col("_b")) if sign > 0 else (F.col("_b"), F.col("_a"))
+        at = {across: (F.col(across), F.col(across)), along: (first, last)}
+        part = ends.select("label", *((at[c][k] + d).cast("int").alias(f"{c}{k + 1}") for k, (cx, cy) in enumerate(((ax, ay), (bx, by))) for c, d in (("x", cx), ("y", cy))))
+        sides = part if sides is None else sides.unionByName(part)
+    return sides
+
+
+def contours(mask: DataFrame) -> DataFrame:
+    """label, ring, i, x, y: closed rings around the regions of a label image, corners in order; holes are rings of their own that
+    turn the other way.  One task joins the sides of one label (corners only, not pixels)."""
+
+    def run(pdf):
+        import pandas as pd
+
+        after: dict = {}
+        for x1, y1, x2, y2 in zip(pdf["x1"], pdf["y1"], pdf["x2"], pdf["y2"], strict=True):
+            after.setdefault((x1, y1), []).append((x2, y2))
+        rows, ring = [], 0
+        for start in sorted(after):
+            while after[start]:
+                at, came, i = start, None, 0
+                while True:
+                    ways = after[at]
+                    # where two regions touch at a corner, turn right to stay on the same one
+                    k = 0 if came is None or len(ways) == 1 else max(range(len(ways)), key=lambda j: came[0] * (ways[j][1] - at[1]) - came[1] * (ways[j][0] - at[0]))
+                    to = ways.pop(k)
+                    rows.append((pdf["label"].iloc[0], ring, i, at[0], at[1]))
+                    came, at, i = (to[0] - at[0], to[1] - at[1]), to, i + 1
+                    if at == start:
+                        break
+                ring += 1
+        return pd.DataFrame(rows, columns=["label", "ring", "i", "x", "y"])
+
+    kind = dict(mask.dtypes)["label"]
+    return outlines(mask).groupBy("label").applyInPandas(run, f"label {kind}, ring int, i int, x int, y int")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from slidespark.functions.geometry import Matrix, moved
+from slidespark.functions.geometry import Matrix, matrix_key, moved
 from slidespark.functions.scalars import named
 
 #: Column names that hold what is wanted, the first one there wins.
@@ -44,17 +44,31 @@ def feature_names(df: DataFrame) -> DataFrame:
     return df.select(F.col(own).cast("string").alias("name")).distinct()
 
 
-def vertices(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Vertices of shapes grouped by a name column: shape_idx counts names in the order of their first vertex.
+def numbered_by(df: DataFrame, key: str, name: str, parts: int | None = None) -> DataFrame:
+    """df without key, and `name` counting its rows in the order of key: ranges of the key are sorted side by side, and each
+    range's first number is the count of those before it."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # edges are keys of a sample of 16 rows a range
+    edges = [r[key] for r in df.select(key).orderBy(F.xxhash64(key)).limit(16 * n).orderBy(key).collect()][15::16]
+    part = sum((F.when(F.col(key) >= F.lit(e) if not hasattr(e, "asDict") else F.col(key) >= F.struct(*(F.lit(v).alias(c) for c, v in e.asDict().items())), 1).otherwise(0) for e in edges), F.lit(0))
+    dealt = df.withColumn("_part", part)
+    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, first = 0, []
+    for k in range(len(edges) + 1):
+        first.append(before)
+        before += sizes.get(k, 0)
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1 + F.get(F.array(*(F.lit(v) for v in first)), F.col("_part"))
+    return dealt.withColumn(name, at.cast("int")).drop("_part", key)
 
-    The number of a shape needs one row per shape in one place, not its vertices.
-    """
+
+def vertices(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Vertices of shapes grouped by a name column: shape_idx counts names in the order of their first vertex."""
     x, y, group = first_column(df, VERTEX_X), first_column(df, VERTEX_Y), first_column(df, GROUPS)
     if None in (x, y, group):
         raise ValueError(f"no shape columns among {df.columns}")
     at = F.struct(*order)
     names = df.groupBy(F.col(group).cast("string").alias("shape_name")).agg(F.min(at).alias("_first"))
-    numbered = names.withColumn("shape_idx", (F.row_number().over(Window.orderBy("_first")) - 1).cast("int")).drop("_first")
+    numbered = numbered_by(names, "_first", "shape_idx")
     rows = df.select(F.col(group).cast("string").alias("shape_name"), F.col(x).cast("float").alias("x"), F.col(y).cast("float").alias("y"), at.alias("_at"))
     within = Window.partitionBy("shape_name").orderBy("_at")
     kind = "points" if x == "x" else "polygon"
@@ -103,21 +117,35 @@ def polygon_areas(v: DataFrame) -> DataFrame:
     return out.withColumn("valid", (F.col("n_vertices") >= 3) & (F.col("area") > 0))
 
 
-def fit_affine(pairs: DataFrame) -> DataFrame:
-    """Least-squares affine of point pairs (mx, my to fx, fy), one row m00 .. m12, from sums alone.
+def fit_affine(pairs: DataFrame, *by: str) -> DataFrame:
+    """Least-squares affine of point pairs (mx, my to fx, fy), one row m00 .. m12 for each group, from one aggregation.
 
-    Sums are taken about the mean of the moving points, which keeps the normal equations small and well conditioned.
+    Covariances are built-in partial aggregates, so the normal equations stay small and well conditioned.
     """
-    mean = pairs.agg(F.avg("mx").alias("cx"), F.avg("my").alias("cy"))
-    p = pairs.crossJoin(F.broadcast(mean)).withColumns({"u": F.col("mx") - F.col("cx"), "v": F.col("my") - F.col("cy")})
-    s = p.agg(
-        F.sum(F.col("u") * F.col("u")).alias("uu"), F.sum(F.col("u") * F.col("v")).alias("uv"), F.sum(F.col("v") * F.col("v")).alias("vv"),
-        *(F.sum(F.col(a) * F.col(b)).alias(a + b) for a in ("u", "v") for b in ("fx", "fy")), F.avg("fx").alias("ax"), F.avg("fy").alias("ay"), F.first("cx").alias("cx"), F.first("cy").alias("cy"),
-    )
+    moments = {"uu": F.var_pop("mx"), "vv": F.var_pop("my"), "uv": F.covar_pop("mx", "my")}
+    moments |= {c + f: F.covar_pop(m, f) for c, m in (("u", "mx"), ("v", "my")) for f in ("fx", "fy")} | {"a" + c: F.avg(c) for c in ("mx", "my", "fx", "fy")}
+    s = pairs.groupBy(*by).agg(*(v.alias(k) for k, v in moments.items()))
     det = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")
     out = {}
     for k, f in enumerate(("fx", "fy")):
         out[f"m{k}0"] = (F.col("u" + f) * F.col("vv") - F.col("v" + f) * F.col("uv")) / det
         out[f"m{k}1"] = (F.col("v" + f) * F.col("uu") - F.col("u" + f) * F.col("uv")) / det
     s = s.withColumns(out)
-    return s.withColumns({f"m{k}2": F.col(a) - F.col(f"m{k}0") * F.col("cx") - F.col(f"m{k}1") * F.col("cy") for k, a in enumerate(("ax", "ay"))}).select(*(f"m{i}{j}" for i in (0, 1) for j in (0, 1, 2)))
+    return s.withColumns({f"m{k}2": F.col("a" + f) - F.col(f"m{k}0") * F.col("amx") - F.col(f"m{k}1") * F.col("amy") for k, f in enumerate(("fx", "fy"))}).select(*by, *(f"m{i}{j}" for i in (0, 1) for j in (0, 1, 2)))
+
+
+def registration_matrices(landmarks: DataFrame, *by: str) -> DataFrame:
+    """The affine matrices of registrations in all eight forms, named by `matrix_key`: axes yx or xy, pixels or micrometres, and
+    the inverse (from fixed to moving).
+
+    landmarks has a row per pair: fixed_y, fixed_x, moving_y, moving_x in pixels, fixed_um and moving_um (pixel sizes).
+    """
+    forms = []
+    for yx in (True, False):
+        for px in (True, False):
+            for inverse in (False, True):
+                point = {k: [F.col(f"{k}_{c}") * (F.lit(1.0) if px else F.col(f"{k}_um")) for c in (("y", "x") if yx else ("x", "y"))] for k in ("fixed", "moving")}
+                a, b = (point["fixed"], point["moving"]) if inverse else (point["moving"], point["fixed"])
+                forms.append(F.struct(F.lit(matrix_key(yx, px, inverse)).alias("key"), *(v.alias(n) for n, v in zip(("mx", "my", "fx", "fy"), (*a, *b), strict=True))))
+    each = landmarks.select(*by, F.explode(F.array(*forms)).alias("f")).select(*by, "f.*")
+    return fit_affine(each, *by, "key")

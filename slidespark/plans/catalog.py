@@ -36,6 +36,14 @@ class Dataset:
         return is_identity(self.transform)
 
 
+def find_channels(names: DataFrame, wanted: str) -> DataFrame:
+    """dataset_key, channel_id of the channel called so in each dataset of names (dataset_key, channel_id, name): the exact match,
+    else the first that contains it; datasets without one are left out."""
+    exact = F.min(F.when(F.col("name") == wanted, F.col("channel_id")))
+    part = F.min(F.when(F.col("name").contains(wanted), F.col("channel_id")))
+    return names.groupBy("dataset_key").agg(F.coalesce(exact, part).alias("channel_id")).where("channel_id IS NOT NULL")
+
+
 def dataset_key(path: str, scene: int | None = None) -> str:
     import hashlib
 

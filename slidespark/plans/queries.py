@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from slidespark.functions import geometry as geo
-from slidespark.functions import scalars
+from slidespark.functions import scalars, xml
 from slidespark.operators import pixels, spectra, vectors
 from slidespark.plans import levels, model
+from slidespark.plans.catalog import find_channels
 from slidespark.plans.model import CONCAVE, POLYGON, SQL_MATRIX, SQL_PX, sql_inside
 from slidespark.sinks import text
 
@@ -50,12 +52,16 @@ def flat_array(spark, d):
     return pixels.flat_array(model.px(spark, d), [0, 5, 63])
 
 
-@query("SELECT p_partkey, CASE WHEN p_name LIKE '%a%' THEN strpos(p_name, 'a') - 1 END AS first_at FROM part WHERE p_name = 'x' OR p_name LIKE '%1%'")
+@query(
+    "WITH n AS (SELECT c_nationkey AS dataset_key, c_custkey AS channel_id, CASE WHEN c_custkey % 5 = 0 THEN 'BUILDING' ELSE c_mktsegment || '-' || c_custkey % 3 END AS name FROM customer WHERE c_custkey % 25 <> 0) "
+    "SELECT dataset_key, coalesce(min(channel_id) FILTER (WHERE name = 'BUILDING'), min(channel_id) FILTER (WHERE strpos(name, 'BUILDING') > 0)) AS channel_id FROM n GROUP BY dataset_key "
+    "HAVING count(*) FILTER (WHERE strpos(name, 'BUILDING') > 0) > 0"
+)
 def find_channel_name(spark, d):
-    """Names that match exactly or else contain what is asked for."""
-    p = model.load(spark, d, "part")
-    at = F.instr("p_name", "a")
-    return p.where((F.col("p_name") == "x") | F.col("p_name").contains("1")).select("p_partkey", F.when(at > 0, at.cast("long") - 1).alias("first_at"))
+    """In each dataset the channel of that name, or else the first that contains it."""
+    c = model.load(spark, d, "customer").where("c_custkey % 25 <> 0")
+    name = F.when(F.col("c_custkey") % 5 == 0, "BUILDING").otherwise(F.concat_ws("-", "c_mktsegment", (F.col("c_custkey") % 3).cast("string")))
+    return find_channels(c.select(F.col("c_nationkey").alias("dataset_key"), F.col("c_custkey").alias("channel_id"), name.alias("name")), "BUILDING")
 
 
 @query(
@@ -241,23 +247,55 @@ def nan_fill(spark, d):
 
 
 _TWO = (
-    "a AS (SELECT y, x, CAST(0 AS INTEGER) AS channel_id, value FROM px WHERE channel_id = 0), b AS (SELECT y, x, CAST(0 AS INTEGER) AS channel_id, value FROM px WHERE channel_id = 1), "
-    "ra AS (SELECT min(value) AS lo, max(value) AS hi FROM a), rb AS (SELECT min(value) AS lo, max(value) AS hi FROM b), "
-    "ba AS (SELECT y, x, value, lo, hi, CAST(least(255, floor((value - lo) / (hi - lo) * 256)) AS INTEGER) AS bin FROM a, ra), bb AS (SELECT CAST(least(255, floor((value - lo) / (hi - lo) * 256)) AS INTEGER) AS bin FROM b, rb), "
-    "ca AS (SELECT bin, CAST(sum(n) OVER (ORDER BY bin) AS DOUBLE) / sum(n) OVER () AS c FROM (SELECT bin, count(*) AS n FROM ba GROUP BY bin)), cb AS (SELECT bin, CAST(sum(n) OVER (ORDER BY bin) AS DOUBLE) / sum(n) OVER () AS c FROM (SELECT bin, count(*) AS n FROM bb GROUP BY bin))"
+    "a AS (SELECT y, x, channel_id, value FROM px), b AS (SELECT CAST((channel_id + 63) % 64 AS INTEGER) AS channel_id, value FROM px), "
+    "ra AS (SELECT channel_id, min(value) AS lo, max(value) AS hi FROM a GROUP BY channel_id), rb AS (SELECT channel_id, min(value) AS lo, max(value) AS hi FROM b GROUP BY channel_id), "
+    "ba AS (SELECT y, x, a.channel_id, value, lo, hi, CAST(least(255, floor((value - lo) / (hi - lo) * 256)) AS INTEGER) AS bin FROM a JOIN ra ON ra.channel_id = a.channel_id), "
+    "bb AS (SELECT b.channel_id, CAST(least(255, floor((value - lo) / (hi - lo) * 256)) AS INTEGER) AS bin FROM b JOIN rb ON rb.channel_id = b.channel_id), "
+    "ca AS (SELECT channel_id, bin, CAST(sum(n) OVER (PARTITION BY channel_id ORDER BY bin) AS DOUBLE) / sum(n) OVER (PARTITION BY channel_id) AS c FROM (SELECT channel_id, bin, count(*) AS n FROM ba GROUP BY channel_id, bin)), "
+    "cb AS (SELECT channel_id, bin, CAST(sum(n) OVER (PARTITION BY channel_id ORDER BY bin) AS DOUBLE) / sum(n) OVER (PARTITION BY channel_id) AS c FROM (SELECT channel_id, bin, count(*) AS n FROM bb GROUP BY channel_id, bin)), "
+    "l AS (SELECT ca.channel_id, ca.bin AS source_bin, min(cb.bin) AS reference_bin FROM ca JOIN cb ON ca.channel_id = cb.channel_id AND cb.c >= ca.c - 1e-12::DOUBLE GROUP BY ca.channel_id, ca.bin)"
 )
 
 
-@query(with_px("SELECT ca.bin AS source_bin, min(cb.bin) AS reference_bin FROM ca JOIN cb ON cb.c >= ca.c - 1e-12::DOUBLE GROUP BY ca.bin", _TWO))
+def _pair(spark, d):
+    """All channels, and for each the one after it as its reference."""
+    px = model.px(spark, d)
+    return px, px.withColumn("channel_id", ((F.col("channel_id") + model.CHANNELS - 1) % model.CHANNELS).cast("int"))
+
+
+@query(with_px("SELECT channel_id, source_bin, reference_bin FROM l", _TWO))
 def hist_match_lut(spark, d):
-    a, b = (model.channel(spark, d, k).withColumn("channel_id", F.lit(0)) for k in (0, 1))
-    return pixels.match_lut(pixels.cdf(pixels.bins(a)), pixels.cdf(pixels.bins(b))).select("source_bin", "reference_bin")
+    a, b = _pair(spark, d)
+    return pixels.match_lut(pixels.cdf(pixels.bins(a)), pixels.cdf(pixels.bins(b)))
 
 
-@query(with_px("SELECT y, x, round(lo + rb / 255.0::DOUBLE * (hi - lo), 6) AS value FROM ba JOIN (SELECT ca.bin AS b, min(cb.bin) AS rb FROM ca JOIN cb ON cb.c >= ca.c - 1e-12::DOUBLE GROUP BY ca.bin) l ON ba.bin = l.b", _TWO))
+@query(with_px("SELECT y, x, ba.channel_id, round(lo + reference_bin / 255.0::DOUBLE * (hi - lo), 6) AS value FROM ba JOIN l ON ba.channel_id = l.channel_id AND ba.bin = source_bin", _TWO))
 def hist_match(spark, d):
-    a, b = (model.channel(spark, d, k).withColumn("channel_id", F.lit(0)) for k in (0, 1))
-    return pixels.match_histogram(a, b).select("y", "x", F.round("value", 6).alias("value"))
+    return pixels.match_histogram(*_pair(spark, d)).withColumn("value", F.round("value", 6))
+
+
+_DENSE = (
+    "a AS (SELECT y, x, channel_id, value FROM px), b AS (SELECT CAST((channel_id + 63) % 64 AS INTEGER) AS channel_id, value FROM px), ra AS (SELECT channel_id, min(value) AS lo, max(value) AS hi FROM a GROUP BY channel_id), "
+    "e AS (SELECT channel_id, CAST(k AS INTEGER) AS bin FROM ra, range(0, 64) t(k)), "
+    "na AS (SELECT a.channel_id, CAST(least(63, floor((value - lo) / (hi - lo) * 64)) AS INTEGER) AS bin, count(*) AS n FROM a JOIN ra ON ra.channel_id = a.channel_id GROUP BY 1, 2), "
+    "nb AS (SELECT b.channel_id, CAST(least(63, floor((value - lo) / (hi - lo) * 64)) AS INTEGER) AS bin, count(*) AS n FROM b JOIN ra ON ra.channel_id = b.channel_id WHERE value BETWEEN lo AND hi GROUP BY 1, 2), "
+    "ca AS (SELECT e.channel_id, e.bin, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY e.channel_id ORDER BY e.bin) AS DOUBLE) / sum(coalesce(n, 0)) OVER (PARTITION BY e.channel_id) AS c FROM e LEFT JOIN na ON na.channel_id = e.channel_id AND na.bin = e.bin), "
+    "cb AS (SELECT e.channel_id, e.bin, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY e.channel_id ORDER BY e.bin) AS DOUBLE) / sum(coalesce(n, 0)) OVER (PARTITION BY e.channel_id) AS c FROM e LEFT JOIN nb ON nb.channel_id = e.channel_id AND nb.bin = e.bin), "
+    "kb AS (SELECT channel_id, bin, c, lead(c) OVER (PARTITION BY channel_id ORDER BY bin) AS nc FROM cb), "
+    "lut AS (SELECT ca.channel_id, ca.bin, CASE WHEN kb.bin IS NULL THEN 0 WHEN nc IS NULL THEN kb.bin ELSE kb.bin + (ca.c - kb.c) / (nc - kb.c) END AS v FROM ca LEFT JOIN kb ON kb.channel_id = ca.channel_id AND kb.c <= ca.c AND (nc IS NULL OR ca.c < nc)), "
+    "ln AS (SELECT channel_id, bin, v, coalesce(lead(v) OVER (PARTITION BY channel_id ORDER BY bin), v) AS nv FROM lut), "
+    "t AS (SELECT y, x, a.channel_id, lo, hi, greatest(0, least(63, (value - lo) / (hi - lo) * 64 - 0.5::DOUBLE)) AS p FROM a JOIN ra ON ra.channel_id = a.channel_id)"
+)
+
+
+@query(with_px("SELECT y, x, t.channel_id, round(lo + (v + (p - bin) * (nv - v) + 0.5::DOUBLE) / 64 * (hi - lo), 6) AS value FROM t JOIN ln ON ln.channel_id = t.channel_id AND ln.bin = CAST(floor(p) AS INTEGER)", _DENSE))
+def hist_match_interp(spark, d):
+    return pixels.match_interpolated(*_pair(spark, d), 64).withColumn("value", F.round("value", 6))
+
+
+@query(with_px("SELECT y, x, channel_id, max(value) AS value FROM (SELECT y, x, channel_id, value FROM px UNION ALL SELECT y, x, CAST((channel_id + 63) % 64 AS INTEGER), value FROM px) GROUP BY y, x, channel_id"))
+def combine_max(spark, d):
+    return pixels.combine(_pair(spark, d))
 
 
 # levels and grids
@@ -330,19 +368,19 @@ def roi_split(spark, d):
 
 def _scenes(spark, d):
     m = model.matrix(spark, d)
-    rows = m.select(F.col("label").alias("scene_index"), "y", "x", F.lit(0).alias("channel_id"), F.get("embedding", F.lit(0)).cast("double").alias("value"))
+    rows = pixels.explode_channels(m, "embedding", "label", "y", "x").withColumnRenamed("label", "scene_index")
     return rows.withColumns({"x0": (F.col("scene_index") * 7 - 5).cast("int"), "y0": (F.col("scene_index") * 3 + 2).cast("int")})
 
 
-_SCENES = "s AS (SELECT label, CAST(y + label * 3 + 2 AS INTEGER) AS y, CAST(x + label * 7 - 5 AS INTEGER) AS x, CAST(embedding[1] AS DOUBLE) AS value FROM m), b AS (SELECT min(x) AS bx, min(y) AS by_ FROM s)"
+_SCENES = "s AS (SELECT label, CAST(y + label * 3 + 2 AS INTEGER) AS y, CAST(x + label * 7 - 5 AS INTEGER) AS x, CAST(i - 1 AS INTEGER) AS channel_id, CAST(embedding[i] AS DOUBLE) AS value FROM m, range(1, 65) t(i)), b AS (SELECT min(x) AS bx, min(y) AS by_ FROM s)"
 
 
-@query(f"WITH {SQL_MATRIX}, {_SCENES} SELECT CAST(y - by_ AS INTEGER) AS y, CAST(x - bx AS INTEGER) AS x, CAST(0 AS INTEGER) AS channel_id, max(value) AS value FROM s, b GROUP BY y, x, by_, bx")
+@query(f"WITH {SQL_MATRIX}, {_SCENES} SELECT CAST(y - by_ AS INTEGER) AS y, CAST(x - bx AS INTEGER) AS x, channel_id, max(value) AS value FROM s, b GROUP BY y, x, channel_id, by_, bx")
 def stitch_max(spark, d):
     return pixels.stitch(_scenes(spark, d))
 
 
-@query(f"WITH {SQL_MATRIX}, {_SCENES} SELECT CAST(y - by_ AS INTEGER) AS y, CAST(x - bx AS INTEGER) AS x, CAST(0 AS INTEGER) AS channel_id, arg_max(value, label) AS value FROM s, b GROUP BY y, x, by_, bx")
+@query(f"WITH {SQL_MATRIX}, {_SCENES} SELECT CAST(y - by_ AS INTEGER) AS y, CAST(x - bx AS INTEGER) AS x, channel_id, arg_max(value, label) AS value FROM s, b GROUP BY y, x, channel_id, by_, bx")
 def stitch_last(spark, d):
     return pixels.stitch(_scenes(spark, d), "last")
 
@@ -379,37 +417,42 @@ def warp_points(spark, d):
     return vectors.warp_points(e, _M).select("event_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-_IX, _IY = _sql_moved(geo.invert(_M), "CAST(g.x AS DOUBLE)", "CAST(g.y AS DOUBLE)")
-_GRID = "g AS (SELECT CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS x FROM range(0, 24) t(a), range(0, 30) u(b))"
-_CH0 = "c AS (SELECT y, x, value FROM px WHERE channel_id = 0)"
+#: The inverse of _M by hand: its determinant is 0.9 * 1.1 + 0.2 * 0.15 = 1.02.
+_IX, _IY = ("(1.1::DOUBLE * (g.x - 3) + 0.2::DOUBLE * (g.y + 2)) / 1.02::DOUBLE", "(0.9::DOUBLE * (g.y + 2) - 0.15::DOUBLE * (g.x - 3)) / 1.02::DOUBLE")
+_GRID = "g AS (SELECT CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS x FROM (SELECT CAST(max(y) + 1 AS BIGINT) AS h FROM px), range(0, 100000) t(a), range(0, 30) u(b) WHERE a < h * 11 // 10 + 4), k AS (SELECT DISTINCT channel_id FROM px)"
+
+
+def _warped(spark, d, order: int):
+    """The whole image on a canvas that holds all rows that the matrix moves it to."""
+    return pixels.warp(model.px(spark, d), _M, 30, model.height(spark, d) * 11 // 10 + 4, order)
 
 
-@query(with_px("SELECT s.y, s.x, CAST(0 AS INTEGER) AS channel_id, coalesce(c.value, 0) AS value FROM s LEFT JOIN c ON c.x = s.sx AND c.y = s.sy", f"{_GRID}, {_CH0}, s AS (SELECT y, x, CAST(round_even({_IX}, 0) AS INTEGER) AS sx, CAST(round_even({_IY}, 0) AS INTEGER) AS sy FROM g)"))
+@query(with_px("SELECT s.y, s.x, k.channel_id, coalesce(px.value, 0) AS value FROM s CROSS JOIN k LEFT JOIN px ON px.x = s.sx AND px.y = s.sy AND px.channel_id = k.channel_id", f"{_GRID}, s AS (SELECT y, x, CAST(round_even(round({_IX}, 9), 0) AS INTEGER) AS sx, CAST(round_even(round({_IY}, 9), 0) AS INTEGER) AS sy FROM g)"))
 def warp_nearest(spark, d):
-    return pixels.warp(model.channel(spark, d, 0), _M, 30, 24)
+    return _warped(spark, d, 0)
 
 
 @query(
     with_px(
-        "SELECT s.y, s.x, CAST(0 AS INTEGER) AS channel_id, round(coalesce(sum(w * c.value), 0), 6) AS value FROM s LEFT JOIN c ON c.x = s.sx AND c.y = s.sy GROUP BY s.y, s.x",
-        f"{_GRID}, {_CH0}, f AS (SELECT y, x, {_IX} AS fx, {_IY} AS fy FROM g), s AS (SELECT y, x, CAST(floor(fx) AS INTEGER) + dx AS sx, CAST(floor(fy) AS INTEGER) + dy AS sy, "
+        "SELECT s.y, s.x, k.channel_id, round(coalesce(sum(w * px.value), 0), 6) + 0.0::DOUBLE AS value FROM s CROSS JOIN k LEFT JOIN px ON px.x = s.sx AND px.y = s.sy AND px.channel_id = k.channel_id GROUP BY s.y, s.x, k.channel_id",
+        f"{_GRID}, f AS (SELECT y, x, {_IX} AS fx, {_IY} AS fy FROM g), s AS (SELECT y, x, CAST(floor(fx) AS INTEGER) + dx AS sx, CAST(floor(fy) AS INTEGER) + dy AS sy, "
         "(CASE WHEN dx = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE WHEN dy = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS w FROM f, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy))",
     )
 )
 def warp_linear(spark, d):
-    return pixels.warp(model.channel(spark, d, 0), _M, 30, 24, 1).withColumn("value", F.round("value", 6))
+    return _warped(spark, d, 1).withColumn("value", F.round("value", 6) + F.lit(0.0))  # no minus zero
 
 
-@query(with_px("SELECT y, CAST(24 - x AS INTEGER) AS x, channel_id, value FROM px WHERE channel_id = 0"))
+@query(with_px("SELECT y, CAST(24 - x AS INTEGER) AS x, channel_id, value FROM px"))
 def flip_h(spark, d):
     h = model.height(spark, d)
-    return pixels.warp(model.channel(spark, d, 0), geo.flip(model.WIDTH, h, horizontal=True), model.WIDTH, h)
+    return pixels.warp(model.px(spark, d), geo.flip(model.WIDTH, h, horizontal=True), model.WIDTH, h)
 
 
-@query(with_px("SELECT CAST(h - 1 - y AS INTEGER) AS y, x, channel_id, value FROM px, (SELECT max(y) + 1 AS h FROM px) WHERE channel_id = 0"))
+@query(with_px("SELECT CAST(h - 1 - y AS INTEGER) AS y, x, channel_id, value FROM px, (SELECT max(y) + 1 AS h FROM px)"))
 def flip_v(spark, d):
     h = model.height(spark, d)
-    return pixels.warp(model.channel(spark, d, 0), geo.flip(model.WIDTH, h, vertical=True), model.WIDTH, h)
+    return pixels.warp(model.px(spark, d), geo.flip(model.WIDTH, h, vertical=True), model.WIDTH, h)
 
 
 @query("SELECT CAST(a AS INTEGER) AS angle, CAST(ceil(round(300 * abs(sin(radians(a))) + 200 * abs(cos(radians(a))), 9)) AS INTEGER) AS w, CAST(ceil(round(300 * abs(cos(radians(a))) + 200 * abs(sin(radians(a))), 9)) AS INTEGER) AS h FROM (VALUES (0), (30), (45), (90), (133)) t(a)")
@@ -417,24 +460,62 @@ def rotate_bounds(spark, d):
     return spark.createDataFrame([(a, *geo.rotated_size(200, 300, a)) for a in (0, 30, 45, 90, 133)], "angle int, w int, h int")
 
 
-@query(with_px("SELECT CAST(g.y AS INTEGER) AS y, CAST(g.x AS INTEGER) AS x, CAST(0 AS INTEGER) AS channel_id, round(sum(w * value), 6) AS value FROM s g JOIN px ON px.x = g.sx AND px.y = g.sy AND px.channel_id = 0 GROUP BY g.y, g.x",
+@query(with_px("SELECT CAST(g.y AS INTEGER) AS y, CAST(g.x AS INTEGER) AS x, channel_id, round(sum(w * value), 6) AS value FROM s g JOIN px ON px.x = g.sx AND px.y = g.sy GROUP BY g.y, g.x, channel_id",
     "f AS (SELECT b AS x, a AS y, greatest(0, least(24, (b + 0.5::DOUBLE) * (25.0::DOUBLE / 10) - 0.5::DOUBLE)) AS fx, greatest(0, least(h - 1, (a + 0.5::DOUBLE) * (CAST(h AS DOUBLE) / 8) - 0.5::DOUBLE)) AS fy FROM range(0, 8) t(a), range(0, 10) u(b), (SELECT max(y) + 1 AS h FROM px)), "
     "s AS (SELECT y, x, CAST(floor(fx) AS INTEGER) + dx AS sx, CAST(floor(fy) AS INTEGER) + dy AS sy, (CASE WHEN dx = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE WHEN dy = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS w FROM f, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy))"))
 def resize_linear(spark, d):
-    return pixels.resize(model.channel(spark, d, 0), model.WIDTH, model.height(spark, d), 10, 8).withColumn("value", F.round("value", 6))
+    return pixels.resize(model.px(spark, d), model.WIDTH, model.height(spark, d), 10, 8).withColumn("value", F.round("value", 6))
 
 
-@query(
-    "WITH p AS (SELECT value AS u, CAST(event_id % 97 AS DOUBLE) AS v FROM events), q AS (SELECT u, v, 0.9::DOUBLE * u - 0.2::DOUBLE * v + 3 AS a, 0.15::DOUBLE * u + 1.1::DOUBLE * v - 2 AS b FROM p) "
-    "SELECT 0.9::DOUBLE AS m00, -0.2::DOUBLE AS m01, 3.0::DOUBLE AS m02, 0.15::DOUBLE AS m10, 1.1::DOUBLE AS m11, -2.0::DOUBLE AS m12 FROM q LIMIT 1"
-)
+def _sql_fit(source: str, by: str = "") -> str:
+    """Least squares by covariances, written out for source (mx, my, fx, fy)."""
+    group, keys = (f" GROUP BY {by}", f"{by}, ") if by else ("", "")
+    solve = "({c}xu * vv - {c}xv * uv) / (uu * vv - uv * uv) AS m{k}0, ({c}xv * uu - {c}xu * uv) / (uu * vv - uv * uv) AS m{k}1".replace("{c}x", "{c}")
+    return (
+        f"WITH p AS ({source}), s AS (SELECT {keys}var_pop(mx) AS uu, var_pop(my) AS vv, covar_pop(mx, my) AS uv, covar_pop(fx, mx) AS au, covar_pop(fx, my) AS av, covar_pop(fy, mx) AS bu, covar_pop(fy, my) AS bv, avg(mx) AS mx, avg(my) AS my, avg(fx) AS fx, avg(fy) AS fy FROM p{group}), "
+        f"f AS (SELECT *, {solve.format(c='a', k=0)}, {solve.format(c='b', k=1)} FROM s) "
+        f"SELECT {keys}" + ", ".join(f"round(m{k}{j}, 6) AS m{k}{j}" for k in (0, 1) for j in (0, 1)) + ", round(fx - m00 * mx - m01 * my, 6) AS m02, round(fy - m10 * mx - m11 * my, 6) AS m12 FROM f"
+    )
+
+
+@query(_sql_fit("SELECT value AS mx, CAST(event_id % 97 AS DOUBLE) AS my, 0.9::DOUBLE * value - 0.2::DOUBLE * (event_id % 97) + 3 + (event_id % 7) * 0.25::DOUBLE AS fx, 0.15::DOUBLE * value + 1.1::DOUBLE * (event_id % 97) - 2 + (event_id % 5) * 0.5::DOUBLE AS fy FROM events"))
 def affine_fit(spark, d):
-    e = model.load(spark, d, "events").select(F.col("value").alias("mx"), (F.col("event_id") % 97).cast("double").alias("my"))
-    pairs = e.select("mx", "my", (0.9 * F.col("mx") - 0.2 * F.col("my") + 3).alias("fx"), (0.15 * F.col("mx") + 1.1 * F.col("my") - 2).alias("fy"))
+    """Pairs that no matrix fits exactly."""
+    e = model.load(spark, d, "events").select("event_id", F.col("value").alias("mx"), (F.col("event_id") % 97).cast("double").alias("my"))
+    pairs = e.select("mx", "my", (0.9 * F.col("mx") - 0.2 * F.col("my") + 3 + F.col("event_id") % 7 * 0.25).alias("fx"), (0.15 * F.col("mx") + 1.1 * F.col("my") - 2 + F.col("event_id") % 5 * 0.5).alias("fy"))
     fitted = vectors.fit_affine(pairs)
     return fitted.select(*(F.round(c, 6).alias(c) for c in fitted.columns))
 
 
+_LANDMARKS = "SELECT event_id % 20 AS config, value AS fixed_y, CAST(event_id % 89 AS DOUBLE) AS fixed_x, 0.8::DOUBLE * value + 0.3::DOUBLE * (event_id % 89) + event_id % 7 AS moving_y, 1.2::DOUBLE * (event_id % 89) - 0.1::DOUBLE * value + event_id % 11 AS moving_x, 0.5::DOUBLE AS fixed_um, 0.25::DOUBLE AS moving_um FROM events"
+_FORMS = " UNION ALL ".join(
+    f"SELECT config, 'matrix_{axes}_{unit}{'_inv' if inv else ''}' AS key, {m}_{axes[0]} * {mu} AS mx, {m}_{axes[1]} * {mu} AS my, {f}_{axes[0]} * {fu} AS fx, {f}_{axes[1]} * {fu} AS fy FROM marks"
+    for axes in ("yx", "xy") for unit in ("px", "um") for inv in (False, True)
+    for m, f in ((("fixed", "moving") if inv else ("moving", "fixed")),)
+    for mu, fu in ((f"{m}_um", f"{f}_um") if unit == "um" else ("1", "1"),)
+)
+
+
+@query(_sql_fit(f"WITH marks AS ({_LANDMARKS}) {_FORMS}", "config, key"))
+def config_matrix(spark, d):
+    """Matrices of 20 registrations in all eight forms, from their point pairs."""
+    e = model.load(spark, d, "events").select("event_id", F.col("value").alias("fixed_y"), (F.col("event_id") % 89).cast("double").alias("fixed_x"))
+    marks = e.select(
+        (F.col("event_id") % 20).alias("config"), "fixed_y", "fixed_x", (0.8 * F.col("fixed_y") + 0.3 * F.col("fixed_x") + F.col("event_id") % 7).alias("moving_y"),
+        (1.2 * F.col("fixed_x") - 0.1 * F.col("fixed_y") + F.col("event_id") % 11).alias("moving_x"), F.lit(0.5).alias("fixed_um"), F.lit(0.25).alias("moving_um"),
+    )
+    out = vectors.registration_matrices(marks, "config")
+    return out.select("config", "key", *(F.round(c, 6).alias(c) for c in out.columns[2:]))
+
+
+@query("SELECT event_id, round(-(0.9::DOUBLE * value - 0.2::DOUBLE * user_id + 3) * 2 + 10, 6) AS x, round((0.15::DOUBLE * value + 1.1::DOUBLE * user_id - 2) * 2 - 4, 6) AS y FROM events")
+def transform_chain(spark, d):
+    """Points through a registration, a change of units, a flip and a shift, as one matrix."""
+    chain = geo.compose(geo.translation(10.0, -4.0), geo.flip(1, 1, horizontal=True), geo.scaling(2.0), _M)
+    e = model.load(spark, d, "events").select("event_id", F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
+    return vectors.warp_points(e, chain).select("event_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query("SELECT CAST(r AS INTEGER) AS r, round(a, 9) AS a, round(b, 9) AS b, round(c, 9) AS c FROM (VALUES (0, cos(radians(30.0)), -sin(radians(30.0)), 50 - 50 * cos(radians(30.0)) + 40 * sin(radians(30.0))), (1, sin(radians(30.0)), cos(radians(30.0)), 40 - 50 * sin(radians(30.0)) - 40 * cos(radians(30.0)))) t(r, a, b, c)")
 def matrix_compose(spark, d):
     m = geo.centred_rotation(200, 160, 0.5, 30)
@@ -468,9 +549,34 @@ def rasterise_table(spark, d):
     return pixels.rasterise_table(_two_shapes(spark)).where("y < 20 AND x < 25")
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS INTEGER), CAST(5 AS BIGINT), CAST(%r AS DOUBLE), true), (CAST(1 AS INTEGER), CAST(5 AS BIGINT), CAST(%r AS DOUBLE), true)) t(shape_idx, n_vertices, area, valid)" % (geo.area(POLYGON), geo.area(CONCAVE)))
+@query(
+    "WITH o AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id), i AS (SELECT user_id, CAST(dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS shape_idx FROM o), "
+    "v AS (SELECT shape_idx, event_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS x, CAST(event_id % 101 AS DOUBLE) AS y FROM events JOIN i ON i.user_id = events.user_id), "
+    "e AS (SELECT shape_idx, x * coalesce(lead(y) OVER w, first(y) OVER w) - coalesce(lead(x) OVER w, first(x) OVER w) * y AS c FROM v WINDOW w AS (PARTITION BY shape_idx ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) "
+    "SELECT shape_idx, count(*) AS n_vertices, round(abs(sum(c)) / 2, 4) AS area, count(*) >= 3 AND abs(sum(c)) > 0 AS valid FROM e GROUP BY shape_idx"
+)
 def polygon_area_valid(spark, d):
-    return vectors.polygon_areas(_two_shapes(spark))
+    return vectors.polygon_areas(model.vertices(spark, d)).withColumn("area", F.round("area", 4))
+
+
+@query(f"WITH {SQL_MATRIX} SELECT label, count(*) AS area, CAST(sum(s) AS BIGINT) AS perimeter FROM (SELECT a.label, (CASE WHEN u.label IS DISTINCT FROM a.label THEN 1 ELSE 0 END) + (CASE WHEN v.label IS DISTINCT FROM a.label THEN 1 ELSE 0 END) + (CASE WHEN w.label IS DISTINCT FROM a.label THEN 1 ELSE 0 END) + (CASE WHEN z.label IS DISTINCT FROM a.label THEN 1 ELSE 0 END) AS s "
+    "FROM m a LEFT JOIN m u ON u.y = a.y - 1 AND u.x = a.x LEFT JOIN m v ON v.y = a.y + 1 AND v.x = a.x LEFT JOIN m w ON w.y = a.y AND w.x = a.x - 1 LEFT JOIN m z ON z.y = a.y AND z.x = a.x + 1) GROUP BY label")
+def contour_trace(spark, d):
+    """Rings around the regions of each label; what they enclose is its pixels, and their length is its open sides."""
+    rings = pixels.contours(model.matrix(spark, d).select("y", "x", "label"))
+    ring = Window.partitionBy("label", "ring").orderBy("i")
+    every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    e = rings.select("label", "x", "y", F.coalesce(F.lead("x").over(ring), F.first("x").over(every)).alias("u"), F.coalesce(F.lead("y").over(ring), F.first("y").over(every)).alias("v"))
+    return e.groupBy("label").agg((F.sum(F.col("x") * F.col("v") - F.col("u") * F.col("y")) / 2).cast("long").alias("area"), F.sum(F.abs(F.col("u") - F.col("x")) + F.abs(F.col("v") - F.col("y"))).alias("perimeter"))
+
+
+@query("SELECT p_partkey, p_brand AS brand, CASE WHEN p_size > 10 THEN CAST(p_size AS VARCHAR) END AS size, p_name || '|' || p_type AS channels FROM part")
+def xml_meta(spark, d):
+    """Fields and lists out of XML metadata."""
+    p = model.load(spark, d, "part")
+    size = F.when(F.col("p_size") > 10, F.concat(F.lit("<Size>"), F.col("p_size").cast("string"), F.lit("</Size>"))).otherwise("")
+    text = F.concat(F.lit("<Image Brand='"), F.col("p_brand"), F.lit("'>"), size, F.lit("<Channel Name='"), F.col("p_name"), F.lit("'/><Channel Name='"), F.col("p_type"), F.lit("'/></Image>"))
+    return p.select("p_partkey", *xml.xml_fields(text, {"brand": "/Image/@Brand", "size": "/Image/Size"}), F.array_join(xml.xml_list(text, "/Image/Channel/@Name"), "|").alias("channels"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS shape_name, CAST(dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS shape_idx, n FROM (SELECT user_id, min(event_id) AS first, count(*) AS n FROM events GROUP BY user_id)")
