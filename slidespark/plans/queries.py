@@ -316,10 +316,11 @@ def pyramid_nearest(spark, d):
     return pixels.nearest_level(model.px(spark, d), 2)
 
 
-@query("WITH " + SQL_MATRIX + ", s AS (SELECT y, x, CAST(embedding[1] AS DOUBLE) AS value FROM m WHERE vec_id % 3 <> 0 AND y BETWEEN 2 AND 15 AND x BETWEEN 4 AND 20), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM s) SELECT CAST(gy - y0 AS INTEGER) AS y, CAST(gx - x0 AS INTEGER) AS x, value FROM b, range(0, 40) a(gy), range(0, 40) c(gx) LEFT JOIN s ON s.y = gy AND s.x = gx WHERE gy BETWEEN y0 AND y1 AND gx BETWEEN x0 AND x1")
+@query("WITH s AS (SELECT label AS y, vec_id AS x, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM s), r AS (SELECT x0, x1, y0, unnest(range(y0, y1 + 1)) AS gy FROM b), g AS (SELECT x0, y0, gy, unnest(range(x0, x1 + 1)) AS gx FROM r) SELECT CAST(gy - y0 AS INTEGER) AS y, CAST(gx - x0 AS INTEGER) AS x, value FROM g LEFT JOIN s ON s.y = gy AND s.x = gx")
 def scatter_grid(spark, d):
-    s = model.matrix(spark, d).where("vec_id % 3 <> 0 AND y BETWEEN 2 AND 15 AND x BETWEEN 4 AND 20")
-    return pixels.scatter(s.select("y", "x", F.get("embedding", F.lit(0)).cast("double").alias("value")))
+    """One channel of the whole table on the plane of labels by pixels, which is sparse by nature."""
+    s = model.load(spark, d, "embeddings")
+    return pixels.scatter(s.select(F.col("label").alias("y"), F.col("vec_id").alias("x"), F.get("embedding", F.lit(0)).cast("double").alias("value")))
 
 
 @query("SELECT y, x, value FROM (SELECT l_orderkey AS y, CAST(l_linenumber AS BIGINT) AS x, l_quantity AS value, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_shipdate DESC, l_quantity DESC) AS rn FROM lineitem) WHERE rn = 1")
