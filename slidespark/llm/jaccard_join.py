@@ -12,8 +12,10 @@ once: the overlap, which of the pivot's shingles are missing (a bit map) and whi
 the answers of a set follow from those of the pivot without looking at the sets again: |x & y| = |p| - |missing of x or y| +
 |added of x and y|.  Sets already in one component need no answer; only sets outside their pivot's component are compared
 with the others of its frame, in blocks of at most `block` by `block`, and a block returns a forest, not pairs.  Sets too far
-from the pivot for these relations (below FAR) stay in their lists; these are scanned in order of size, blocks of the list
-whose sizes and positions allow no link being skipped, and what is left is compared directly.  Links are lost nowhere.
+from the pivot for these relations (below FAR) stay in their lists.  A list that keeps more than FEW sets gets a new pivot, the
+smallest of its sets that are far from the earlier ones, and is related to it in the same way (at most TURNS times), so a group
+of near copies beside an unlike pivot costs one relation a set.  What is left is scanned in order of size, blocks of the list
+whose sizes and positions allow no link being skipped, and compared directly.  Links are lost nowhere.
 
 Before whole sets are compared, sketches are: counts of a set's shingles by range of hash.  Two sets differ in at least as many
 shingles as their counts do, so a pair whose sketches are too far apart is no link, and chance pairs cost some bytes each.
@@ -47,6 +49,8 @@ LONG = 4096
 BLOCK = 512
 #: Similarity to the pivot below which a set stays in its lists, in hundredths.
 FAR = 50
+#: Sets that a list may keep without a new pivot, and how many new pivots it gets.
+FEW, TURNS = 16, 4
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -301,7 +305,7 @@ def _spread(counts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def list_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, near: np.ndarray, brief: np.ndarray, num: int, den: int, block: int = 32, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs in index lists that sizes, positions and sketches allow, at least one of them far from its pivot.
+    """Row numbers of the pairs in index lists that sizes, positions and sketches allow and no pivot is near to both of (a bit a pivot).
 
     Rows are sorted by list, size and position.  Of each block of a list the smallest size and the smallest position are known,
     so a block without a possible partner is skipped whole; only the rows of other blocks are looked at one by one.
@@ -328,7 +332,7 @@ def list_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, near: np.ndarr
         x, k = x[fit], k[fit]
         for at, y in _spread(tails[k] - heads[k], most):
             x_, y = x[at], heads[k[at]] + y
-            fit = (y > x_) & (den * n[x_] >= num * n[y]) & ~(near[x_] & near[y])
+            fit = (y > x_) & (den * n[x_] >= num * n[y]) & ((near[x_] & near[y]) == 0)
             x_, y = x_[fit], y[fit]
             wanted = need(n[x_], n[y])
             fit = np.minimum(pos[x_], pos[y]) + 1 + np.minimum(n[x_] - pos[x_] - 1, n[y] - pos[y] - 1) >= wanted
@@ -474,42 +478,70 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
         release(full, sifted)
         return out
 
-    relations = related(pairs)
     link = linked(F.col("both"), F.col("n_pivot"), F.col("n"), num, den)
-    links = relations.where(link).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    first = components(links)
-
-    # frames: sets that are near their pivot but not in its component, against all that are near it
     near = 100 * F.col("both") >= FAR * (F.col("n_pivot") + F.col("n") - F.col("both"))
-    comp = first.select("node", "component")
-    frame = relations.where(near).join(comp, "node", "left").join(comp.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
-    frame = frame.withColumn("component", F.coalesce("component", "node")).withColumn("home", F.coalesce("home", "pivot")).withColumn("loose", F.col("component") != F.col("home"))
-    frame = staged(frame, "frames")
-    sizes = staged(frame.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("loose").cast("long")).alias("n_loose")).where("n_loose > 0 and size > 1"), "frame-sizes")
-    rows = frame.join(sizes, "pivot")
-    loose_parts, all_parts = (F.ceil(F.col(c) / F.lit(block)).cast("int") for c in ("n_loose", "size"))
     name = F.xxhash64("node")
-    copies = [
-        rows.where("loose").withColumn("i", F.pmod(name, loose_parts).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), all_parts - 1))),
-        rows.withColumn("loose", F.lit(False)).withColumn("j", F.pmod(name, all_parts).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), loose_parts - 1))),
-    ]
-    columns = ("pivot", "i", "j", "node", "component", "loose", "n_pivot", "n", "missing", "added")
-    dealt = copies[0].select(*columns).union(copies[1].select(*columns)).repartition(tasks, "pivot", "i", "j")
-    derived = dealt.groupBy("pivot", "i", "j").applyInPandas(_frame(num, den), "a long, b long")
-
-    # lists: sets far from their pivot, against those that are not near enough for the frame to have seen the pair
+    spent = [entries, sketches]
+
+    def answered(relations: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Edges of the components that known edges, links with pivots and links within frames make."""
+        links = relations.where(link).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        first = components(links if known is None else links.unionByName(known))
+        # frames: sets that are near their pivot but not in its component, against all that are near it
+        comp = first.select("node", "component")
+        frame = relations.where(near).join(comp, "node", "left").join(comp.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
+        frame = frame.withColumn("component", F.coalesce("component", "node")).withColumn("home", F.coalesce("home", "pivot")).withColumn("loose", F.col("component") != F.col("home"))
+        frame = staged(frame, "frames")
+        sizes = staged(frame.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("loose").cast("long")).alias("n_loose")).where("n_loose > 0 and size > 1"), "frame-sizes")
+        rows = frame.join(sizes, "pivot")
+        loose_parts, all_parts = (F.ceil(F.col(c) / F.lit(block)).cast("int") for c in ("n_loose", "size"))
+        copies = [
+            rows.where("loose").withColumn("i", F.pmod(name, loose_parts).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), all_parts - 1))),
+            rows.withColumn("loose", F.lit(False)).withColumn("j", F.pmod(name, all_parts).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), loose_parts - 1))),
+        ]
+        columns = ("pivot", "i", "j", "node", "component", "loose", "n_pivot", "n", "missing", "added")
+        dealt = copies[0].select(*columns).union(copies[1].select(*columns)).repartition(tasks, "pivot", "i", "j")
+        derived = staged(dealt.groupBy("pivot", "i", "j").applyInPandas(_frame(num, den), "a long, b long"), "frame-links")
+        release(frame, sizes)
+        spent.append(derived)
+        return derived.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
+
+    # a set that is nearer than this to a pivot has no link with one that is far from it
     reach = 100 * FAR + (den - num) * 10_000 // den
-    far = relations.where(10_000 * F.col("both") < reach * (F.col("n_pivot") + F.col("n") - F.col("both"))).select("pivot", "node", near.alias("near"))
-    rest = staged(entries.where(F.col("node") != F.col("pivot")).join(far, ["pivot", "node"]).select("tok", "node", "n", "pos", "near"), "rest")
-    counts = staged(rest.groupBy("tok").agg(F.count(F.lit(1)).alias("left"), F.sum((~F.col("near")).cast("long")).alias("n_far")).where("left > 1 and n_far > 0"), "rest-sizes")
-    edges = links.unionByName(derived)
+    within = 10_000 * F.col("both") < reach * (F.col("n_pivot") + F.col("n") - F.col("both"))
+
+    def unlike(relations: DataFrame) -> DataFrame:
+        return relations.where(within).select("pivot", "node", near.cast("int").alias("is_near"))
+
+    def open_lists(rest: DataFrame) -> DataFrame:
+        """The lists with sets that share no near pivot, and the next pivot of each."""
+        unmet = F.min(F.struct((F.col("near") > 0).alias("met"), "n", "node"))["node"].alias("pivot")
+        return staged(rest.groupBy("tok").agg(F.count(F.lit(1)).alias("left"), F.bit_and("near").alias("common"), unmet).where("left > 1 and common = 0").drop("common"), "rest-sizes")
+
+    relations = related(pairs)
+    edges = answered(relations)
+    rest = staged(entries.where(F.col("node") != F.col("pivot")).join(unlike(relations), ["pivot", "node"]).select("tok", "node", "n", "pos", F.col("is_near").alias("near")), "rest")
+    release(relations)
+    counts = open_lists(rest)
+    for turn in range(1, TURNS + 1):
+        crowded = counts.where(F.col("left") > FEW)
+        if is_empty(crowded):
+            break
+        listed = staged(rest.join(crowded.select("tok", "pivot"), "tok").where(F.col("node") != F.col("pivot")), "crowded")
+        relations = related(listed.select("pivot", "node").distinct())
+        edges = answered(relations, edges)
+        anew = listed.join(unlike(relations), ["pivot", "node"]).withColumn("near", F.col("near").bitwiseOR(F.shiftleft("is_near", turn)))
+        calm = rest.join(counts.where(F.col("left") <= FEW).select("tok"), "tok", "left_semi")
+        before, rest = (rest, counts, listed, relations), staged(calm.select("tok", "node", "n", "pos", "near").unionByName(anew.select("tok", "node", "n", "pos", "near")), "rest")
+        release(*before)
+        counts = open_lists(rest)
     if not is_empty(counts):
         dealt = _blocks(rest.join(counts.select("tok", "left"), "tok").join(sketches.select("node", "brief"), "node"), "left", block).select(*LIST)
         dealt = dealt.repartition(tasks, "tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n", "pos")
         more = staged(arrow_map(dealt, _far_pairs(num, den), "pivot long, node long").distinct(), "far-pairs")
         edges = edges.unionByName(related(more).where(link).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    groups = components(edges.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    release(relations, frame, rest, entries, sketches)
+    groups = components(edges)
+    release(rest, counts, *spent)
 
     out = light.select("doc_id", "set_hash", "n")
     if repeats:
