@@ -88,7 +88,38 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_packing, op4_suffix_dedup, op5_jaccard_join, op6_quality_rules, op7_hmm, op8_decontaminate, op9_warc, op10_secret_scan)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle, restored
+
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    back = restored(F.col("form"), F.col("output")).cast("binary")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_line_dedup, op3_packing, op4_suffix_dedup, op5_jaccard_join, op6_quality_rules, op7_hmm, op8_decontaminate, op9_warc, op10_secret_scan,
+        op11_fill_in_middle, op12_byte_bpe, op13_filter_audit,
+    )
+}
 
 _BLANK = r"[\x20\x09-\x0D]"
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -159,4 +190,37 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d""",
     "op10_secret_scan": _spans_sql(),
+    "op11_fill_in_middle": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                  regexp_extract_all(coalesce(text, ''), '{_BLANK}*[^\x20\x09-\x0D]+|{_BLANK}+') AS u FROM documents),
+s AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS r FROM t),
+c AS (SELECT *, CASE WHEN x = '' OR regexp_matches(x, '<[PSM]>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+             least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b FROM s),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM p""",
+    "op13_filter_audit": rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(x, '{_BLANK}+'), lambda v: v <> '') AS ws, min(doc_id) OVER (PARTITION BY x) AS first FROM t),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END ||
+             CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x) THEN 'C' ELSE '' END ||
+             CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN w.doc_id > first THEN 'E' ELSE '' END AS f
+      FROM w LEFT JOIN g ON w.doc_id = g.doc_id),
+n AS (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY part, f),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS o FROM l a JOIN l b ON b.l <> a.l JOIN l c ON c.l NOT IN (a.l, b.l) JOIN l d ON d.l NOT IN (a.l, b.l, c.l) JOIN l e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+s AS (SELECT o, CAST(k AS INTEGER) AS step, o[k] AS l, o[1:k - 1] AS before FROM (SELECT o, unnest(range(1, 6)) AS k FROM o)),
+r AS (SELECT part, o AS filter_order, step, l, CAST(sum(n) FILTER (WHERE translate(f, before || l, '') = f) AS BIGINT) AS kept,
+             CAST(sum(n) FILTER (WHERE contains(f, l) AND translate(f, before, '') = f) AS BIGINT) AS removed,
+             CAST(sum(n) FILTER (WHERE contains(f, l) AND translate(f, before, '') <> f) AS BIGINT) AS redundant, CAST(sum(n) FILTER (WHERE f = l) AS BIGINT) AS unique_fails,
+             CAST(sum(good) FILTER (WHERE contains(f, l) AND translate(f, before, '') = f) AS BIGINT) AS good_lost,
+             CAST(sum(toxic) FILTER (WHERE contains(f, l) AND translate(f, before, '') = f) AS BIGINT) AS toxic_lost
+      FROM n CROSS JOIN s GROUP BY part, o, step, l)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+       coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, l), 0) AS BIGINT) AS shapley
+FROM r""",
 }

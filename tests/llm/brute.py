@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -152,3 +153,60 @@ def op10(rows):
         counts = Counter(k for _, k, _ in found)
         out.append((i, counts[0], counts[1], counts[2], sha(",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in sorted(found)))))
     return out
+
+
+BLANK_TOKENS = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def op11(rows):
+    out = []
+    for i, t in rows:
+        t = t or ""
+        units = BLANK_TOKENS.findall(t)
+        h = hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()
+        h = [int(h[k : k + 8], 16) for k in (0, 8, 16, 24)]
+        n = len(units)
+        a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+        p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+        if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+            out.append((i, n, "plain", None, None, sha(t), sha(t)))
+        elif h[3] % 100 < 80:
+            out.append((i, n, "spm", len(p), len(m), sha(f"<S>{s}<P>{p}<M>{m}"), sha(t)))
+        else:
+            out.append((i, n, "psm", len(p), len(m), sha(f"<P>{p}<S>{s}<M>{m}"), sha(t)))
+    return out
+
+
+def op12(rows, encoding):
+    out = []
+    for i, t in rows:
+        ids = encoding.encode_ordinary(t or "")
+        out.append((i, len(ids), sha(",".join(map(str, ids))), hashlib.sha256(encoding.decode_bytes(ids)).hexdigest()))
+    return out
+
+
+def op13(rows, labels):
+    """rows: id, text, source; labels: id, quality, toxic."""
+    first = {}
+    for i, t, _ in rows:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    good, toxic = {r[0] for r in labels if r[1] == 1}, {r[0] for r in labels if r[2] == 1}
+    docs = []
+    for i, t, s in rows:
+        t = t or ""
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        fails = [len(w) < 50, 100 * len(set(w)) < 65 * len(w), 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), bool(re.search(r"[#$%&*|]", t)), i is not None and i > first[t]]
+        docs.append((s or "", {c for c, f in zip("ABCDE", fails, strict=True) if f}, i in good, i in toxic))
+    out = []
+    for part in {d[0] for d in docs}:
+        own, share, mine = [d for d in docs if d[0] == part], dict.fromkeys("ABCDE", 0), []
+        for order in itertools.permutations("ABCDE"):
+            left = list(own)
+            for step, c in enumerate(order):
+                gone = [d for d in left if c in d[1]]
+                left = [d for d in left if c not in d[1]]
+                share[c] += len(gone)
+                mine.append((c, part, "".join(order), step + 1, len(left), len(gone), sum(c in d[1] for d in own) - len(gone), sum(d[1] == {c} for d in own), sum(d[2] for d in gone), sum(d[3] for d in gone)))
+        out += [(*r[1:], share[r[0]]) for r in mine]
+    return out

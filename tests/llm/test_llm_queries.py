@@ -1,9 +1,13 @@
 """The registered queries: every one with SQL gives the rows that DuckDB gives; the others give their contract's columns."""
 
+import base64
 import os
 
+import brute
 import duckdb
+import public_tokenizers
 import pytest
+import tiktoken
 
 from slidespark.llm.queries import ORACLE_SQL, QUERIES
 
@@ -14,6 +18,7 @@ COLUMNS = {
     "op4_suffix_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
     "op6_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     "op7_hmm": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
+    "op12_byte_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
 }
 
 
@@ -25,7 +30,7 @@ def test_query(spark, name):
         assert COLUMNS[name] <= set(found.columns) and {r["doc_id"] for r in found.collect()} == set(docs["doc_id"])
         return
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.sql(ORACLE_SQL[name])
     cols = sorted(found.columns)
@@ -33,3 +38,12 @@ def test_query(spark, name):
     a = sorted(tuple(map(str, r)) for r in found.select(*cols).collect())
     b = sorted(tuple(map(str, r)) for r in want.select(", ".join(f'"{c}"' for c in cols)).fetchall())
     assert a == b
+
+
+def test_byte_bpe_against_the_library(spark):
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    found = QUERIES["op12_byte_bpe"](spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(tuple, found.collect())) == sorted(brute.op12(docs, encoding))
