@@ -1,10 +1,8 @@
-"""OME-Zarr folders (version 2 chunks: raw, zlib or gzip), one task per group of chunk files."""
+"""OME-Zarr folders (version 2; chunks raw, or in blosc with lz4, snappy, zlib or zstd, or in zlib, gzip, zstd or lz4), one task per group of chunk files."""
 
 from __future__ import annotations
 
-import gzip
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from slidespark.session import ship
 
 from .arrays import PIXELS
+from .codecs import zarr_chunk
 
 
 def attributes(text: str) -> dict:
@@ -34,14 +33,9 @@ def dataset_order(names: list[str]) -> list[str]:
 
 
 def chunk_array(raw: bytes, meta: dict) -> np.ndarray:
-    codec = (meta.get("compressor") or {}).get("id")
-    if codec == "zlib":
-        raw = zlib.decompress(raw)
-    elif codec == "gzip":
-        raw = gzip.decompress(raw)
-    elif codec:
-        raise ValueError(f"zarr codec {codec} is not supported")
-    return np.frombuffer(raw, meta["dtype"]).reshape(meta["chunks"], order=meta.get("order", "C"))
+    dtype = np.dtype(meta["dtype"])
+    raw = zarr_chunk(raw, (meta.get("compressor") or {}).get("id"), int(np.prod(meta["chunks"])) * dtype.itemsize)
+    return np.frombuffer(raw, dtype).reshape(meta["chunks"], order=meta.get("order", "C"))
 
 
 def _chunks(meta: dict, axes: list[str], root: str):
