@@ -14,7 +14,7 @@ from slidespark.operators import pixels, vectors
 from slidespark.plans.catalog import export_name
 from slidespark.plans.levels import thumbnail, tiff_levels, tile_size
 from slidespark.session import session
-from slidespark.sinks import bigtiff, images
+from slidespark.sinks import bigtiff, images, zarr_store
 from slidespark.sinks.text import write_geojson
 from slidespark.sources import read
 
@@ -28,7 +28,7 @@ def _save(frame, ds, height: int, width: int, out: str, as_uint8: bool, fmt: str
     if as_uint8:
         frame = pixels.rescale_uint8(frame)
     if fmt == "ome-zarr":
-        return images.write_zarr(frame, out + ".ome.zarr", height, width, ds.channels, ds.resolution, dtype="|u1" if as_uint8 else "<f4")
+        return zarr_store.write_zarr(frame, out + ".ome.zarr", height, width, ds.channels, ds.resolution, dtype="|u1" if as_uint8 else "<f4")
     tile = tile_size(height, width) or 256
     levels = len(tiff_levels(height, width, tile))
     return bigtiff.write_ome_tiff(frame, out + ".ome.tiff", height, width, ds.channels, ds.resolution, tile, levels, "uint8" if as_uint8 else "float32")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from slidespark.plans import model
 from slidespark.plans.queries import query, with_px
 from slidespark.sinks import bigtiff
-from slidespark.sources import tiff
+from slidespark.sinks.zarr_store import ZarrStore
+from slidespark.sources import tiff, zarr
 from slidespark.storage import scratch
 
 #: Sides of the tiles of the written images: smaller than the image, so that a crop has tiles to leave out.
@@ -57,3 +58,15 @@ def tiff_tiles(spark, d):
 
     read, whole = bytes_of(px.where(BOX), "tiles"), bytes_of(px, "whole")
     return read.join(whole, "channel_id").select("channel_id", "tiles", (F.col("tiles_bytes") < F.col("whole_bytes")).alias("fewer_bytes"))
+
+
+@query(with_px("SELECT y, x, channel_id, value FROM px"))
+def zarr_channels(spark, d):
+    """The channels of an OME-Zarr folder that were appended in three goes, one of them twice."""
+    px = model.px(spark, d)
+    store = ZarrStore(spark, f"{scratch(spark, 'zarr')}/image.ome.zarr")
+    store.create(model.height(spark, d), model.WIDTH, tile=TILE)
+    for first, last in ((0, 40), (40, 63), (40, 63), (63, 64)):
+        part = px.where((F.col("channel_id") >= first) & (F.col("channel_id") < last)).withColumn("channel_id", F.col("channel_id") - first)
+        store.append(part, NAMES[first:last], f"from {first}")
+    return zarr.read(spark, store.path)[0]

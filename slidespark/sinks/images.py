@@ -1,8 +1,7 @@
-"""Array, PNG, OME-TIFF and OME-Zarr writers.  Large images are written tile by tile: a tile's pixels meet in one task."""
+"""PNG, and OME-TIFF of an array that the driver holds; images of any size are written by bigtiff and zarr_store."""
 
 from __future__ import annotations
 
-import json
 import os
 import struct
 import zlib
@@ -10,13 +9,8 @@ from collections.abc import Sequence
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from slidespark.operators.pixels import nearest_level
-from slidespark.plans.levels import zarr_levels
-from slidespark.session import ship
 
 
 def to_array(px: DataFrame, height: int, width: int, channels: int, fill: float = np.nan) -> np.ndarray:
@@ -119,43 +113,3 @@ def write_tiff(array: np.ndarray, path: str, names: Sequence[str], resolution: f
     Path(path + ".tmp").write_bytes(bytes(f.data))
     os.replace(path + ".tmp", path)
     return path
-
-
-def _write_chunks(root: str, chunk: int, dtype: str, sizes: list[tuple[int, int]]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        level, c, ty, tx = (int(pdf[k].iloc[0]) for k in ("level", "channel_id", "ty", "tx"))
-        cell = np.zeros((chunk, chunk), dtype)
-        cell[pdf["y"].to_numpy() - ty * chunk, pdf["x"].to_numpy() - tx * chunk] = pdf["value"].to_numpy()
-        path = Path(root, str(level), str(c), str(ty), str(tx))
-        path.parent.mkdir(parents=True, exist_ok=True)
-        part = path.with_name(f".{tx}.{os.getpid()}")
-        part.write_bytes(zlib.compress(cell.tobytes()))
-        os.replace(part, path)  # a task that runs again writes the same bytes
-        return pd.DataFrame({"level": [level], "bytes": [path.stat().st_size]})
-
-    return run
-
-
-def write_zarr(px: DataFrame, path: str, height: int, width: int, names: Sequence[str], resolution: float = 1.0, tile: int = 256, dtype: str = "<f4", pyramid: bool = True, overwrite: bool = False) -> str:
-    """An NGFF 0.4 folder of channel planes on a file system that all executors share: each chunk is one group of pixels,
-    levels take every second pixel of the one before, and the metadata comes last, so that readers see whole images only."""
-    if os.path.exists(f"{path}/.zattrs") and not overwrite:
-        return path
-    ship(px.sparkSession)
-    sizes = zarr_levels(height, width, tile) if pyramid else [(height, width)]
-    every = None
-    for k, (h, w) in enumerate(sizes):
-        level = (nearest_level(px, 2**k) if k else px).where((F.col("y") < h) & (F.col("x") < w)).withColumn("level", F.lit(k))
-        every = level if every is None else every.unionByName(level)
-    cells = every.na.drop(subset=["value"]).withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
-    cells.groupBy("level", "channel_id", "ty", "tx").applyInPandas(_write_chunks(path, tile, dtype, sizes), "level int, bytes long").agg(F.sum("bytes")).collect()
-    for k, (h, w) in enumerate(sizes):
-        meta = {"zarr_format": 2, "shape": [len(names), h, w], "chunks": [1, tile, tile], "dtype": dtype, "compressor": {"id": "zlib", "level": 6}, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "/"}
-        Path(path, str(k)).mkdir(parents=True, exist_ok=True)
-        Path(path, str(k), ".zarray").write_text(json.dumps(meta))
-    axes = [{"name": "c", "type": "channel"}, *({"name": a, "type": "space", "unit": "micrometer"} for a in "yx")]
-    sets = [{"path": str(k), "coordinateTransformations": [{"type": "scale", "scale": [1.0, resolution * height / h, resolution * width / w]}]} for k, (h, w) in enumerate(sizes)]
-    attrs = {"multiscales": [{"version": "0.4", "axes": axes, "datasets": sets}], "omero": {"channels": [{"label": n} for n in names]}}
-    Path(path, ".zgroup").write_text('{"zarr_format": 2}')
-    Path(path, ".zattrs").write_text(json.dumps(attrs))
-    return path

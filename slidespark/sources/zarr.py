@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidespark.session import ship
+from slidespark.sinks.zarr_store import channel_folders
 
 from .arrays import PIXELS
 from .codecs import zarr_chunk
@@ -38,14 +39,22 @@ def chunk_array(raw: bytes, meta: dict) -> np.ndarray:
     return np.frombuffer(raw, dtype).reshape(meta["chunks"], order=meta.get("order", "C"))
 
 
-def _chunks(meta: dict, axes: list[str], root: str):
+def _chunks(meta: dict, axes: list[str], root: str, places: list[tuple[int, str]]):
+    """Pixels of chunk files; places: folders of single channels, for images that have their channels in folders of their own."""
     spatial = {a: axes.index(a) for a in ("y", "x")}
     c_at = axes.index("c") if "c" in axes else None
 
+    def index_of(path: str) -> list[int]:
+        for c, folder in places:
+            at = path.rfind(f"/{root}/{folder}/")
+            if at >= 0:
+                return [c, *map(int, path[at + len(root) + len(folder) + 3 :].split("/"))]
+        return [int(v) for v in path[path.rindex(root) + len(root) :].strip("/").replace("/", ".").split(".")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = [int(v) for v in path[path.rindex(root) + len(root) :].strip("/").replace("/", ".").split(".")]
+                at = index_of(path)
                 array = chunk_array(raw, meta)
                 start = [i * n for i, n in zip(at, meta["chunks"], strict=True)]
                 array = array[tuple(slice(0, n - s) for n, s in zip(meta["shape"], start, strict=True))]
@@ -69,16 +78,27 @@ def _text(spark: SparkSession, path: str) -> str:
 
 
 def read(spark: SparkSession, path: str, level: int = 0) -> tuple[DataFrame, list[str], float]:
+    """Pixels, channel names and resolution of a folder; of one that grows by channels, what its log says at this time."""
     ship(spark)
     path = path.rstrip("/")
+    held, places = channel_folders(path, level)
+    chunks = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if held is not None:
+        h, w = held.sizes()[level]
+        meta = {"shape": [len(held.names), h, w], "chunks": [1, held.tile, held.tile], "dtype": held.dtype, "compressor": {"id": "zlib"}, "order": "C"}
+        resolution = held.resolution * (held.height / h + held.width / w) / 2
+        if not places:
+            return spark.createDataFrame([], PIXELS), held.names, resolution
+        files = chunks.load([f"{path}/{folder}" for _, folder in places])
+        return files.select("path", "content").mapInArrow(_chunks(meta, ["c", "y", "x"], path.rsplit("/", 1)[-1], places), PIXELS), held.names, resolution
     at = attributes(_text(spark, f"{path}/.zattrs"))
     name = at["datasets"][level]
     meta = json.loads(_text(spark, f"{path}/{name}/.zarray"))
     axes = at["axes"] or ["t", "c", "z", "y", "x"][-len(meta["shape"]) :]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/{name}").where(~F.col("path").rlike(r"/\.z\w+$"))
+    files = chunks.load(f"{path}/{name}").where(~F.col("path").rlike(r"/\.z\w+$"))
     root = f"{path.rsplit('/', 1)[-1]}/{name}"
     n = meta["shape"][axes.index("c")] if "c" in axes else 1
     names = at["names"] if len(at["names"]) == n else [f"C{k}" for k in range(n)]
     scale = at["scales"][level]
     resolution = (scale[axes.index("y")] + scale[axes.index("x")]) / 2 if scale else 1.0
-    return files.select("path", "content").mapInArrow(_chunks(meta, axes, root), PIXELS), names, resolution
+    return files.select("path", "content").mapInArrow(_chunks(meta, axes, root, []), PIXELS), names, resolution

@@ -10,6 +10,7 @@ import pytest
 from slidespark import cli, streaming
 from slidespark.operators import vectors
 from slidespark.sinks import images, text
+from slidespark.sinks.zarr_store import write_zarr
 from slidespark.sources import UnsupportedFormatError, geojson, is_supported, kind_of, read, spectra, tiff
 
 
@@ -55,10 +56,10 @@ def test_tiff_rgb(spark, tmp_path, image):
 
 
 def test_zarr(spark, tmp_path):
-    data = np.random.default_rng(1).integers(0, 255, (2, 64, 64)).astype(np.uint8)
-    path = images.write_zarr(pixels_of(spark, data), str(tmp_path / "z.ome.zarr"), 64, 64, ["DAPI", "FITC"], 0.5, 16, "|u1")
+    data = np.random.default_rng(1).integers(0, 255, (2, 72, 80)).astype(np.uint8)
+    path = write_zarr(pixels_of(spark, data), str(tmp_path / "z.ome.zarr"), 72, 80, ["one", "two"], 0.75, 16, "|u1")
     d = read(spark, path)
-    assert d.channels == ["DAPI", "FITC"] and d.resolution == 0.5 and np.array_equal(array(d.frame, data.shape), data)
+    assert d.channels == ["one", "two"] and d.resolution == 0.75 and np.array_equal(array(d.frame, data.shape), data)
     attrs = json.loads((tmp_path / "z.ome.zarr" / ".zattrs").read_text())
     assert len(attrs["multiscales"][0]["datasets"]) == 3
 
