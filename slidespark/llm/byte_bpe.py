@@ -17,9 +17,12 @@ a character that is neither letter, digit nor blank.  An id that the vocabulary
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, id_text, most_frequent, pieces, release, staged
 
-#: Most words and bytes of words whose codes are sent to every task, and of the words that a task holds beside them.
-BOOK_WORDS, BOOK_BYTES = 1 << 19, 32 << 20
+#: Most words and bytes of words whose codes are sent to every task, and most words that a task remembers beside them.
+BOOK_WORDS, BOOK_BYTES, LEARNT = 1 << 18, 32 << 20, 1 << 18
 #: Bytes of words that are replayed together.
-REPLAY_BYTES = 1 << 20
+REPLAY_BYTES = 1 << 18
+
+
+#: Bits of an id within the number of a pair, and the rank of what is no pair.
+SHIFT, NO_PAIR = 24, 1 << 24
 
 
 class Vocabulary:
@@ -42,9 +49,37 @@ class Vocabulary:
     def __init__(self, lines: bytes) -> None:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines.splitlines() if line)}
         size = max(self.ranks.values()) + 1
+        if size > NO_PAIR:
+            raise ValueError("a vocabulary has fewer than 2^24 tokens")
         self.tokens: list[bytes | None] = [None] * size
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The rank of what each pair of tokens becomes, by the pair's number."""
+        ranks = self.ranks
+        return {ranks[t[:k]] << SHIFT | ranks[t[k:]]: rank for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+
+    @cached_property
+    def _two(self) -> np.ndarray:
+        """Ranks of all pairs of bytes."""
+        out = np.full((256, 256), NO_PAIR, np.int64)
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                out[token[0], token[1]] = rank
+        return out
+
+    def byte_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of the ids of bytes."""
+        return self._two[self._byte_of[a], self._byte_of[b]]
+
+    @cached_property
+    def _byte_of(self) -> np.ndarray:
+        out = np.zeros(len(self.tokens), np.int64)
+        out[self.bytes] = np.arange(256)
+        return out
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Vocabulary:
@@ -56,57 +91,90 @@ class Vocabulary:
             return cls(bytes(spark.read.format("binaryFile").load(path).first()["content"]))
 
 
-def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
-    """Token ids of each word."""
-    ranks, tokens = vocabulary.ranks, vocabulary.tokens
-    out: list[list[int]] = [[ranks[w]] if w in ranks else [] for w in words]
-    rest = [k for k, w in enumerate(words) if w and not out[k]]
-    # all words in one array, each followed by None; left and right lead to the neighbours that are still there
-    ids: list[int | None] = []
-    starts = []
-    for k in rest:
-        starts.append(len(ids))
-        ids.extend(ranks[words[k][i : i + 1]] for i in range(len(words[k])))
-        ids.append(None)
-    right = list(range(1, len(ids) + 1))
-    left = list(range(-1, len(ids) - 1))
-    where: dict[int, list[int]] = {}
-
-    def rank_at(p: int) -> int | None:
-        a, b = ids[p], ids[right[p]]
-        return None if a is None or b is None else ranks.get(tokens[a] + tokens[b])
-
-    for p in range(len(ids) - 1):
-        r = rank_at(p)
-        if r is not None:
-            where.setdefault(r, []).append(p)
+def _replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """How many token ids each word has, and all of them one after the other.
+
+    All words lie in one array of ids, a stop (-1) before each and one at the end; left and right lead to the neighbours that
+    are still there, ranks has the rank of the pair that begins at each place.
+    """
+    pairs = vocabulary.pairs
+    whole = [vocabulary.ranks.get(w, -1) for w in words]
+    rest = [w for w, r in zip(words, whole, strict=True) if r < 0]
+    lengths = np.fromiter(map(len, rest), np.int64, len(rest))
+    stops = np.append(np.cumsum(lengths + 1) - lengths - 1, lengths.sum() + len(rest))
+    first = np.full(int(stops[-1]) + 1, -1, np.int64)
+    inside = np.ones(len(first), bool)
+    inside[stops] = False
+    first[inside] = vocabulary.bytes[np.frombuffer(b"".join(rest), np.uint8)]
+    begin = np.full(len(first), NO_PAIR, np.int64)
+    both = np.flatnonzero(inside[:-1] & inside[1:])
+    begin[both] = vocabulary.byte_pairs(first[both], first[both + 1])
+    # the inverted index: the places of each pair, in order
+    held = both[begin[both] < NO_PAIR]
+    held = held[np.argsort(begin[held], kind="stable")]
+    cuts = np.flatnonzero(np.diff(begin[held])) + 1
+    where = {int(begin[g[0]]): g.tolist() for g in np.split(held, cuts)} if len(held) else {}
+    ids, ranks = first.tolist(), begin.tolist()
+    left, right = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
     order = list(where)
     heapify(order)
+    get = pairs.get
     while order:
-        r = order[0]
-        places = where[r]
-        p = heappop(places)
-        if not places:
-            del where[r]
-            heappop(order)
-        if rank_at(p) != r:  # a neighbour was merged since
-            continue
-        gone = right[p]
-        ids[p], ids[gone] = r, None
-        right[p] = right[gone]
-        left[right[gone]] = p
-        for q in (left[p], p):
-            if q >= 0 and (new := rank_at(q)) is not None:
-                if new not in where:
-                    where[new] = []
-                    heappush(order, new)
-                heappush(where[new], q)
-    for k, start in zip(rest, starts, strict=True):
-        p = start
-        while ids[p] is not None:
-            out[k].append(ids[p])
-            p = right[p]
-    return out
+        r = heappop(order)
+        places = where.pop(r)
+        places.sort()
+        for i, p in enumerate(places):
+            if ranks[p] != r:  # a neighbour was merged since
+                continue
+            gone = right[p]
+            after, before = right[gone], left[p]
+            ids[p], ids[gone], ranks[gone] = r, -2, NO_PAIR
+            right[p], left[after] = after, p
+            least = r
+            # only the pairs with the two neighbours are new
+            b = ids[after]
+            k = ranks[p] = get(r << SHIFT | b, NO_PAIR) if b >= 0 else NO_PAIR
+            if k < NO_PAIR:
+                if k in where:
+                    where[k].append(p)
+                else:
+                    where[k] = [p]
+                    heappush(order, k)
+                least = min(k, least)
+            a = ids[before]
+            if a >= 0:
+                k = ranks[before] = get(a << SHIFT | r, NO_PAIR)
+                if k < NO_PAIR:
+                    if k in where:
+                        where[k].append(before)
+                    else:
+                        where[k] = [before]
+                        heappush(order, k)
+                    least = min(k, least)
+            if least < r:  # a pair that comes before the rest of this one
+                if i + 1 < len(places):
+                    where[r] = places[i + 1 :]
+                    heappush(order, r)
+                break
+    done = np.array(ids, np.int64)
+    kept = np.concatenate([[0], np.cumsum(done >= 0)])
+    sizes = kept[stops[1:]] - kept[stops[:-1]]
+    # words that are tokens as they are take their places between the others
+    whole = np.array(whole, np.int64)
+    known = whole >= 0
+    every = np.ones(len(words), np.int64)
+    every[~known] = sizes
+    flat = np.empty(int(every.sum()), np.int32)
+    own = np.repeat(known, every)
+    flat[own] = whole[known]
+    flat[~own] = done[done >= 0]
+    return every, flat
+
+
+def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
+    """Token ids of each word."""
+    sizes, flat = _replay(words, vocabulary)
+    return [part.tolist() for part in np.split(flat, np.cumsum(sizes)[:-1])] if words else []
 
 
 def _chars(text: bytes) -> str:
@@ -145,8 +213,9 @@ def words(docs: DataFrame, pattern: str, held: int = 1 << 18) -> DataFrame:
 def _replay_words(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, REPLAY_BYTES, "word"):
-            codes = replay(b.column(0).to_pylist(), vocabulary.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            sizes, flat = _replay(b.column(0).to_pylist(), vocabulary.value)
+            codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*b.columns, codes], ["word", "n", "ids"])
 
     return run
 
@@ -156,48 +225,55 @@ def codebook(counted: DataFrame, vocabulary) -> DataFrame:
     return arrow_map(counted.select("word", "n"), _replay_words(vocabulary), "word binary, n long, ids array<int>")
 
 
+class _Numbers(dict):
+    """Numbers of words; a word that is not there gets the next one and is noted as new."""
+
+    def __init__(self, known) -> None:
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class _Codes:
-    """Codes of words as rows of one flat array."""
-
-    def __init__(self, vocabulary: Vocabulary, known: list[tuple[bytes, list[int]]]) -> None:
-        self.vocabulary = vocabulary
-        self.number = {_chars(w): k for k, (w, _) in enumerate(known)}
-        self.head = len(known)
-        self._set([ids for _, ids in known])
-
-    def _set(self, codes: list[list[int]]) -> None:
-        self.size = np.fromiter(map(len, codes), np.int64, len(codes))
-        self.start = np.cumsum(self.size) - self.size
-        self.flat = np.fromiter((i for ids in codes for i in ids), np.int32, int(self.size.sum()))
-
-    def _learn(self, new: list[str]) -> None:
-        codes = replay([_bytes(w) for w in new], self.vocabulary)
-        self.number.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-        size = np.fromiter(map(len, codes), np.int64, len(codes))
+    """Codes of words as rows of one flat array: the book's, and those that this task has met beside them."""
+
+    def __init__(self, vocabulary: Vocabulary, words: list[bytes], size: np.ndarray, flat: np.ndarray) -> None:
+        self.vocabulary, self.head = vocabulary, len(words)
+        self.number = _Numbers(zip(map(_chars, words), range(len(words)), strict=True))
+        self.size, self.start, self.flat = size, np.cumsum(size) - size, flat
+
+    def _learn(self) -> None:
+        size, flat = _replay(list(map(_bytes, self.number.new)), self.vocabulary)
+        self.number.new.clear()
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in codes for i in ids), np.int32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, flat])
 
     def _forget(self) -> None:
-        """Drop the words that this task has learnt."""
-        self.number = {w: k for w, k in self.number.items() if k < self.head}
+        """Drop the words that are not in the book."""
+        for word in list(islice(reversed(self.number), len(self.number) - self.head)):
+            del self.number[word]
         self.start, self.size = self.start[: self.head], self.size[: self.head]
         self.flat = self.flat[: int(self.start[-1] + self.size[-1]) if self.head else 0]
 
     def ids(self, texts: list[list[str]]) -> pa.Array:
         """Token ids of each list of words."""
-        if len(self.number) > self.head + BOOK_WORDS or len(self.flat) > 4 * BOOK_BYTES:
-            self._forget()
-        new = {w for text in texts for w in text} - self.number.keys()
-        if new:
-            self._learn(sorted(new))
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        rows = np.fromiter((n for text in texts for n in map(self.number.__getitem__, text)), np.int64, int(counts.sum()))
+        rows = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
+        if self.number.new:
+            self._learn()
         size = self.size[rows]
         ends = np.concatenate([[0], np.cumsum(size)])
         at = np.repeat(self.start[rows] - ends[:-1], size) + np.arange(ends[-1])
         cuts = ends[np.concatenate([[0], np.cumsum(counts)])]
-        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(self.flat[at], pa.int32()))
+        out = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(self.flat[at], pa.int32()))
+        if len(self.number) > self.head + LEARNT or len(self.flat) > BOOK_BYTES:
+            self._forget()
+        return out
 
 
 #: The book that this worker has used last, and its codes.
@@ -208,7 +284,8 @@ def _encode(pattern: str, vocabulary, book):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         if _held[0] is not book.value:
-            _held[:] = book.value, _Codes(vocabulary.value, book.value)
+            words, size, flat = book.value
+            _held[:] = book.value, _Codes(vocabulary.value, words, size, flat)
         codes = _held[1]
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), codes.ids([find(_chars(t)) for t in b.column(1).to_pylist()])], ["doc_id", "ids"])
@@ -216,6 +293,16 @@ def _encode(pattern: str, vocabulary, book):
     return run
 
 
+def _book(rows: Iterator) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words, how many ids each has, and all of them."""
+    words, size, flat = [], array("q"), array("i")
+    for word, ids in rows:
+        words.append(bytes(word))
+        size.append(len(ids))
+        flat.extend(ids)
+    return words, np.array(size, np.int64), np.array(flat, np.int32)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, book_words: int = BOOK_WORDS, book_bytes: int = BOOK_BYTES) -> DataFrame:
     """doc_id, ids for every row of docs (module docstring).  path: the vocabulary's ranks; pattern: what cuts texts into words."""
     spark = docs.sparkSession
@@ -227,7 +314,7 @@ def encode(docs: DataFrame, path: str, pattern: str, book_words: int = BOOK_WORD
         # words of up to 64 bytes, so that book_bytes holds whatever the words are
         head = most_frequent(counted.where(F.length("word") <= 64), "n", min(book_words, book_bytes // 64))
     coded = staged(codebook(head.repartition("word"), vocabulary), "codebook")
-    book = spark.sparkContext.broadcast([(bytes(r["word"]), list(r["ids"])) for r in coded.select("word", "ids").toLocalIterator()])
+    book = spark.sparkContext.broadcast(_book(coded.select("word", "ids").toLocalIterator()))
     release(counted, coded)
     return arrow_map(id_text(docs), _encode(pattern, vocabulary, book), "doc_id long, ids array<int>")
 

@@ -360,33 +360,3 @@ def outlines(mask: DataFrame) -> DataFrame:
         part = ends.select("label", *((at[c][k] + d).cast("int").alias(f"{c}{k + 1}") for k, (cx, cy) in enumerate(((ax, ay), (bx, by))) for c, d in (("x", cx), ("y", cy))))
         sides = part if sides is None else sides.unionByName(part)
     return sides
-
-
-def contours(mask: DataFrame) -> DataFrame:
-    """label, ring, i, x, y: closed rings around the regions of a label image, corners in order; holes are rings of their own that
-    turn the other way.  One task joins the sides of one label (corners only, not pixels)."""
-
-    def run(pdf):
-        import pandas as pd
-
-        after: dict = {}
-        for x1, y1, x2, y2 in zip(pdf["x1"], pdf["y1"], pdf["x2"], pdf["y2"], strict=True):
-            after.setdefault((x1, y1), []).append((x2, y2))
-        rows, ring = [], 0
-        for start in sorted(after):
-            while after[start]:
-                at, came, i = start, None, 0
-                while True:
-                    ways = after[at]
-                    # where two regions touch at a corner, turn right to stay on the same one
-                    k = 0 if came is None or len(ways) == 1 else max(range(len(ways)), key=lambda j: came[0] * (ways[j][1] - at[1]) - came[1] * (ways[j][0] - at[0]))
-                    to = ways.pop(k)
-                    rows.append((pdf["label"].iloc[0], ring, i, at[0], at[1]))
-                    came, at, i = (to[0] - at[0], to[1] - at[1]), to, i + 1
-                    if at == start:
-                        break
-                ring += 1
-        return pd.DataFrame(rows, columns=["label", "ring", "i", "x", "y"])
-
-    kind = dict(mask.dtypes)["label"]
-    return outlines(mask).groupBy("label").applyInPandas(run, f"label {kind}, ring int, i int, x int, y int")

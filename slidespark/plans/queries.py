@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from slidespark.functions import geometry as geo
 from slidespark.functions import scalars, xml
-from slidespark.operators import pixels, spectra, vectors
+from slidespark.operators import pixels, rings, spectra, vectors
 from slidespark.plans import levels, model
 from slidespark.plans.catalog import find_channels
 from slidespark.plans.model import CONCAVE, POLYGON, SQL_MATRIX, SQL_PX, sql_inside
@@ -564,13 +564,37 @@ def polygon_area_valid(spark, d):
     "FROM m a LEFT JOIN m u ON u.y = a.y - 1 AND u.x = a.x LEFT JOIN m v ON v.y = a.y + 1 AND v.x = a.x LEFT JOIN m w ON w.y = a.y AND w.x = a.x - 1 LEFT JOIN m z ON z.y = a.y AND z.x = a.x + 1) GROUP BY label")
 def contour_trace(spark, d):
     """Rings around the regions of each label; what they enclose is its pixels, and their length is its open sides."""
-    rings = pixels.contours(model.matrix(spark, d).select("y", "x", "label"))
+    traced = rings.trace(model.matrix(spark, d).select("y", "x", "label"))
     ring = Window.partitionBy("label", "ring").orderBy("i")
     every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    e = rings.select("label", "x", "y", F.coalesce(F.lead("x").over(ring), F.first("x").over(every)).alias("u"), F.coalesce(F.lead("y").over(ring), F.first("y").over(every)).alias("v"))
+    e = traced.select("label", "x", "y", F.coalesce(F.lead("x").over(ring), F.first("x").over(every)).alias("u"), F.coalesce(F.lead("y").over(ring), F.first("y").over(every)).alias("v"))
     return e.groupBy("label").agg((F.sum(F.col("x") * F.col("v") - F.col("u") * F.col("y")) / 2).cast("long").alias("area"), F.sum(F.abs(F.col("u") - F.col("x")) + F.abs(F.col("v") - F.col("y"))).alias("perimeter"))
 
 
+_SIDES = """
+o AS (SELECT a.label, a.y, a.x, d FROM m a JOIN (VALUES (0, -1, 0), (1, 0, 1), (2, 1, 0), (3, 0, -1)) n(d, dy, dx) ON true LEFT JOIN m b ON b.y = a.y + dy AND b.x = a.x + dx AND b.label = a.label WHERE b.label IS NULL),
+r AS (SELECT label, d, across, along, along - row_number() OVER (PARTITION BY label, d, across ORDER BY along) AS g
+      FROM (SELECT label, d, CASE WHEN d % 2 = 0 THEN y ELSE x END AS across, CASE WHEN d % 2 = 0 THEN x ELSE y END AS along FROM o)),
+e AS (SELECT label, d, across, min(along) AS a, max(along) + 1 AS z FROM r GROUP BY label, d, across, g)
+SELECT label, CASE d WHEN 0 THEN a WHEN 1 THEN across + 1 WHEN 2 THEN z ELSE across END AS x, CASE d WHEN 0 THEN across WHEN 1 THEN a WHEN 2 THEN across + 1 ELSE z END AS y,
+       CASE d WHEN 0 THEN z WHEN 1 THEN across + 1 WHEN 2 THEN a ELSE across END AS to_x, CASE d WHEN 0 THEN across WHEN 1 THEN z WHEN 2 THEN across + 1 ELSE a END AS to_y FROM e"""
+
+
+@query(f"WITH {SQL_MATRIX}, {_SIDES}")
+def contour_corners(spark, d):
+    """Every corner of the rings of each label with the corner that follows it, strung together over small squares of the image."""
+    traced = rings.trace(model.matrix(spark, d).select("y", "x", "label"), square=8)
+    ring = Window.partitionBy("label", "ring").orderBy("i")
+    every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return traced.select("label", "x", "y", *(F.coalesce(F.lead(c).over(ring), F.first(c).over(every)).alias(f"to_{c}") for c in ("x", "y")))
+
+
+@query()
+def contour_simplified(spark, d):
+    """The rings of each label with no corner farther than 1 from the new sides (tests hold it against a plain version)."""
+    return rings.simplify(rings.trace(model.matrix(spark, d).select("y", "x", "label")), 1.0)
+
+
 @query("SELECT p_partkey, p_brand AS brand, CASE WHEN p_size > 10 THEN CAST(p_size AS VARCHAR) END AS size, p_name || '|' || p_type AS channels FROM part")
 def xml_meta(spark, d):
     """Fields and lists out of XML metadata."""

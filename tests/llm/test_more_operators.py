@@ -127,8 +127,8 @@ def test_replay_of_a_long_word(encoding, vocabulary):
 
 
 def test_a_task_forgets_words_beyond_its_bound(monkeypatch, vocabulary, encoding):
-    monkeypatch.setattr(byte_bpe, "BOOK_WORDS", 3)
-    codes = byte_bpe._Codes(vocabulary, [(b"head", [vocabulary.ranks[b"head"]])])
+    monkeypatch.setattr(byte_bpe, "LEARNT", 3)
+    codes = byte_bpe._Codes(vocabulary, [b"head"], np.array([1]), np.array([vocabulary.ranks[b"head"]], np.int32))
     for text in (["head", " qwzx", "one"], ["three", " four", " fivé"], ["six", "head", " qwzx"], [], ["one"]):
         assert codes.ids([text]).to_pylist() == [[i for w in text for i in encoding.encode_ordinary(w)]]
         assert len(codes.number) <= 7
