@@ -99,10 +99,9 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .byte_bpe import decode, encode
+    from .byte_bpe import encode
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -101,7 +101,9 @@ def bpe(df, **kw):
 def test_byte_bpe(docs, rows, empty, nulls, encoding):
     expected = want(brute.op12(rows, encoding))
     assert bpe(docs) == expected
-    assert bpe(docs, book_words=50) == expected and bpe(docs, book_words=0) == expected
+    assert bpe(docs, book_words=50) == expected and bpe(docs, book_words=0, at_spaces=False) == expected
+    both = byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, decoded=True)
+    assert got(both.select("doc_id", sha("decoded")), "*") == [(r[0], r[3]) for r in expected]
     assert bpe(empty) == []
     assert bpe(nulls) == want(brute.op12([tuple(r) for r in nulls.collect()], encoding))
 
@@ -126,12 +128,23 @@ def test_replay_of_a_long_word(encoding, vocabulary):
     assert byte_bpe.replay([word[:3000]], vocabulary)[0] == encoding._encode_single_piece(word[:3000])
 
 
-def test_a_task_forgets_words_beyond_its_bound(monkeypatch, vocabulary, encoding):
+def test_stretches(encoding):
+    """Cut before single spaces, the pattern finds the same words as in the whole text."""
+    rng, find = random.Random(6), byte_bpe.regex.compile(public_tokenizers.PATTERN).findall
+    texts = ["", " ", "  ", "a b", " a b ", "a  b c", "a \n b c", "a\u00a0 b c", "it's o'clock 's 't x 'll", "a \u3000b c\t d e", "1 2 ,. a,b c;  d", "x \x1c y z\x85 q r"]
+    texts += ["".join(rng.choice(" \n\t\u2003abé1٣²'s,._日") for _ in range(rng.randrange(1, 60))) for _ in range(2000)]
+    for t in texts:
+        words, counts = byte_bpe._words(find, byte_bpe.stretches(t))
+        assert words == find(t) and counts.sum() == len(words) and len(counts) == len(byte_bpe.stretches(t))
+        assert [i for w in find(t) for i in encoding.encode_ordinary(w)] == encoding.encode_ordinary(t)
+
+
+def test_a_worker_forgets_beyond_its_bound(monkeypatch, vocabulary, encoding):
     monkeypatch.setattr(byte_bpe, "LEARNT", 3)
-    codes = byte_bpe._Codes(vocabulary, [b"head"], np.array([1]), np.array([vocabulary.ranks[b"head"]], np.int32))
-    for text in (["head", " qwzx", "one"], ["three", " four", " fivé"], ["six", "head", " qwzx"], [], ["one"]):
-        assert codes.ids([text]).to_pylist() == [[i for w in text for i in encoding.encode_ordinary(w)]]
-        assert len(codes.number) <= 7
+    codes = byte_bpe._Codes(vocabulary, public_tokenizers.PATTERN, [b"head"], np.array([1]), np.array([vocabulary.ranks[b"head"]], np.int32))
+    for text in ("head qwzx one", "three four fivé", "six head qwzx", "", "one"):
+        assert codes.ids([byte_bpe.stretches(text)]).to_pylist() == [encoding.encode_ordinary(text)]
+        assert len(codes.number) <= 6
 
 
 def test_decode_of_other_ids(spark):
