@@ -8,7 +8,7 @@ and sent to the executors.  A larger test set makes several automata, one after
 own, which keeps the hit words of those with any; the driver and a task hold one automaton at a time.
 
 Defined results: a null or empty text has no words and is not contaminated; items without words never match; repeated
-documents are judged each for itself, repeated items are items of their own; an empty benchmark hits nothing; columns other
+documents are judged each for itself, items that share an id are listed once; an empty benchmark hits nothing; columns other
 than ids and texts are not looked at.
 """
 
@@ -160,7 +160,7 @@ def _bytes_of(text: object) -> bytes:
 
 def _row(words: list[bytes], text: bytes, hit: np.ndarray | None, items: list[str], most: int) -> tuple:
     starts, ends = _spans(text, hit) if hit is not None and hit.any() else ([], [])
-    return len(words), 0 if hit is None else int(hit.sum()), items, starts, ends, most
+    return len(words), 0 if hit is None else int(hit.sum()), sorted(set(items)), starts, ends, most
 
 
 def _rows(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
@@ -268,11 +268,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, c
     if second is None:
         held = docs.sparkSession.sparkContext.broadcast(first)
         return arrow_map(docs, _clean_only(held, docs.columns.index("text"), round(1 / coverage)), docs.schema)
-    # the verdict depends on a text alone, so texts are named by a digest
-    found = decontaminate(docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_id"), "text").withColumn("doc_id", F.xxhash64("doc_id", "text")), benchmark, window, coverage, chunk_words)
-    gone = staged(found.where("contaminated").select(F.col("doc_id").alias("_name")).distinct(), "contaminated")
-    name = F.xxhash64(F.sha2(F.coalesce("text", F.lit("")), 256), "text")
-    return docs.withColumn("_name", name).join(gone, "_name", "left_anti").drop("_name")
+    # the verdict depends on a text alone, so texts are named by a digest; rows travel whole, whatever their columns are called
+    name = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    rows = docs.select(name.alias("name"), F.struct("*").alias("row"))
+    texts = rows.select(F.xxhash64("name").alias("doc_id"), F.col("row.text").alias("text"))
+    gone = staged(decontaminate(texts, benchmark, window, coverage, chunk_words).where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return rows.withColumn("key", F.xxhash64("name")).join(gone, "key", "left_anti").select("row.*")
 
 
 def _clean_only(held, at: int, limit: int):

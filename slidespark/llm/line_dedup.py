@@ -7,8 +7,8 @@ a 64-bit fingerprint, the number of documents and the id of the document that ke
 arrays; lines are never joined.  An index of up to `broadcast_bytes` is sent to every executor and texts are not shuffled;
 a larger one stays dealt out, and only the line hashes travel to its shards.
 
-Defined results: a null or empty text is one empty line; a document is a row, so repeated rows count one by one, and rows
-that share the largest id all keep the line; a null id never is the largest; a table without rows gives none; only the id
+Defined results: a null or empty text is one empty line; rows that share an id are one document, so they count once and, if
+the id is the largest, all keep the line; rows without an id count one by one and never are the largest; a table without rows gives none; only the id
 and the text columns are read, whatever others there are.
 """
 
@@ -110,22 +110,27 @@ class PerfectHash:
 
 
 class Shard:
-    """One shard of the index: the perfect hash, then fingerprints, document counts and keeping ids by slot."""
+    """One shard of the index: the perfect hash, then fingerprints, document counts and keeping ids by slot.
 
-    def __init__(self, mph: PerfectHash, prints: np.ndarray, counts: np.ndarray, keepers: np.ndarray) -> None:
-        self.mph, self.prints, self.counts, self.keepers = mph, prints, counts, keepers
+    The perfect hash is over 64 bits of each line's hash; of lines that agree in them (expected once in some 10^4 corpora of
+    10^10 frequent lines) one gets the slot, the others are in a list of their own, by their whole hashes.
+    """
+
+    def __init__(self, mph: PerfectHash, prints: np.ndarray, counts: np.ndarray, keepers: np.ndarray, more: dict[tuple[int, int], int] | None = None) -> None:
+        self.mph, self.prints, self.counts, self.keepers, self.more = mph, prints, counts, keepers, more or {}
 
     @classmethod
     def build(cls, hi: np.ndarray, lo: np.ndarray, counts: np.ndarray, keepers: np.ndarray) -> Shard:
-        # expected once in some 10^4 corpora of 10^10 frequent lines; a wrong answer would be worse than a stop
-        if len(np.unique(lo)) != len(lo):
-            raise ValueError("two distinct line hashes agree in 64 bits within a shard")
+        _, first = np.unique(lo, return_index=True)
+        others = np.setdiff1d(np.arange(len(lo)), first)
+        more = {(int(hi[k]), int(lo[k])): int(keepers[k]) for k in others}
+        hi, lo, counts, keepers = (a[first] for a in (hi, lo, counts, keepers))
         mph = PerfectHash.build(lo)
         slot = mph.slots(lo)
         out = [np.empty(len(lo), d) for d in ("<u8", "<i8", "<i8")]
         for arr, values in zip(out, (hi, counts, keepers), strict=True):
             arr[slot] = values
-        return cls(mph, *out)
+        return cls(mph, *out, more)
 
     def probe(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each line is in the index, and the id of the document that keeps it."""
@@ -133,18 +138,25 @@ class Shard:
             return np.zeros(len(lo), bool), np.zeros(len(lo), np.int64)
         slot = self.mph.slots(lo)
         safe = np.maximum(slot, 0)
-        return (slot >= 0) & (self.prints[safe] == hi), self.keepers[safe]
+        found, keeper = (slot >= 0) & (self.prints[safe] == hi), self.keepers[safe]
+        for (h, low), own in self.more.items():
+            same = (hi == np.uint64(h)) & (lo == np.uint64(low))
+            found |= same
+            keeper = np.where(same, own, keeper)
+        return found, keeper
 
     def dump(self) -> bytes:
         mph = self.mph.dump()
-        return struct.pack("<I", len(mph)) + mph + self.prints.tobytes() + self.counts.tobytes() + self.keepers.tobytes()
+        more = b"".join(struct.pack("<QQq", h, low, own) for (h, low), own in self.more.items())
+        return struct.pack("<I", len(mph)) + mph + self.prints.tobytes() + self.counts.tobytes() + self.keepers.tobytes() + more
 
     @classmethod
     def load(cls, blob: bytes) -> Shard:
         (size,) = struct.unpack_from("<I", blob)
         mph = PerfectHash.load(blob[4 : 4 + size])
         at, n = 4 + size, mph.n
-        return cls(mph, np.frombuffer(blob, "<u8", n, at), np.frombuffer(blob, "<i8", n, at + 8 * n), np.frombuffer(blob, "<i8", n, at + 16 * n))
+        more = {(h, low): own for h, low, own in struct.iter_unpack("<QQq", blob[at + 24 * n :])}
+        return cls(mph, np.frombuffer(blob, "<u8", n, at), np.frombuffer(blob, "<i8", n, at + 8 * n), np.frombuffer(blob, "<i8", n, at + 16 * n), more)
 
 
 def _line_hashes(min_chars: int):
@@ -165,6 +177,9 @@ def _line_hashes(min_chars: int):
 def frequent_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """hi, lo (128-bit hash of a line), n (documents that hold it), keeper (the largest id), for lines of at least min_docs documents."""
     lines = arrow_map(id_text(docs), _line_hashes(min_chars), "hi long, lo long, doc_id long")
+    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").take(1):
+        # only a table with repeated ids has lines that a document could count for twice
+        lines = lines.where(F.col("doc_id").isNotNull()).distinct().unionByName(lines.where(F.col("doc_id").isNull()))
     return lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
 
 

@@ -21,7 +21,8 @@ def op2(rows):
     holders = defaultdict(list)
     for i, text in rows:
         for key in {x.strip(BLANK).translate(LOWER) for x in (text or "").split("\n")}:
-            holders[key].append(i)
+            if i is None or i not in holders[key]:
+                holders[key].append(i)
     out = []
     for i, text in rows:
         lines = (text or "").split("\n")
