@@ -1,4 +1,4 @@
-"""Command line: info, thumbnail, crop, mask, merge, convert, transform, stitch."""
+"""Command line: info, thumbnail, crop, mask, merge, combine, convert, transform, stitch."""
 
 from __future__ import annotations
 
@@ -37,7 +37,7 @@ def _save(frame, ds, height: int, width: int, out: str, as_uint8: bool, fmt: str
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="slidespark")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("info", "thumbnail", "crop", "mask", "merge", "convert", "transform", "stitch"):
+    for name in ("info", "thumbnail", "crop", "mask", "merge", "combine", "convert", "transform", "stitch"):
         c = sub.add_parser(name)
         c.add_argument("inputs", nargs="+")
         if name != "info":
@@ -47,6 +47,9 @@ def parser() -> argparse.ArgumentParser:
         if name in ("crop", "mask"):
             c.add_argument("--box", nargs=4, type=float, metavar=("LEFT", "RIGHT", "TOP", "BOTTOM"))
             c.add_argument("--polygon", help="JSON list of x, y pairs")
+        if name == "combine":
+            c.add_argument("--how", choices=("sum", "mean", "max"), default="max")
+            c.add_argument("--match", action="store_true", help="give all images the histogram of the first")
         if name == "transform":
             c.add_argument("--matrix", required=True, help="JSON 3 x 3 for x, y")
         if name == "thumbnail":
@@ -93,6 +96,9 @@ def main(argv: list[str] | None = None) -> int:
         frame = pixels.merge_channels([d.frame for d in sets], [len(d.channels) for d in sets])
         first.channels = [f"{c} - {d.key}" for d in sets for c in d.channels]
         _save(frame, first, h, w, str(out / export_name(stem, "merge")), a.as_uint8, a.fmt)
+    elif a.command == "combine":
+        frame = pixels.combine([d.frame for d in sets], a.how, a.match)
+        _save(frame, first, h, w, str(out / f"{stem}-{a.how}"), a.as_uint8, a.fmt)
     elif a.command == "stitch":
         scenes = None
         for k, d in enumerate(sets):

@@ -144,3 +144,15 @@ def simple_polygon(polygon: Sequence[tuple[float, float]]) -> bool:
 
 def area(polygon: Sequence[tuple[float, float]]) -> float:
     return abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(polygon, [*polygon[1:], polygon[0]], strict=True))) / 2
+
+
+def rotated_size_of(width: Column, height: Column, degrees: Column) -> tuple[Column, Column]:
+    """Width and height that hold a turned image, as rotated_size, for columns."""
+    s, c = F.abs(F.sin(F.radians(degrees))), F.abs(F.cos(F.radians(degrees)))
+    return F.ceil(F.round(height * s + width * c, 9)).cast("int"), F.ceil(F.round(height * c + width * s, 9)).cast("int")
+
+
+def centred_rotation_of(width: Column, height: Column, spacing: Column, degrees: Column) -> dict[str, Column]:
+    """The rows m00 .. m12 of a rotation about the middle of an image, as centred_rotation, for columns."""
+    s, c, cx, cy = F.sin(F.radians(degrees)), F.cos(F.radians(degrees)), width * spacing / 2, height * spacing / 2
+    return {"m00": c, "m01": -s, "m02": cx - cx * c + cy * s, "m10": s, "m11": c, "m12": cy - cx * s - cy * c}

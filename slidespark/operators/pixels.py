@@ -232,6 +232,15 @@ def grid(spark, height: int, width: int, left: int = 0, top: int = 0) -> DataFra
     return cell.select((F.floor(F.col("id") / width) + top).cast("int").alias("y"), (F.col("id") % width + left).cast("int").alias("x"))
 
 
+def for_channels(places: DataFrame, px: DataFrame) -> DataFrame:
+    """places once for each channel of px; the channels are counted first, and more than FEW are an error."""
+    ids = [r["channel_id"] for r in px.select("channel_id").distinct().limit(FEW + 1).collect()]
+    if len(ids) > FEW:
+        raise ValueError(f"more than {FEW} channels")
+    kind = px.schema["channel_id"].dataType
+    return places.withColumn("channel_id", F.explode(F.array(*(F.lit(k) for k in sorted(ids))).cast(f"array<{kind.simpleString()}>")))
+
+
 def scatter(points: DataFrame, fill: float | None = None) -> DataFrame:
     """Sparse pixels (y, x, value) to their dense box, moved to 0, 0; of pixels that meet, the one with the largest `ord` stays."""
     if "ord" in points.columns:
@@ -258,7 +267,6 @@ def warp(px: DataFrame, matrix: Matrix, width: int, height: int, order: int = 0)
     order 0 takes the nearest pixel, order 1 weighs the four around it.
     """
     spark = px.sparkSession
-    channels = px.select("channel_id").distinct()
     out = grid(spark, height, width)
     sx, sy = moved(invert(matrix), F.col("x").cast("double"), F.col("y").cast("double"))
     if order == 0:
@@ -274,7 +282,7 @@ def warp(px: DataFrame, matrix: Matrix, width: int, height: int, order: int = 0)
         at = at.select("y", "x", (F.col("ix") + F.col("c.dx")).alias("sx"), (F.col("iy") + F.col("c.dy")).alias("sy"), (wx * wy).alias("w")).where("w > 0")
         near = at.join(px.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "channel_id", "value"), ["sx", "sy"])
         found = near.groupBy("y", "x", "channel_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-    full = out.crossJoin(F.broadcast(channels))
+    full = for_channels(out, px)
     return full.join(found, ["y", "x", "channel_id"], "left").select("y", "x", "channel_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -343,6 +351,12 @@ def rasterise_table(vertices: DataFrame) -> DataFrame:
     return spans.select(F.col("row").cast("int").alias("y"), F.explode(F.sequence("a", "b")).alias("x"), "shape_idx").withColumn("x", F.col("x").cast("int"))
 
 
+def shape_mask(vertices: DataFrame, with_index: bool = True) -> DataFrame:
+    """y, x, value of the pixels that shapes in a table hold: the number of the last shape (from 1), or 1."""
+    value = F.max("shape_idx") + 1 if with_index else F.lit(1)
+    return rasterise_table(vertices).groupBy("y", "x").agg(value.cast("int").alias("value"))
+
+
 def outlines(mask: DataFrame) -> DataFrame:
     """label, x1, y1, x2, y2: the directed straight sides of the regions of a label image (y, x, label), region on the right.
 

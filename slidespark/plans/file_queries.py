@@ -8,7 +8,7 @@ from slidespark.plans import model
 from slidespark.plans.queries import query, with_px
 from slidespark.sinks import bigtiff
 from slidespark.sinks.zarr_store import ZarrStore
-from slidespark.sources import tiff, zarr
+from slidespark.sources import imzml, tiff, zarr
 from slidespark.storage import scratch
 
 #: Sides of the tiles of the written images: smaller than the image, so that a crop has tiles to leave out.
@@ -70,3 +70,35 @@ def zarr_channels(spark, d):
         part = px.where((F.col("channel_id") >= first) & (F.col("channel_id") < last)).withColumn("channel_id", F.col("channel_id") - first)
         store.append(part, NAMES[first:last], f"from {first}")
     return zarr.read(spark, store.path)[0]
+
+
+_ION_TARGETS = (1001.5, 20000.0, 35000.25, 50000.0)
+_ION_SQL = " UNION ALL ".join(f"SELECT {k} AS k, {t}::DOUBLE AS t" for k, t in enumerate(_ION_TARGETS))
+
+
+def _centroids(spark, d) -> str:
+    """Order lines as peaks of an image, in a store of m/z ranges."""
+    path = f"{scratch(spark, 'centroids')}/store"
+    peaks = model.load(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 100).cast("int").alias("y"), (F.col("l_orderkey") % 100).cast("int").alias("x"), F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))
+    imzml.write_centroids(peaks, path, 32)
+    return path
+
+
+@query(
+    f"WITH v AS ({_ION_SQL}) SELECT CAST(l_orderkey // 100 AS INTEGER) AS y, CAST(l_orderkey % 100 AS INTEGER) AS x, CAST(k AS INTEGER) AS channel_id, sum(l_quantity) AS value "
+    "FROM lineitem JOIN v ON l_extendedprice >= t - t * 500 * 1e-6::DOUBLE AND l_extendedprice <= t + t * 500 * 1e-6::DOUBLE GROUP BY 1, 2, 3"
+)
+def centroid_images(spark, d):
+    """Ion images from a store of centroids, of which only the files of the targets are opened."""
+    return imzml.centroid_images(spark, _centroids(spark, d), _ION_TARGETS, 500.0)
+
+
+@query("SELECT count(*) AS peaks, true AS few_files, true AS all_found FROM lineitem WHERE l_extendedprice BETWEEN 34990 AND 35010")
+def centroid_files(spark, d):
+    """How many peaks one window has, and that they are in a quarter of the files at most, which hold all of them."""
+    path, at, ppm = _centroids(spark, d), 35000.0, 10 / 35000 * 1e6
+    found, every = imzml.centroid_files(spark, path, [at], ppm), spark.read.parquet(f"{path}/peaks")
+    inside = "mz BETWEEN 34990 AND 35010"
+    whole = every.where(inside).agg(F.count(F.lit(1)).alias("n"))
+    few = F.lit(4 * len(found) <= every.select(F.input_file_name()).distinct().count())
+    return spark.read.parquet(*found).where(inside).agg(F.count(F.lit(1)).alias("peaks")).join(F.broadcast(whole)).select("peaks", few.alias("few_files"), (F.col("n") == F.col("peaks")).alias("all_found"))

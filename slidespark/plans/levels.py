@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def tile_size(height: int, width: int, tile: int = 1024, least: int = 256) -> int:
     """Halve the tile until the image has two of them each way; 0 (untiled) for an image smaller than the least tile."""
@@ -75,3 +78,30 @@ def image_size(shape: Sequence[int]) -> tuple[int, int | None, tuple[int, int]]:
     if len(shape) != 3:
         raise ValueError(f"no image has the shape {tuple(shape)}")
     return (shape[2], 2, (shape[0], shape[1])) if shape[2] in (3, 4) else (shape[0], 0, (shape[1], shape[2]))
+
+
+# the same for tables of images (height and width, as columns of that name) and of their levels
+
+
+def level_table(images: DataFrame, tile: int, kind: str = "zarr") -> DataFrame:
+    """images with a row for each level, its number and its size (level, h, w): halved as long as the shorter side is a tile at
+    least (zarr) or more than a tile (tiff)."""
+    shorter = F.least("height", "width")
+    levels = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: (k == 0) | (F.call_function("shiftright", shorter, k) >= tile + (kind == "tiff")))
+    each = images.withColumn("level", F.explode(levels))
+    return each.withColumns({n: F.call_function("shiftright", F.col(c), F.col("level")) for n, c in (("h", "height"), ("w", "width"))})
+
+
+def rank_levels(table: DataFrame, by: str, number: str) -> DataFrame:
+    """table with the rank (from 0) of each level (h, w) of an image: the largest first, as numbered among equals."""
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy(by).orderBy(F.desc(F.col("h").cast("long") * F.col("w")), number)
+    return table.withColumn("rank", (F.row_number().over(order) - 1).cast("int"))
+
+
+def pick_levels(table: DataFrame, by: str, number: str, least: int = 1024, most: int = 2024) -> DataFrame:
+    """by and the number of the level whose longer side is nearest to `least` among those below `most`; -1 without one."""
+    side = F.greatest("h", "w")
+    fit = F.when(side < most, F.struct(F.abs(side - least), F.col(number)))
+    return table.groupBy(by).agg(F.coalesce(F.min(fit)[number], F.lit(-1)).alias("level"))

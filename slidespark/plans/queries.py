@@ -13,7 +13,7 @@ from slidespark.functions import scalars, xml
 from slidespark.operators import pixels, rings, spectra, vectors
 from slidespark.plans import levels, model
 from slidespark.plans.catalog import find_channels
-from slidespark.plans.model import CONCAVE, POLYGON, SQL_MATRIX, SQL_PX, sql_inside
+from slidespark.plans.model import POLYGON, SQL_MATRIX, SQL_PX, sql_inside
 from slidespark.sinks import text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,13 +53,13 @@ def flat_array(spark, d):
 
 
 @query(
-    "WITH n AS (SELECT c_nationkey AS dataset_key, c_custkey AS channel_id, CASE WHEN c_custkey % 5 = 0 THEN 'BUILDING' ELSE c_mktsegment || '-' || c_custkey % 3 END AS name FROM customer WHERE c_custkey % 25 <> 0) "
+    "WITH n AS (SELECT c_nationkey AS dataset_key, c_custkey AS channel_id, CASE WHEN c_custkey % 5 = 0 THEN 'BUILDING' ELSE c_mktsegment || '-' || c_custkey % 3 END AS name FROM customer) "
     "SELECT dataset_key, coalesce(min(channel_id) FILTER (WHERE name = 'BUILDING'), min(channel_id) FILTER (WHERE strpos(name, 'BUILDING') > 0)) AS channel_id FROM n GROUP BY dataset_key "
     "HAVING count(*) FILTER (WHERE strpos(name, 'BUILDING') > 0) > 0"
 )
 def find_channel_name(spark, d):
     """In each dataset the channel of that name, or else the first that contains it."""
-    c = model.load(spark, d, "customer").where("c_custkey % 25 <> 0")
+    c = model.load(spark, d, "customer")
     name = F.when(F.col("c_custkey") % 5 == 0, "BUILDING").otherwise(F.concat_ws("-", "c_mktsegment", (F.col("c_custkey") % 3).cast("string")))
     return find_channels(c.select(F.col("c_nationkey").alias("dataset_key"), F.col("c_custkey").alias("channel_id"), name.alias("name")), "BUILDING")
 
@@ -82,25 +82,45 @@ def points_distinct_names(spark, d):
     return vectors.feature_names(model.load(spark, d, "events").withColumnRenamed("event_type", "feature_name"))
 
 
-@query("SELECT CAST(level AS INTEGER) AS level, CAST(h // (1 << level) AS INTEGER) AS h, CAST(w // (1 << level) AS INTEGER) AS w FROM (VALUES (0), (1), (2), (3)) t(level), (SELECT 4096 AS h, 3000 AS w) s")
+_SIZES = "p AS (SELECT p_partkey, CAST(p_size * 100 + 37 AS INTEGER) AS height, CAST(p_partkey % 50 * 90 + 300 AS INTEGER) AS width, p_brand FROM part)"
+
+
+def _sizes(spark, d):
+    """Image sizes from parts."""
+    return model.load(spark, d, "part").select("p_partkey", (F.col("p_size") * 100 + 37).cast("int").alias("height"), (F.col("p_partkey") % 50 * 90 + 300).cast("int").alias("width"), "p_brand")
+
+
+def _plan(fit: str) -> str:
+    return (
+        f"WITH {_SIZES} SELECT p_partkey, CAST(k AS INTEGER) AS level, CAST(height // (1 << k) AS INTEGER) AS h, CAST(width // (1 << k) AS INTEGER) AS w "
+        f"FROM p, range(0, 20) t(k) WHERE k = 0 OR least(height, width) // (1 << k) {fit}"
+    )
+
+
+@query(_plan(">= 256"))
 def pyramid_plan_zarr(spark, d):
-    return spark.createDataFrame([(k, *s) for k, s in enumerate(levels.zarr_levels(4096, 3000, 256))], "level int, h int, w int")
+    return levels.level_table(_sizes(spark, d), 256).select("p_partkey", "level", "h", "w")
 
 
-@query("SELECT CAST(level AS INTEGER) AS level, CAST(h // (1 << level) AS INTEGER) AS h, CAST(w // (1 << level) AS INTEGER) AS w FROM (VALUES (0), (1), (2), (3)) t(level), (SELECT 4096 AS h, 3000 AS w) s")
+@query(_plan("> 256"))
 def pyramid_plan_tiff(spark, d):
-    return spark.createDataFrame([(k, *s) for k, s in enumerate(levels.tiff_levels(4096, 3000, 256))], "level int, h int, w int")
+    return levels.level_table(_sizes(spark, d), 256, "tiff").select("p_partkey", "level", "h", "w")
 
 
-@query("SELECT CAST(rn - 1 AS INTEGER) AS rank, CAST(id AS INTEGER) AS level FROM (SELECT id, row_number() OVER (ORDER BY h * w DESC, id) AS rn FROM (VALUES (0, 512, 512), (1, 2048, 2048), (2, 1024, 1024), (3, 1024, 1024)) t(id, h, w))")
+@query(f"WITH {_SIZES} SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY CAST(height AS BIGINT) * width DESC, p_partkey) - 1 AS INTEGER) AS rank FROM p")
 def sort_levels(spark, d):
-    order = levels.sort_levels([(512, 512), (2048, 2048), (1024, 1024), (1024, 1024)])
-    return spark.createDataFrame(list(enumerate(order)), "rank int, level int")
+    """Sizes of each brand as the levels of an image, the largest first."""
+    table = _sizes(spark, d).withColumnsRenamed({"height": "h", "width": "w"})
+    return levels.rank_levels(table, "p_brand", "p_partkey").select("p_brand", "p_partkey", "rank")
 
 
-@query("SELECT CAST(id AS INTEGER) AS level FROM (VALUES (0, 4096), (1, 2048), (2, 1024), (3, 512)) t(id, m) WHERE m < 2024 ORDER BY abs(m - 1024), id LIMIT 1")
+@query(
+    f"WITH {_SIZES} SELECT p_brand, coalesce(arg_min(p_partkey, abs(greatest(height, width) - 1024) * 1000000000::BIGINT + p_partkey) FILTER (WHERE greatest(height, width) < 2024), -1) AS level FROM p GROUP BY p_brand"
+)
 def pick_level(spark, d):
-    return spark.createDataFrame([(levels.pick_level([(4096, 4000), (2048, 2000), (1024, 1000), (512, 500)]),)], "level int")
+    """Of each brand the size whose longer side is nearest to 1024."""
+    table = _sizes(spark, d).withColumnsRenamed({"height": "h", "width": "w"})
+    return levels.pick_levels(table, "p_brand", "p_partkey")
 
 
 @query("SELECT p_partkey, CAST(CASE WHEN greatest(p_size * 100, 3000) > 1000 THEN floor(CAST(p_size * 100 AS DOUBLE) * (1000.0::DOUBLE / greatest(p_size * 100, 3000))) ELSE p_size * 100 END AS INTEGER) AS h FROM part")
@@ -340,16 +360,20 @@ def scatter_table(spark, d):
     return pixels.scatter(p)
 
 
-@query("SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM range(0, 20) a(y), range(0, 25) b(x)")
+_BOX = f"WITH {SQL_MATRIX} SELECT CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS x FROM range(0, (SELECT max(y) + 1 FROM m)) t(a), range(0, 25) u(b)"
+
+
+@query(_BOX)
 def yx_grid(spark, d):
-    return pixels.grid(spark, 20, 25)
+    """All places of the image of embeddings."""
+    return pixels.grid(spark, model.height(spark, d), model.WIDTH)
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(i % 20 AS INTEGER) AS y, CAST(i // 20 AS INTEGER) AS x FROM range(0, 500) t(i)")
+@query(f"SELECT CAST(x * h + y AS BIGINT) AS i, y, x FROM ({_BOX}), (SELECT max(vec_id) // 25 + 1 AS h FROM embeddings)")
 def fortran_order(spark, d):
     """Position of each cell when columns run fastest."""
-    g = pixels.grid(spark, 20, 25)
-    return g.select((F.col("x") * 20 + F.col("y")).cast("long").alias("i"), "y", "x")
+    h = model.height(spark, d)
+    return pixels.grid(spark, h, model.WIDTH).select((F.col("x") * h + F.col("y")).cast("long").alias("i"), "y", "x")
 
 
 @query(f"WITH {SQL_MATRIX} SELECT CAST(y + 1 AS INTEGER) AS row, CAST(x + 1 AS INTEGER) AS col, CAST(embedding[1] AS DOUBLE) AS v0, CAST(embedding[3] AS DOUBLE) AS v2 FROM m")
@@ -456,9 +480,14 @@ def flip_v(spark, d):
     return pixels.warp(model.px(spark, d), geo.flip(model.WIDTH, h, vertical=True), model.WIDTH, h)
 
 
-@query("SELECT CAST(a AS INTEGER) AS angle, CAST(ceil(round(300 * abs(sin(radians(a))) + 200 * abs(cos(radians(a))), 9)) AS INTEGER) AS w, CAST(ceil(round(300 * abs(cos(radians(a))) + 200 * abs(sin(radians(a))), 9)) AS INTEGER) AS h FROM (VALUES (0), (30), (45), (90), (133)) t(a)")
+@query(
+    f"WITH {_SIZES}, a AS (SELECT *, abs(sin(radians(p_partkey % 360))) AS s, abs(cos(radians(p_partkey % 360))) AS c FROM p) "
+    "SELECT p_partkey, CAST(ceil(round(height * s + width * c, 9)) AS INTEGER) AS w, CAST(ceil(round(height * c + width * s, 9)) AS INTEGER) AS h FROM a"
+)
 def rotate_bounds(spark, d):
-    return spark.createDataFrame([(a, *geo.rotated_size(200, 300, a)) for a in (0, 30, 45, 90, 133)], "angle int, w int, h int")
+    """Sizes that hold turned images."""
+    w, h = geo.rotated_size_of(F.col("width"), F.col("height"), F.col("p_partkey") % 360)
+    return _sizes(spark, d).select("p_partkey", w.alias("w"), h.alias("h"))
 
 
 @query(with_px("SELECT CAST(g.y AS INTEGER) AS y, CAST(g.x AS INTEGER) AS x, channel_id, round(sum(w * value), 6) AS value FROM s g JOIN px ON px.x = g.sx AND px.y = g.sy GROUP BY g.y, g.x, channel_id",
@@ -517,37 +546,46 @@ def transform_chain(spark, d):
     return vectors.warp_points(e, chain).select("event_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("SELECT CAST(r AS INTEGER) AS r, round(a, 9) AS a, round(b, 9) AS b, round(c, 9) AS c FROM (VALUES (0, cos(radians(30.0)), -sin(radians(30.0)), 50 - 50 * cos(radians(30.0)) + 40 * sin(radians(30.0))), (1, sin(radians(30.0)), cos(radians(30.0)), 40 - 50 * sin(radians(30.0)) - 40 * cos(radians(30.0)))) t(r, a, b, c)")
+@query(
+    f"WITH {_SIZES}, a AS (SELECT p_partkey, sin(radians(p_partkey % 360)) AS s, cos(radians(p_partkey % 360)) AS c, width * 0.25::DOUBLE AS cx, height * 0.25::DOUBLE AS cy FROM p) "
+    "SELECT p_partkey, round(c, 6) + 0 AS m00, round(-s, 6) + 0 AS m01, round(cx - cx * c + cy * s, 6) + 0 AS m02, round(s, 6) + 0 AS m10, round(c, 6) + 0 AS m11, round(cy - cx * s - cy * c, 6) + 0 AS m12 FROM a"
+)
 def matrix_compose(spark, d):
-    m = geo.centred_rotation(200, 160, 0.5, 30)
-    return spark.createDataFrame([(i, *(round(v, 9) for v in m[i])) for i in (0, 1)], "r int, a double, b double, c double")
+    """Rotations about the middle of images of half-micrometre pixels."""
+    m = geo.centred_rotation_of(F.col("width"), F.col("height"), F.lit(0.5), F.col("p_partkey") % 360)
+    return _sizes(spark, d).select("p_partkey", *((F.round(v, 6) + 0.0).alias(k) for k, v in m.items()))
 
 
 # shapes
 
 
-_IN1, _IN2 = (sql_inside(s, "(x + 0.5::DOUBLE)", "(y + 0.5::DOUBLE)") for s in (POLYGON, CONCAVE))
-_CELLS = "g AS (SELECT CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS x FROM range(0, 20) t(a), range(0, 25) u(b))"
+#: Shapes of all events of a user, in a box of 28 by 23 pixels, and the stretches of pixels that they hold.
+_RASTER = """
+o AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id), i AS (SELECT user_id, dense_rank() OVER (ORDER BY first) - 1 AS shape_idx FROM o),
+v AS (SELECT shape_idx, event_id, CAST(value AS FLOAT)::DOUBLE / 20 AS x, CAST(event_id % 101 % 23 AS DOUBLE) AS y FROM events e JOIN i ON i.user_id = e.user_id),
+e AS (SELECT shape_idx, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM v WINDOW w AS (PARTITION BY shape_idx ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+h AS (SELECT shape_idx, r, (x2 - x) * (r + 0.5::DOUBLE - y) / (y2 - y) + x AS cx FROM e, range(0, 23) t(r) WHERE (y > r + 0.5::DOUBLE) <> (y2 > r + 0.5::DOUBLE)),
+g AS (SELECT CAST(r AS INTEGER) AS y, CAST(k AS INTEGER) AS x, CAST(shape_idx AS INTEGER) AS shape_idx FROM (SELECT shape_idx, r, k, count(*) AS n FROM h, range(0, 29) u(k) WHERE cx > k + 0.5::DOUBLE GROUP BY shape_idx, r, k) WHERE n % 2 = 1)"""
 
 
-@query(f"WITH {_CELLS} SELECT y, x, CAST(CASE WHEN {_IN2} THEN 2 ELSE 1 END AS INTEGER) AS value FROM g WHERE {_IN1} OR {_IN2}")
-def rasterise_index(spark, d):
-    return pixels.rasterise(spark, [POLYGON, CONCAVE], 25, 20)
+def _shapes(spark, d):
+    v = model.vertices(spark, d)
+    return v.select("shape_idx", "i", (F.col("x").cast("double") / 20).alias("x"), F.pmod(F.col("y").cast("double"), F.lit(23.0)).alias("y"))
 
 
-@query(f"WITH {_CELLS} SELECT y, x, CAST(1 AS INTEGER) AS value FROM g WHERE {_IN1} OR {_IN2}")
-def rasterise_binary(spark, d):
-    return pixels.rasterise(spark, [POLYGON, CONCAVE], 25, 20, with_index=False)
+@query(f"WITH {_RASTER} SELECT y, x, max(shape_idx) + 1 AS value FROM g GROUP BY y, x")
+def rasterise_index(spark, d):
+    return pixels.shape_mask(_shapes(spark, d))
 
 
-def _two_shapes(spark):
-    rows = [(k, i, float(x), float(y)) for k, s in enumerate((POLYGON, CONCAVE)) for i, (x, y) in enumerate(s)]
-    return spark.createDataFrame(rows, "shape_idx int, i int, x double, y double")
+@query(f"WITH {_RASTER} SELECT DISTINCT y, x, CAST(1 AS INTEGER) AS value FROM g")
+def rasterise_binary(spark, d):
+    return pixels.shape_mask(_shapes(spark, d), with_index=False)
 
 
-@query(f"WITH {_CELLS} SELECT y, x, CAST(0 AS INTEGER) AS shape_idx FROM g WHERE {_IN1} UNION ALL SELECT y, x, CAST(1 AS INTEGER) FROM g WHERE {_IN2}")
+@query(f"WITH {_RASTER} SELECT y, x, shape_idx FROM g")
 def rasterise_table(spark, d):
-    return pixels.rasterise_table(_two_shapes(spark)).where("y < 20 AND x < 25")
+    return pixels.rasterise_table(_shapes(spark, d))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slidespark.plans import file_queries  # noqa: F401  (registers queries)
+from slidespark.plans import document_queries, file_queries, geometry_queries  # noqa: F401  (they register queries)
 from slidespark.plans.queries import ORACLE_SQL, QUERIES, crop_rescale_level
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

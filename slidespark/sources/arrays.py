@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from slidespark.plans.levels import image_size
 from slidespark.session import ship
@@ -67,14 +66,17 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], float]:
     return files.mapInArrow(_pixels, PIXELS), names, 1.0
 
 
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of Spark's image source (height, width, channels, bytes as B, G, R, A) to pixels."""
+    for b in batches:
+        for h, w, n, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            array = np.frombuffer(data, np.uint8).reshape(h, w, n)
+            yield from pixel_batches(array[:, :, [2, 1, 0, 3][:n]] if n >= 3 else array, axis=2)
+
+
 def read_image(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], float]:
-    """PNG or JPEG through Spark's image source; its bytes are B, G, R (A) per pixel."""
+    """PNG or JPEG through Spark's image source."""
+    ship(spark)
     im = spark.read.format("image").load(path).select("image.*")
-    cell = im.select("width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") * F.col("nChannels") - 1)).alias("i"))
-    c = (F.col("i") % F.col("nChannels")).cast("int")
-    rgb = F.when((F.col("nChannels") >= 3) & (c < 3), 2 - c).otherwise(c)
-    pixel = (F.col("i") / F.col("nChannels")).cast("int")
-    value = F.conv(F.hex(F.substring("data", F.col("i") + 1, F.lit(1))), 16, 10).cast("double")
-    out = cell.select((pixel / F.col("width")).cast("int").alias("y"), (pixel % F.col("width")).cast("int").alias("x"), rgb.alias("channel_id"), value.alias("value"))
     n = im.select("nChannels").first()[0]
-    return out, {1: ["grey"], 3: ["R", "G", "B"]}.get(n, ["R", "G", "B", "A"]), 1.0
+    return im.select("height", "width", "nChannels", "data").mapInArrow(_decoded, PIXELS), {1: ["grey"], 3: ["R", "G", "B"]}.get(n, ["R", "G", "B", "A"]), 1.0

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import os
 import sqlite3
 import tempfile
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,28 +14,14 @@ from pyspark.sql import functions as F
 from slidespark.operators.spectra import split_regions
 from slidespark.session import ship
 
-from .arrays import PIXELS
+from . import imzml
 
-#: Accession numbers of the imaging vocabulary.
-POSITION_X, POSITION_Y, TOTAL = "IMS:1000050", "IMS:1000051", "MS:1000285"
 FRAME = "frame long, region int, x int, y int, intensity double, spot double"
 
 
-def _imzml(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for content in b.column(0).to_pylist():
-            rows = []
-            for _, e in ET.iterparse(io.BytesIO(content)):
-                if e.tag.rpartition("}")[2] == "spectrum":
-                    own = {c.get("accession"): c.get("value") for c in e.iter() if c.tag.rpartition("}")[2] == "cvParam"}
-                    rows.append((int(own[POSITION_Y]), int(own[POSITION_X]), float(own.get(TOTAL) or "nan")))
-                    e.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[2] for r in rows], pa.float64())], ["y", "x", "channel_id", "value"])
-
-
 def read_imzml(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], float]:
-    ship(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_imzml, PIXELS), ["tic"], 1.0
+    """Total ion counts; for ion images see imzml.ion_images."""
+    return imzml.index(spark, path).select("y", "x", F.lit(0).alias("channel_id"), F.col("total").alias("value")), ["tic"], 1.0
 
 
 def _bruker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from slidespark import cli, streaming
 from slidespark.operators import vectors
 from slidespark.sinks import images, text
 from slidespark.sinks.zarr_store import write_zarr
-from slidespark.sources import UnsupportedFormatError, geojson, is_supported, kind_of, read, spectra, tiff
+from slidespark.sources import UnsupportedFormatError, geojson, imzml, is_supported, kind_of, read, spectra, tiff
 
 
 def array(df, shape):
@@ -108,7 +108,7 @@ def test_tables(spark, tmp_path):
 
 def test_spectral_sources(spark, tmp_path):
     cv = '<cvParam accession="%s" value="%s"/>'
-    body = "".join(f"<spectrum>{cv % (spectra.POSITION_X, x)}{cv % (spectra.POSITION_Y, y)}{cv % (spectra.TOTAL, x * y)}</spectrum>" for x in (1, 2) for y in (3, 4))
+    body = "".join(f"<spectrum>{cv % (imzml.POSITION_X, x)}{cv % (imzml.POSITION_Y, y)}{cv % (imzml.TOTAL, x * y)}</spectrum>" for x in (1, 2) for y in (3, 4))
     (tmp_path / "a.imzml").write_text(f"<mzML><run>{body}</run></mzML>")
     assert sorted((r["x"], r["y"], r["value"]) for r in read(spark, str(tmp_path / "a.imzml")).frame.collect()) == [(1, 3, 3.0), (1, 4, 4.0), (2, 3, 6.0), (2, 4, 8.0)]
     (tmp_path / "b.d").mkdir()
@@ -150,5 +150,7 @@ def test_cli(spark, tmp_path, image, capsys):
     assert cli.main(["thumbnail", src, "-o", str(out / "t.png"), "--size", "45"]) == 0 and (out / "t.png").read_bytes()[:4] == b"\x89PNG"
     assert cli.main(["merge", src, src, "-o", str(out), "--fmt", "ome-zarr"]) == 0
     assert len(read(spark, str(out / "a_merged-registered.ome.zarr")).channels) == 6
+    assert cli.main(["combine", src, src, "-o", str(out), "--how", "sum"]) == 0
+    assert np.array_equal(array(read(spark, str(out / "a-sum.ome.tiff")).frame, image.shape), image.astype(float) * 2)
     with pytest.raises(SystemExit):
         cli.main(["mask", src, "-o", str(out)])
