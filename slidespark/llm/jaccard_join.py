@@ -339,17 +339,18 @@ def list_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, near: np.ndarr
     return np.concatenate(xs), np.concatenate(ys)
 
 
-LIST = ("tok", "i", "j", "role", "node", "n", "pos", "near", "brief")
+LIST = ("pivot", "i", "j", "tok", "role", "node", "n", "pos", "near", "brief")
 
 
 def _far_pairs(num: int, den: int):
-    """Rows of LIST, sorted by list and block pair, to pairs; a block pair is kept together, however batches are cut."""
+    """Rows of LIST, sorted by pivot, block pair and list, to pairs.  A block pair is kept together, however batches are cut, so
+    sets that meet in many lists of one pivot make one pair."""
 
     def found(b: pa.Table) -> pa.RecordBatch:
         col = {c: b.column(c).combine_chunks() for c in LIST}
-        tok, i, j, role, node, n, pos, near = (col[c].to_numpy(zero_copy_only=False) for c in LIST[:-1])
+        pivot, i, j, tok, role, node, n, pos, near = (col[c].to_numpy(zero_copy_only=False) for c in LIST[:-1])
         brief = np.frombuffer(b"".join(col["brief"].to_pylist()), np.uint8).reshape(-1, BRIEF)
-        group = np.cumsum(np.concatenate([[True], (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        group = np.cumsum(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (tok[1:] != tok[:-1])]))
         x, y = list_pairs(group, n.astype(np.int64), pos.astype(np.int64), near, brief, num, den)
         # pairs within a block belong to the block with itself
         fit = ((i[x] == j[x]) | (role[x] != role[y])) & (node[x] != node[y])
@@ -379,7 +380,8 @@ def _far_pairs(num: int, den: int):
 
 
 def _blocks(rows: DataFrame, count: str, block: int) -> DataFrame:
-    """Deal the rows of each list to blocks and copy each to all pairs of blocks (i <= j) that hold it; role 1 is the second."""
+    """Deal the sets of each pivot's lists to blocks and copy each row to all pairs of blocks (i <= j) that hold it; role 1 is the
+    second.  A block is `block` sets, and a set is in no more lists than its prefix is long."""
     parts = F.ceil(F.col(count) / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     dealt = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -500,16 +502,17 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     # lists: sets far from their pivot, against those that are not near enough for the frame to have seen the pair
     reach = 100 * FAR + (den - num) * 10_000 // den
     far = relations.where(10_000 * F.col("both") < reach * (F.col("n_pivot") + F.col("n") - F.col("both"))).select("pivot", "node", near.alias("near"))
-    rest = staged(entries.where(F.col("node") != F.col("pivot")).join(far, ["pivot", "node"]).select("tok", "node", "n", "pos", "near"), "rest")
-    counts = staged(rest.groupBy("tok").agg(F.count(F.lit(1)).alias("left"), F.sum((~F.col("near")).cast("long")).alias("n_far")).where("left > 1 and n_far > 0"), "rest-sizes")
+    far = staged(far, "far")
+    counts = staged(far.groupBy("pivot").agg(F.count(F.lit(1)).alias("left"), F.sum((~F.col("near")).cast("long")).alias("n_far")).where("left > 1 and n_far > 0").select("pivot", "left"), "rest-sizes")
     edges = links.unionByName(derived)
     if not is_empty(counts):
-        dealt = _blocks(rest.join(counts.select("tok", "left"), "tok").join(sketches.select("node", "brief"), "node"), "left", block).select(*LIST)
-        dealt = dealt.repartition(tasks, "tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n", "pos")
+        rest = entries.where(F.col("node") != F.col("pivot")).join(far.join(counts, "pivot"), ["pivot", "node"])
+        dealt = _blocks(rest.join(sketches.select("node", "brief"), "node"), "left", block).select(*LIST)
+        dealt = dealt.repartition(tasks, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "tok", "n", "pos")
         more = staged(arrow_map(dealt, _far_pairs(num, den), "pivot long, node long").distinct(), "far-pairs")
         edges = edges.unionByName(related(more).where(link).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     groups = components(edges.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    release(relations, frame, rest, entries, sketches)
+    release(relations, frame, far, entries, sketches)
 
     out = light.select("doc_id", "set_hash", "n")
     if repeats:
