@@ -35,7 +35,9 @@ def channel(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 
 def height(spark: SparkSession, sf_dir: str) -> int:
-    return -(-load(spark, sf_dir, "embeddings").count() // WIDTH)
+    """Up to the last pixel, whichever are missing before it."""
+    last = load(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    return 0 if last is None else last // WIDTH + 1
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:

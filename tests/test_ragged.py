@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from slidespark.plans import model
 from slidespark.registry import ORACLE_SQL, QUERIES
 
 
@@ -33,3 +34,13 @@ def ragged(tmp_path_factory):
 
 def test_flip_h(spark, ragged):
     assert same(spark, ragged, "flip_h") == 54 * 64
+
+
+def test_flip_v(spark, ragged):
+    assert same(spark, ragged, "flip_v") == 54 * 64
+
+
+def test_height_counts_missing_pixels(spark, tmp_path):
+    """A whole row that is missing counts as one."""
+    pd.DataFrame({"vec_id": [0, 60], "label": [0, 1], "embedding": [[0.5] * 64] * 2}).to_parquet(tmp_path / "embeddings.parquet")
+    assert model.height(spark, str(tmp_path)) == 3
