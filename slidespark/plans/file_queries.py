@@ -18,9 +18,9 @@ BOX = "y >= 3 AND y < 12 AND x >= 17 AND x < 24 AND channel_id IN (5, 33, 60)"
 
 
 def image(spark, d, levels: int = 1) -> str:
-    """The embeddings as an OME-TIFF of 64 channels."""
+    """The embeddings as an OME-TIFF of 64 channels; the last row of pixels need not be full."""
     path = f"{scratch(spark, 'tiff')}/image.ome.tiff".removeprefix("file://").removeprefix("file:")
-    return bigtiff.write_ome_tiff(model.px(spark, d), path, model.height(spark, d), model.WIDTH, NAMES, 0.5, TILE, levels)
+    return bigtiff.write_ome_tiff(model.px(spark, d), path, model.height(spark, d), model.WIDTH, NAMES, 0.5, TILE, levels, gaps=True)
 
 
 @query(with_px("SELECT y, x, channel_id, value FROM px"))

@@ -8,7 +8,8 @@
 4. The file is renamed to its target: readers see all of it or what was there before.
 
 The target must be on a file system that the executors share and that can write at any place (a local or network disk).
-Pixels that are missing are 0; a tile without pixels takes no room.
+Pixels that are missing are 0, or in an image of floats that has gaps, a NaN that is named as no data (tag 42113, as GDAL has
+it) and is missing when it is read again.  A tile without pixels takes no room.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from slidespark.operators.pixels import block_mean
 from slidespark.session import ship
-from slidespark.sources.codecs import UnknownCodecError
+from slidespark.sources.codecs import UnknownCodecError, blank, check_gaps
+from slidespark.sources.tiff import NO_DATA
 from slidespark.storage import drop, locate, staged
 
 from .images import ome_xml
@@ -54,8 +56,10 @@ class Layout:
     samples: int = 1
     compression: str = "deflate"
     differences: bool = False
+    gaps: bool = False
 
     def __post_init__(self) -> None:
+        check_gaps(self.dtype, self.gaps)
         if self.tile % 16:
             raise ValueError("the side of a tile must be a multiple of 16")
         if self.compression not in METHODS:
@@ -108,7 +112,7 @@ def _encode(layout: Layout):
                 if key != now:
                     if now is not None:
                         yield done()
-                    now, cells = key, np.zeros((t, t, s), layout.dtype)
+                    now, cells = key, blank((t, t, s), layout.dtype, layout.gaps)
                 cells[y[a:z] - key[2] * t, x[a:z] - key[3] * t, channel[a:z] % s] = value[a:z]
         if now is not None:
             yield done()
@@ -126,7 +130,8 @@ def encode_tiles(px: DataFrame, layout: Layout, levels: int = 1) -> DataFrame:
         level = level.where((F.col("y") >= 0) & (F.col("y") < h) & (F.col("x") >= 0) & (F.col("x") < w)).select("y", "x", "channel_id", "value", F.lit(k).alias("level"))
         every = level if every is None else every.unionByName(level)
     every = every.where((F.col("channel_id") >= 0) & (F.col("channel_id") < layout.channels))
-    cells = every.na.drop(subset=["value"]).withColumns({
+    held = every.where("value IS NOT NULL") if layout.gaps else every.na.drop(subset=["value"])
+    cells = held.withColumns({
         "page": F.floor(F.col("channel_id") / layout.samples).cast("int"), "ty": F.floor(F.col("y") / layout.tile).cast("int"), "tx": F.floor(F.col("x") / layout.tile).cast("int"),
     })
     dealt = cells.repartition("level", "page", "ty", F.floor(F.col("tx") / TOGETHER)).sortWithinPartitions("level", "page", "ty", "tx")
@@ -170,6 +175,7 @@ def _tags(layout: Layout, level: int, places: np.ndarray, lengths: np.ndarray, t
         (254, "I", [1 if level else 0]), (256, "I", [w]), (257, "I", [h]), (258, "H", [dtype.itemsize * 8] * s), (259, "H", [METHODS[layout.compression]]), (262, "H", [2 if s > 2 else 1]),
         *([(270, "s", text.encode() + b"\0")] if text else []), (277, "H", [s]), (284, "H", [1]), (317, "H", [2 if layout.differences else 1]), (322, "I", [layout.tile]), (323, "I", [layout.tile]),
         (324, "Q", places.tolist()), (325, "Q", lengths.tolist()), *([(330, "Q", list(subs))] if subs else []), (339, "H", [{"u": 1, "i": 2, "f": 3}[dtype.kind]] * s),
+        *([(NO_DATA, "s", b"nan\0")] if layout.gaps else []),
     ]
 
 
@@ -229,12 +235,13 @@ def write_parts(tiles: DataFrame, path: str, layout: Layout, names: Sequence[str
 
 def write_ome_tiff(
     px: DataFrame, path: str, height: int, width: int, names: Sequence[str], resolution: float = 1.0, tile: int = 256, levels: int = 1,
-    dtype: str = "float32", rgb: bool = False, compression: str = "deflate", differences: bool = False, overwrite: bool = False,
+    dtype: str = "float32", rgb: bool = False, compression: str = "deflate", differences: bool = False, overwrite: bool = False, gaps: bool = False,
 ) -> str:
-    """A pyramidal OME-TIFF (BigTIFF) of pixels; an existing file is kept unless overwrite is set."""
+    """A pyramidal OME-TIFF (BigTIFF) of pixels; an existing file is kept unless overwrite is set.  With gaps, pixels that are
+    missing stay missing (floats only)."""
     if os.path.exists(locate(path)[1]) and not overwrite:
         return path
-    layout = Layout(height, width, len(names), np.dtype(dtype).name, tile, len(names) if rgb else 1, compression, differences)
+    layout = Layout(height, width, len(names), np.dtype(dtype).name, tile, len(names) if rgb else 1, compression, differences, gaps)
     tiles = encode_tiles(px, layout, levels)
     write_parts(tiles, path, layout, names, resolution, levels)
     drop(tiles)

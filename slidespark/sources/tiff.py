@@ -22,10 +22,12 @@ from slidespark.session import ship
 from slidespark.storage import Blocks, read_ranges, runs
 
 from .arrays import PIXELS
-from .codecs import tiff_tile, undo_differences
+from .codecs import GAPS, blank, present, tiff_tile, undo_differences
 
 #: Bytes and struct codes of TIFF field types.
 FIELD = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
+#: Fixed value: the tag that names what stands for missing pixels.
+NO_DATA = 42113
 #: Pixels that a task decodes, about.
 TASK_PIXELS = 1 << 22
 #: Beyond the sides of any image.
@@ -192,16 +194,17 @@ class Coding:
     method: int
     predictor: int
     width: int
+    gaps: bool = False
 
     @classmethod
     def of(cls, page: Page) -> Coding:
-        return cls(page.dtype.str, page.one(259, 1), page.one(317, 1), page.cells()[1])
+        return cls(page.dtype.str, page.one(259, 1), page.one(317, 1), page.cells()[1], page.dtype.kind == "f" and page.dtype.itemsize in GAPS and page.tags.get(NO_DATA) == b"nan")
 
     def array(self, raw: bytes, tile: Tile) -> np.ndarray:
         """(channels, height, width); a tile of no bytes is empty."""
         dtype, n = np.dtype(self.dtype), tile.rows * self.width * len(tile.channels)
         if not tile.length:
-            return np.zeros((len(tile.channels), tile.height, tile.width), dtype)
+            return blank((len(tile.channels), tile.height, tile.width), dtype, self.gaps)
         part = np.frombuffer(tiff_tile(raw, self.method, n * dtype.itemsize), dtype, n).reshape(tile.rows, self.width, -1)
         if self.predictor != 3:
             part = part.astype(dtype.newbyteorder("="))
@@ -245,9 +248,9 @@ class TiffReader(DataSourceReader):
             return
         todo = partition.tiles
         for k, raw in read_ranges(self.path, [(t.offset, t.length) for t in todo]):
-            yield from self._rows(partition.coding.array(raw, todo[k]), todo[k])
+            yield from self._rows(partition.coding.array(raw, todo[k]), todo[k], partition.coding.gaps)
 
-    def _rows(self, array: np.ndarray, tile: Tile) -> Iterator[pa.RecordBatch]:
+    def _rows(self, array: np.ndarray, tile: Tile, gaps: bool) -> Iterator[pa.RecordBatch]:
         top, left = (max(0, side[0] - start) for side, start in ((self.box.y, tile.y), (self.box.x, tile.x)))
         below, right = (min(n, side[1] - start) for side, start, n in ((self.box.y, tile.y, tile.height), (self.box.x, tile.x, tile.width)))
         for k, channel in enumerate(tile.channels):
@@ -260,7 +263,8 @@ class TiffReader(DataSourceReader):
             columns = {"y": y + np.int32(tile.y + top), "x": x + np.int32(tile.x + left), "channel_id": np.full(part.shape, channel, np.int32), "value": part.astype(np.float64)}
             if self.with_tiles:
                 columns |= {"tile": np.full(part.shape, tile.offset, np.int64), "tile_bytes": np.full(part.shape, tile.length, np.int64)}
-            yield pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in columns.values()], list(columns))
+            held = present(part) if gaps else slice(None)
+            yield pa.RecordBatch.from_arrays([pa.array(c[held].ravel()) for c in columns.values()], list(columns))
 
 
 def _joined(parts: list[Run]) -> list[Run]:

@@ -7,6 +7,8 @@ import pytest
 
 from slidespark.plans import model
 from slidespark.registry import ORACLE_SQL, QUERIES
+from slidespark.sinks import bigtiff
+from slidespark.sources import tiff
 
 
 def same(spark, d, name):
@@ -46,6 +48,25 @@ def test_height_counts_missing_pixels(spark, tmp_path):
     assert model.height(spark, str(tmp_path)) == 3
 
 
+@pytest.mark.parametrize("name", ("tiff_round_trip", "tiff_level"))
+def test_tiff(spark, ragged, name):
+    assert same(spark, ragged, name)
+
+
+@pytest.mark.parametrize("dtype", ("float32", "float64"))
+def test_tiff_gaps(spark, tmp_path, dtype):
+    """Missing pixels stay missing, whole tiles of them too; NaN, infinities and zeros are values.  Without gaps they are 0."""
+    rows = [(0, 0, 0, float("nan")), (1, 2, 0, float("inf")), (3, 39, 0, -0.5), (20, 5, 1, 0.0)]
+    px = spark.createDataFrame([*rows, (2, 2, 1, None)], "y int, x int, channel_id int, value double")
+    path = bigtiff.write_ome_tiff(px, f"{tmp_path}/{dtype}.tif", 40, 40, ["a", "b"], tile=16, dtype=dtype, gaps=True)
+    assert sorted(map(str, tiff.read(spark, path)[0].collect())) == sorted(map(str, spark.createDataFrame(rows, px.schema).collect()))
+    assert tiff.read(spark, path)[0].where("y = 2").count() == 0
+    filled = bigtiff.write_ome_tiff(px, f"{tmp_path}/filled.tif", 40, 40, ["a", "b"], tile=16, dtype=dtype)
+    assert tiff.read(spark, filled)[0].count() == 2 * 40 * 40
+    with pytest.raises(ValueError, match="missing pixels"):
+        bigtiff.write_ome_tiff(px, f"{tmp_path}/int.tif", 40, 40, ["a", "b"], tile=16, dtype="uint8", gaps=True)
+
+
 @pytest.fixture(scope="module")
 def beyond(tmp_path_factory):
     """Shapes that reach beyond both sides of the image that they are rasterised in."""
