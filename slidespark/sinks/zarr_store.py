@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from slidespark.operators.pixels import nearest_level
 from slidespark.plans.levels import zarr_levels
 from slidespark.session import ship
+from slidespark.sources.codecs import blank, check_gaps
 from slidespark.storage import locate
 
 COMMITS, PARTS = "_commits", "_parts"
@@ -35,7 +36,7 @@ COMMITS, PARTS = "_commits", "_parts"
 
 @dataclass
 class State:
-    """The image after an append; folders: where the chunks of each channel were written."""
+    """The image after an append; folders: where the chunks of each channel were written; gaps: missing pixels stay missing."""
 
     height: int
     width: int
@@ -46,6 +47,7 @@ class State:
     names: list[str] = field(default_factory=list)
     folders: list[str] = field(default_factory=list)
     appends: dict[str, list[int]] = field(default_factory=dict)
+    gaps: bool = False
 
     def sizes(self) -> list[tuple[int, int]]:
         return [(max(1, self.height >> k), max(1, self.width >> k)) for k in range(self.levels)]
@@ -83,10 +85,10 @@ def _put(system: fs.FileSystem, path: str, data: bytes) -> None:
             f.write(data)
 
 
-def _write_chunks(folder: str, tile: int, dtype: str):
+def _write_chunks(folder: str, tile: int, dtype: str, gaps: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         level, c, ty, tx = (int(pdf[k].iloc[0]) for k in ("level", "channel_id", "ty", "tx"))
-        cell = np.zeros((tile, tile), dtype)
+        cell = blank((tile, tile), dtype, gaps)
         cell[pdf["y"].to_numpy() - ty * tile, pdf["x"].to_numpy() - tx * tile] = pdf["value"].to_numpy()
         system, root = locate(folder)
         data = zlib.compress(cell.tobytes())
@@ -105,14 +107,15 @@ class ZarrStore:
     def state(self) -> State | None:
         return latest(self.path)[1]
 
-    def create(self, height: int, width: int, dtype: str = "<f4", tile: int = 256, resolution: float = 1.0, pyramid: bool = True) -> State:
-        """An image without channels; one that is there already stays."""
+    def create(self, height: int, width: int, dtype: str = "<f4", tile: int = 256, resolution: float = 1.0, pyramid: bool = True, gaps: bool = False) -> State:
+        """An image without channels; one that is there already stays.  Missing pixels are 0, or with gaps (floats only), missing."""
+        check_gaps(dtype, gaps)
         held = self.state
         if held is not None:
             return held
         levels = len(zarr_levels(height, width, tile)) if pyramid else 1
         try:
-            self._commit(0, State(height, width, tile, dtype, resolution, levels))
+            self._commit(0, State(height, width, tile, dtype, resolution, levels, gaps=gaps))
         except CommitConflictError:
             pass
         return self.state
@@ -153,9 +156,10 @@ class ZarrStore:
         for k, (h, w) in enumerate(state.sizes()):
             level = (nearest_level(px, 2**k) if k else px).where((F.col("y") >= 0) & (F.col("y") < h) & (F.col("x") >= 0) & (F.col("x") < w)).withColumn("level", F.lit(k))
             every = level if every is None else every.unionByName(level)
-        cells = every.where((F.col("channel_id") >= 0) & (F.col("channel_id") < channels)).na.drop(subset=["value"])
+        cells = every.where((F.col("channel_id") >= 0) & (F.col("channel_id") < channels))
+        cells = cells.where("value IS NOT NULL") if state.gaps else cells.na.drop(subset=["value"])
         cells = cells.withColumns({"ty": F.floor(F.col("y") / state.tile).cast("int"), "tx": F.floor(F.col("x") / state.tile).cast("int")})
-        done = cells.groupBy("level", "channel_id", "ty", "tx").applyInPandas(_write_chunks(f"{self.path}/{folder}", state.tile, state.dtype), "level int, bytes long")
+        done = cells.groupBy("level", "channel_id", "ty", "tx").applyInPandas(_write_chunks(f"{self.path}/{folder}", state.tile, state.dtype, state.gaps), "level int, bytes long")
         done.agg(F.sum("bytes")).collect()
 
     def _commit(self, number: int, state: State) -> None:
@@ -192,7 +196,7 @@ class ZarrStore:
                 if self.system.get_file_info(source).type == fs.FileType.Directory:
                     self.system.create_dir(posixpath.dirname(target), recursive=True)
                     self.system.move(source, target)
-            meta = {"zarr_format": 2, "shape": [len(held.names), h, w], "chunks": [1, held.tile, held.tile], "dtype": held.dtype, "compressor": {"id": "zlib", "level": 6}, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "/"}
+            meta = {"zarr_format": 2, "shape": [len(held.names), h, w], "chunks": [1, held.tile, held.tile], "dtype": held.dtype, "compressor": {"id": "zlib", "level": 6}, "fill_value": "NaN" if held.gaps else 0, "order": "C", "filters": None, "dimension_separator": "/"}
             _put(self.system, f"{self.root}/{level}/.zarray", json.dumps(meta).encode())
         axes = [{"name": "c", "type": "channel"}, *({"name": a, "type": "space", "unit": "micrometer"} for a in "yx")]
         sets = [{"path": str(k), "coordinateTransformations": [{"type": "scale", "scale": [1.0, held.resolution * held.height / h, held.resolution * held.width / w]}]} for k, (h, w) in enumerate(held.sizes())]

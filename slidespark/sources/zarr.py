@@ -14,7 +14,7 @@ from slidespark.session import ship
 from slidespark.sinks.zarr_store import channel_folders
 
 from .arrays import PIXELS
-from .codecs import zarr_chunk
+from .codecs import GAPS, present, zarr_chunk
 
 
 def attributes(text: str) -> dict:
@@ -43,6 +43,8 @@ def _chunks(meta: dict, axes: list[str], root: str, places: list[tuple[int, str]
     """Pixels of chunk files; places: folders of single channels, for images that have their channels in folders of their own."""
     spatial = {a: axes.index(a) for a in ("y", "x")}
     c_at = axes.index("c") if "c" in axes else None
+    kind = np.dtype(meta["dtype"])
+    gaps = meta.get("fill_value") == "NaN" and kind.kind == "f" and kind.itemsize in GAPS
 
     def index_of(path: str) -> list[int]:
         for c, folder in places:
@@ -61,7 +63,8 @@ def _chunks(meta: dict, axes: list[str], root: str, places: list[tuple[int, str]
                 index = np.indices(array.shape)
                 col = {a: (index[k] + start[k]).ravel().astype(np.int32) for a, k in spatial.items()}
                 channel = np.zeros(array.size, np.int32) if c_at is None else (index[c_at] + start[c_at]).ravel().astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(col["y"]), pa.array(col["x"]), pa.array(channel), pa.array(array.ravel().astype(np.float64))], ["y", "x", "channel_id", "value"])
+                held = present(array).ravel() if gaps else slice(None)
+                yield pa.RecordBatch.from_arrays([pa.array(c[held]) for c in (col["y"], col["x"], channel, array.ravel().astype(np.float64))], ["y", "x", "channel_id", "value"])
 
     return run
 
@@ -85,7 +88,7 @@ def read(spark: SparkSession, path: str, level: int = 0) -> tuple[DataFrame, lis
     chunks = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if held is not None:
         h, w = held.sizes()[level]
-        meta = {"shape": [len(held.names), h, w], "chunks": [1, held.tile, held.tile], "dtype": held.dtype, "compressor": {"id": "zlib"}, "order": "C"}
+        meta = {"shape": [len(held.names), h, w], "chunks": [1, held.tile, held.tile], "dtype": held.dtype, "compressor": {"id": "zlib"}, "order": "C", "fill_value": "NaN" if held.gaps else 0}
         resolution = held.resolution * (held.height / h + held.width / w) / 2
         if not places:
             return spark.createDataFrame([], PIXELS), held.names, resolution

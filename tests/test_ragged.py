@@ -8,7 +8,8 @@ import pytest
 from slidespark.plans import model
 from slidespark.registry import ORACLE_SQL, QUERIES
 from slidespark.sinks import bigtiff
-from slidespark.sources import tiff
+from slidespark.sinks.zarr_store import ZarrStore
+from slidespark.sources import tiff, zarr
 
 
 def same(spark, d, name):
@@ -67,6 +68,25 @@ def test_tiff_gaps(spark, tmp_path, dtype):
         bigtiff.write_ome_tiff(px, f"{tmp_path}/int.tif", 40, 40, ["a", "b"], tile=16, dtype="uint8", gaps=True)
 
 
+def test_zarr_channels(spark, ragged):
+    assert same(spark, ragged, "zarr_channels")
+
+
+def test_zarr_gaps(spark, tmp_path):
+    """As with TIFF, for the folder with and without its log."""
+    rows = [(0, 0, 0, float("nan")), (1, 2, 0, float("inf")), (3, 39, 0, -0.5), (20, 5, 1, 0.0)]
+    px = spark.createDataFrame([*rows, (2, 2, 1, None)], "y int, x int, channel_id int, value double")
+    store = ZarrStore(spark, f"{tmp_path}/g.ome.zarr")
+    store.create(40, 40, tile=16, gaps=True)
+    store.append(px, ["a", "b"])
+    want = sorted(map(str, spark.createDataFrame(rows, px.schema).collect()))
+    assert sorted(map(str, zarr.read(spark, store.path)[0].collect())) == want
+    (tmp_path / "g.ome.zarr" / "_commits").rename(tmp_path / "log")
+    assert sorted(map(str, zarr.read(spark, store.path)[0].collect())) == want
+    with pytest.raises(ValueError, match="missing pixels"):
+        ZarrStore(spark, f"{tmp_path}/i.ome.zarr").create(40, 40, "|u1", gaps=True)
+
+
 @pytest.fixture(scope="module")
 def beyond(tmp_path_factory):
     """Shapes that reach beyond both sides of the image that they are rasterised in."""
