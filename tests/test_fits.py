@@ -164,3 +164,22 @@ def test_fields_that_fail(spark, grid):
     assert fields.move_back(table(spark, np.zeros((1, 2))).limit(0), field_of(spark, grid)).count() == 0
     rows = field_of(spark, grid).at(spark.createDataFrame([(1, None, 3.0)], "k int, x double, y double")).select(F.col("dx").isNull() | (F.col("dx") == 0)).first()
     assert rows[0]
+
+
+def test_back_meets_the_nodes_once(spark, grid, monkeypatch):
+    """However many steps it takes, points are written before and after them only, few cells or many; with holes in the field,
+    points beyond it and points that lack a coordinate."""
+    rows = [(y, x, float(grid[y, x, 0]), float(grid[y, x, 1])) for y in range(7) for x in range(9) if (y, x) not in ((3, 4), (6, 8))]
+    p = np.random.default_rng(8).uniform(-15, 95, (300, 2))
+    for few in (fields.FEW_CELLS, 0):
+        monkeypatch.setattr(fields, "FEW_CELLS", few)
+        f = fields.field(spark.createDataFrame(rows, "gy int, gx int, dy double, dx double"), 10.0)
+        made, staged = [], fields.staged
+        # what holes move nothing is moved to stays; elsewhere forward and back must agree
+        moved = fields.move(table(spark, p), f).unionByName(spark.createDataFrame([(900, None, 3.0), (901, 4.0, None)], "k int, x double, y double"))
+        with monkeypatch.context() as m:
+            m.setattr(fields, "staged", lambda df, name: made.append(name) or staged(df, name))
+            back = fields.move_back(moved, f)
+        assert len(made) == 2 and back.columns == ["k", "x", "y"]
+        assert [(r["k"], r["x"], r["y"]) for r in back.where("k >= 900").orderBy("k").collect()] == [(900, None, 3.0), (901, 4.0, None)]
+        assert np.allclose(array(fields.move(back.where("k < 900"), f)), array(moved.where("k < 900")), atol=1e-7)
