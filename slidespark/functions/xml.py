@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 def xml_fields(text: Column, paths: Mapping[str, str]) -> list[Column]:
     """A string column for each XPath; where a path has no match, or the text is null, null."""
-    return [F.when(F.xpath_boolean(text, F.lit(f"boolean({p})")), F.xpath_string(text, F.lit(p))).alias(n) for n, p in paths.items()]
+    # the text is parsed once for each: a 1 stands before the value of a path that has a match
+    marked = {n: F.xpath_string(text, F.lit(f"concat(substring('1', 1, number(boolean({p}))), string({p}))")) for n, p in paths.items()}
+    return [F.get(F.split(v, "^1", 2), F.lit(1)).alias(n) for n, v in marked.items()]
 
 
 def xml_list(text: Column, path: str) -> Column:

@@ -49,6 +49,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rounds: int = 4) -> DataFrame:
+    """df dealt to some tasks for each core, for work that is long beside the bytes that it reads: Spark plans tasks by bytes."""
+    return df.repartition(rounds * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     spark = df.sparkSession

@@ -4,7 +4,9 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from slidespark.functions import xml
 from slidespark.plans import model
 from slidespark.registry import ORACLE_SQL, QUERIES
 from slidespark.sinks import bigtiff
@@ -107,3 +109,17 @@ def test_rasterise_index(spark, beyond):
 
 def test_rasterise_table(spark, beyond):
     assert same(spark, beyond, "rasterise_table")
+
+
+def test_xml_meta_is_dealt_out(spark):
+    """Parsing takes long beside the few bytes of a table: tasks for all cores, and a parse for each field."""
+    df = QUERIES["xml_meta"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and plan.count("xpath") == 3
+
+
+def test_xml_fields(spark):
+    """Empty values are there, missing ones are not; values that begin with the mark, and lines."""
+    df = spark.createDataFrame([(1, "<a b=''><c>11x</c></a>"), (2, "<a><c>1\n1</c><c>z</c></a>"), (3, "<a b='1'><c/></a>"), (4, None)], "k int, t string")
+    got = df.select("k", *xml.xml_fields(F.col("t"), {"b": "/a/@b", "c": "/a/c", "n": "count(/a/c)"})).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, "", "11x", "1"), (2, None, "1\n1", "2"), (3, "1", "", "1"), (4, None, None, None)]
