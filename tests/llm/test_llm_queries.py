@@ -40,6 +40,28 @@ def test_query(spark, name):
     assert a == b
 
 
+def test_suffix_dedup_judges_bytes_not_words(spark, tmp_path):
+    """Passages of over 50 words, each in two documents: the query removes those of 400 bytes or more, and nothing else."""
+    rows, repeats = [], []
+    for n in range(6):
+        # 60 words of 4 or of 8 bytes: 299 or 539 bytes
+        passage = " ".join(f"{'p' if n % 2 else 'passa'}{n}{k:02d}" for k in range(60))
+        for _ in range(2):
+            own = chr(ord("a") + len(rows))
+            rows.append((len(rows), f"before{own} {passage} {own}after"))
+            repeats.append(f" {passage} " if n % 2 == 0 else "")
+    rows.append((len(rows), " ".join(f"clean{k}" for k in range(100))))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(tuple, QUERIES["op4_suffix_dedup"](spark, str(tmp_path)).collect()))
+    assert found == sorted(brute.op4(rows))
+    assert [(r[2], r[3]) for r in found] == [(len(p), int(p != "")) for p in [*repeats, ""]]
+
+
+def test_suffix_dedup_against_all_windows(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, QUERIES["op4_suffix_dedup"](spark, SF).collect())) == sorted(brute.op4(rows))
+
+
 def test_byte_bpe_against_the_library(spark):
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
